@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import fair_mix, line_windows
+from . import fair_mix, line_frequency, line_windows, url_terms
 
 QUERIES = {
+    "op2_line_frequency": line_frequency.op2_line_frequency,
+    "op6_url_terms": url_terms.op6_url_terms,
     "op7_fair_mix": fair_mix.op7_fair_mix,
     "op8_line_windows": line_windows.op8_line_windows,
 }
 
 ORACLES = {
+    "op2_line_frequency": line_frequency.ORACLE_SQL,
+    "op6_url_terms": url_terms.ORACLE_SQL,
     "op7_fair_mix": fair_mix.ORACLE_SQL,
     "op8_line_windows": line_windows.ORACLE_SQL,
 }
