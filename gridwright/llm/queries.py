@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fair_mix, line_frequency, line_windows, pii_votes, url_terms
+from . import fair_mix, line_frequency, line_windows, pii_votes, toxicity, url_terms
 
 QUERIES = {
     "op2_line_frequency": line_frequency.op2_line_frequency,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_url_terms": url_terms.op6_url_terms,
     "op7_fair_mix": fair_mix.op7_fair_mix,
     "op8_line_windows": line_windows.op8_line_windows,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
 ORACLES = {
