@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fair_mix, line_frequency, line_windows, pii_votes, toxicity, url_terms
+from . import context_tree, fair_mix, line_frequency, line_windows, pii_votes, toxicity, url_terms
 
 QUERIES = {
     "op2_line_frequency": line_frequency.op2_line_frequency,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_fair_mix": fair_mix.op7_fair_mix,
     "op8_line_windows": line_windows.op8_line_windows,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_context_tree": context_tree.op10_context_tree,
 }
 
 ORACLES = {
