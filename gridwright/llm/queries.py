@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bayes_join, context_tree, fair_mix, line_frequency, line_windows, pii_votes, toxicity, url_terms
+from . import bayes_join, context_tree, fair_mix, line_frequency, line_windows, pii_votes, string_tiling, toxicity, url_terms
 
 QUERIES = {
     "op2_line_frequency": line_frequency.op2_line_frequency,
     "op3_pii_votes": pii_votes.op3_pii_votes,
+    "op4_string_tiling": string_tiling.op4_string_tiling,
     "op5_bayes_join": bayes_join.op5_bayes_join,
     "op6_url_terms": url_terms.op6_url_terms,
     "op7_fair_mix": fair_mix.op7_fair_mix,
