@@ -1,11 +1,67 @@
-"""The corpus pipeline (its stages follow)."""
+"""The corpus pipeline: documents through five of the training-data operators.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next stage's docs. All but the last return the columns of documents; where a stage
+changes a text, n_chars follows. The last returns a row for each document left, with the words that
+the mix takes of it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridwright.llm.bayes_join import keep_one
+from gridwright.llm.common import materialize, table
+from gridwright.llm.fair_mix import fair_mix
+from gridwright.llm.line_frequency import clean_documents
+from gridwright.llm.line_windows import dedup_lines
+from gridwright.llm.string_tiling import without_leaks
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that fail the base rules or are depleted; takes frequent lines out of the rest."""
+    return _counted(clean_documents(docs))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes later occurrences of repeated three-line windows out; a document that is nothing else keeps an empty text."""
+    return _counted(dedup_lines(docs).drop("line_spans"))
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near duplicates."""
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents into which a benchmark item leaked."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies of what is left."""
+    return fair_mix(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("jaccard_join", jaccard_join),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
+
+#: SQL can express neither the join's classes nor the tiling; tests/llm holds run() against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
