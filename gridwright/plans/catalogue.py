@@ -1,4 +1,6 @@
 """Every registered query and, where SQL can express it, the DuckDB SQL with the same result."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import cells, documents, grids, links, totals  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
