@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Blank characters: Java's \s is ASCII only, so the Unicode blanks and the byte-order mark are spelled out.
+BLANKS = " \t\n\x0b\x0c\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 WS = r"\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
 
@@ -20,7 +21,7 @@ def text_of(value: Column) -> Column:
 
 
 def trim_ws(s: Column) -> Column:
-    return F.regexp_replace(s, rf"^[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(s, F.lit(BLANKS))
 
 
 def collapse_ws(s: Column) -> Column:

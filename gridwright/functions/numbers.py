@@ -34,6 +34,9 @@ PERIODS = (
 )
 SCALES = ((r"billion|bn\b", 1e9), (r"million|'?000'?000|m\b", 1e6), (r"thousand|'?000\b", 1e3))
 
+#: Cells that need no further reading: grouped or plain figures, and words without anything that a figure could hold.
+PLAIN = r"^(\d{1,3}(,\d{3})+|\d+|\d+\.\d+)$"
+ODD = rf"[{DASHES}\d%(+₵₦$£€¥¢]|(?iu)GHC|\b(GHS|USD|GBP|EUR|NGN|ZAR)\b"
 NIL = rf"^[{DASHES}{WS}]+\z"
 NUMBER = (
     "struct<raw:string,value:double,clean:string,is_numeric:boolean,is_negative:boolean,is_percent:boolean,"
@@ -152,8 +155,14 @@ def parse_number(raw: Column) -> Column:
     def start(s: Column) -> Column:
         parens = s.rlike(r"^\([\s\S]*\)\z")
         inner = trim_ws(F.when(parens, F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(s))
+        figure = F.replace(s, F.lit(","), F.lit("")).try_cast("double")
+        simple = F.struct(
+            original.alias("raw"), figure.alias("value"), number_text(figure).alias("clean"), F.lit(True).alias("is_numeric"), *flag(("is_negative", False), ("is_percent", False), ("had_parens", False), ("is_nil", False)),
+            text.alias("currency"), text.alias("footnote"), none.alias("warnings"),
+        )
         return (
-            F.when(s == "", empty(False, F.lit(False)))
+            F.when(s.rlike(PLAIN), simple)
+            .when((s == "") | ~s.rlike(ODD), empty(False, F.lit(False)))
             .when(s.rlike(NIL), empty(True, F.lit(False)))
             .otherwise(let(inner, lambda i: F.when(parens & ((i == "") | i.rlike(NIL)), empty(True, F.lit(True))).otherwise(read(i, parens))))
         )
