@@ -15,6 +15,27 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def reusable(body):
+    """body as a function of one Column whose expression is built once in a session: building thousands of nodes through the gateway takes longer than planning them. Falls back to let() where the lambda can't be kept, as on Connect."""
+    kept: dict = {}
+
+    def apply(value: Column) -> Column:
+        try:
+            from pyspark import SparkContext
+            from pyspark.sql.classic.column import _to_seq
+            from pyspark.sql.functions import builtin
+
+            sc = SparkContext._active_spark_context
+            if sc.applicationId not in kept:
+                kept[sc.applicationId] = builtin._create_lambda(body)
+            made = sc._jvm.PythonSQLUtils.fn("transform", _to_seq(sc, [F.array(value)._jc, kept[sc.applicationId]]))
+            return F.element_at(Column(made), 1)
+        except (AttributeError, ImportError, TypeError):
+            return let(value, body)
+
+    return apply
+
+
 def text_of(value: Column) -> Column:
     """Cells are strings and never null."""
     return F.coalesce(value.cast("string"), F.lit(""))

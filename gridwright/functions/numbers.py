@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import WS, let, text_of, trim_ws
+from .core import WS, let, reusable, text_of, trim_ws
 
 # The characters and tokens that printed figures are read by.
 DASHES = "-‐‑‒–—―⁃−﹘﹣－"
@@ -93,7 +93,10 @@ def parse_number(raw: Column) -> Column:
     """What a printed cell says, as a struct (NUMBER). A dash is nil: no value, not zero, not text.
 
     Parentheses negate and are looked for before currency tokens are; a sign mark toggles, so "(-5)" is 5; "1.234" is a decimal and "12,34" too, with a warning."""
-    original = text_of(raw)
+    return _parsed(text_of(raw))
+
+
+def _parse(original: Column) -> Column:
     text, none = F.lit(None).cast("string"), F.array().cast("array<string>")
     flag = lambda *names: [F.lit(n).alias(k) for k, n in names]
 
@@ -170,6 +173,9 @@ def parse_number(raw: Column) -> Column:
     return let(trim_ws(original), start)
 
 
+_parsed = reusable(_parse)
+
+
 def is_numeric_cell(raw: Column) -> Column:
     return parse_number(raw)["is_numeric"]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import collapse_ws, first_match, let, text_of, trim_ws
+from .core import collapse_ws, first_match, let, reusable, text_of, trim_ws
 from .numbers import is_numeric_cell
 
 # What headings, stamps, units and totals look like.
@@ -151,6 +151,10 @@ def detect_currency(text: Column) -> Column:
 
 def note_heading(text: Column) -> Column:
     """struct(number, title) of a note's heading, or null: not a data row, not a sentence, not a number above 99."""
+    return _headed(collapse_ws(trim_ws(text_of(text))))
+
+
+def _heading(text: Column) -> Column:
     none = F.lit(None).cast("struct<number:string,title:string>")
 
     def of(s: Column) -> Column:
@@ -166,13 +170,16 @@ def note_heading(text: Column) -> Column:
             found = _judge(parts, judged)
         return F.when((s == "") | (F.length(s) > 110), none).otherwise(found)
 
-    return let(collapse_ws(trim_ws(text_of(text))), of)
+    return of(text)
 
 
 def _judge(parts: Column, judged) -> Column:
     return let(parts, lambda h: judged(h))
 
 
+_headed = reusable(_heading)
+
+
 def period_label(text: Column) -> Column:
     s = text_of(text)
     a, b = (F.regexp_extract(s, rf"(?i)(?:{head})\s+([\w\s]{{4,30}}(?:19|20)\d{{2}})", 1) for head in (r"(?:year|period)\s+ended", r"as at"))

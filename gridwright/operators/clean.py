@@ -14,9 +14,12 @@ from .result import ROW, OpResult, columns_of
 
 
 def changes(df: DataFrame, new: dict[str, Column], **more) -> DataFrame:
-    """One row for each cell that new changes: row, column, raw, clean; more: name -> function of the raw cell."""
-    cells = [F.struct(F.lit(c).alias("column"), text_of(F.col(c)).alias("raw"), v.alias("clean"), *[f(F.col(c)).alias(n) for n, f in more.items()]) for c, v in new.items()]
-    return df.select((F.col(ROW) + 1).alias("row"), F.explode(F.filter(F.array(*cells), lambda x: x["raw"] != x["clean"])).alias("x")).select("row", "x.*")
+    """One row for each cell that new changes: row, column, raw, clean; more: name -> function of the raw cell, computed for changed cells only.
+
+    explode_outer, as explode would have its argument computed once more by an inferred filter."""
+    cells = [F.struct(F.lit(c).alias("column"), text_of(F.col(c)).alias("raw"), v.alias("clean")) for c, v in new.items()]
+    long = df.select((F.col(ROW) + 1).alias("row"), F.explode_outer(F.array(*cells)).alias("x")).select("row", "x.*").where("raw != clean")
+    return long.select("*", *[f(F.col("raw")).alias(n) for n, f in more.items()])
 
 
 def number_clean(df: DataFrame, columns: str | None = None, factor: float = 1.0, decimals: int | None = None) -> OpResult:

@@ -280,7 +280,7 @@ def _rule_issues(df: DataFrame, column: str, rule: Rule, regex: str | None) -> D
         made.append(F.when(~filled, F.struct(F.lit("required value is empty").alias("message"), F.lit("").alias("value"))))
     if not made:
         return df.sparkSession.createDataFrame([], "row long, column string, message string, value string")
-    return base.select(row.cast("long").alias("row"), F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("x")).select("row", F.lit(rule.column).alias("column"), "x.message", "x.value")
+    return base.select(row.cast("long").alias("row"), F.explode_outer(F.array(*made)).alias("x")).where("x is not null").select("row", F.lit(rule.column).alias("column"), "x.message", "x.value")
 
 
 def validate_tables(cells: DataFrame, tables: DataFrame) -> DataFrame:
