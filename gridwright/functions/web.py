@@ -127,4 +127,4 @@ def robots_match_length(pattern: Column, path: Column) -> Column:
     wild = pattern.contains("*") | pattern.endswith("$")
     quoted = F.regexp_replace(pattern, r"([.+?^${}()|\[\]\\])", r"\\$1")
     source = F.concat(F.lit("^"), F.regexp_replace(F.replace(quoted, F.lit("*"), F.lit(".*")), r"\\\$$", r"\$"))
-    return F.when(pattern == "", -1).when(wild, F.when(path.rlike(source), F.length(F.replace(pattern, F.lit("*"), F.lit("")))).otherwise(-1)).when(F.startswith(path, pattern), F.length(pattern)).otherwise(-1)
+    return F.when(pattern == "", -1).when(wild, F.when(F.rlike(path, source), F.length(F.replace(pattern, F.lit("*"), F.lit("")))).otherwise(-1)).when(F.startswith(path, pattern), F.length(pattern)).otherwise(-1)

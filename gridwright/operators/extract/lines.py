@@ -51,7 +51,7 @@ def normalise_words(words: DataFrame) -> DataFrame:
 
 def assign_lines(words: DataFrame) -> DataFrame:
     """words with line, numbered from the top. A word joins the nearest earlier line within 0.45 median heights of its running mean centre."""
-    schema = words.select(*PAGE, "word_idx", "text", "x", "y", "x1", "y1", "w", "h", "conf").schema.add("line", "int").add("line_center", "double")
+    schema = words.select(*PAGE, "word_idx", "text", "x", "y", "x1", "y1", "w", "h", "conf").schema.add("line", "integer").add("line_center", "double")
 
     def group(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["y", "x", "word_idx"], kind="stable").reset_index(drop=True)

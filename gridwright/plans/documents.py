@@ -1 +1,224 @@
-"""x"""
+"""Queries on pages of text: furniture, scans, sections, notes; and tables from positioned words."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridwright.functions import text
+from gridwright.operators.extract import grids, lines, pages
+from gridwright.sources import workbooks
+
+from .cells import CENTS
+from .registry import query, table
+
+
+def doc_lines(spark, d):
+    """Every document's source is a report and the document a page of it; line i of a text stands 20 points below the last, under a running header and above a page number."""
+    docs = table(spark, d, "documents")
+    body = docs.select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).where(F.trim("text") != "")
+    page = F.col("doc_id").cast("int")
+    own = body.select(F.col("source").alias("doc_id"), page.alias("page"), (F.col("i") + 1).alias("line"), (F.col("i") * 20.0 + 100).alias("center"), F.lit(50.0).alias("x"), F.trim("text").alias("text"))
+    head = docs.select(F.col("source").alias("doc_id"), page.alias("page"), F.lit(0).alias("line"), F.lit(40.0).alias("center"), F.lit(50.0).alias("x"), F.concat(F.lit("Annual report "), F.col("source")).alias("text"))
+    foot = docs.select(F.col("source").alias("doc_id"), page.alias("page"), F.lit(99999).alias("line"), F.lit(9e6).alias("center"), F.lit(300.0).alias("x"), F.concat(F.lit("Page "), (F.col("doc_id") % 1000).cast("string")).alias("text"))
+    rows = own.unionByName(head).unionByName(foot)
+    return rows.select("doc_id", "page", "line", "center", (F.col("center") - 5).alias("top"), (F.col("center") + 5).alias("bottom"), "x", (F.col("x") + F.length("text") * 5.0).alias("x1"), "text")
+
+
+@query(
+    "furniture",
+    """
+WITH n AS (SELECT source AS s, count(*) AS n FROM documents GROUP BY source)
+SELECT s AS doc_id, '3|4|annual report ' || regexp_replace(s, '[0-9]', '#', 'g') AS key, n AS pages FROM n""",
+)
+def furniture(spark, d):
+    rows = doc_lines(spark, d).where("line = 0")
+    return pages.furniture(rows).select("doc_id", "key", "pages")
+
+
+@query(
+    "scanned_pages",
+    """
+WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS t FROM documents), k AS (SELECT doc_id, sum(length(t)) AS n FROM l WHERE t <> '' AND length(t) > 120 GROUP BY doc_id)
+SELECT d.source AS doc_id, CAST(d.doc_id AS INTEGER) AS page, CAST(coalesce(n, 0) AS BIGINT) AS text_chars, coalesce(n, 0) >= 180 AS has_text_layer, coalesce(n, 0) < 180 AS needs_ocr FROM documents d LEFT JOIN k USING (doc_id)""",
+)
+def scanned_pages(spark, d):
+    rows = doc_lines(spark, d)
+    return pages.strip_furniture(rows.where((F.length("text") > 120) | F.col("line").isin(0, 99999)), rows)[2]
+
+
+@query("removed_lines", "SELECT source AS doc_id, CAST(doc_id AS INTEGER) AS page, 'repeated-across-pages' AS reason FROM documents UNION ALL SELECT source, CAST(doc_id AS INTEGER), 'stamp:page-number' FROM documents")
+def removed_lines(spark, d):
+    return pages.strip_furniture(doc_lines(spark, d).where("line in (0, 99999)"))[1].select("doc_id", "page", "reason")
+
+
+_STAMPS = (("name.x+y@mail.example.com", "email"), ("Downloaded by someone", "download-stamp"), ("https://example.com/a?b=c", "source-url"), ("Page 3 of 44", "page-number"), ("2011", "page-number"), ("© 2011 Group", "copyright"), ("Inventories", None))
+
+
+@query("stamp_kind", "SELECT doc_id, " + f"[{', '.join(repr(k) if k else 'NULL' for _, k in _STAMPS)}][doc_id % {len(_STAMPS)} + 1] AS kind FROM documents")
+def stamp_kind(spark, d):
+    line = F.element_at(F.array(*[F.lit(t) for t, _ in _STAMPS]), (F.col("doc_id") % len(_STAMPS) + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", text.stamp_kind(line).alias("kind"))
+
+
+_HEADS = (("Notes to the financial statements", "notes"), ("Statement of Financial Position", "statements"), ("Chairman's Review", "front"), (None, None), (None, None))
+
+
+@query(
+    "sections",
+    f"""
+WITH p AS (SELECT source, doc_id, [{", ".join(repr(s) if s else "NULL" for _, s in _HEADS)}][doc_id % 5 + 1] AS hit FROM documents)
+SELECT source AS doc_id, CAST(doc_id AS INTEGER) AS page, coalesce(last_value(hit IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id), 'other') AS section FROM p""",
+)
+def sections(spark, d):
+    head = F.element_at(F.array(*[F.lit(t) for t, _ in _HEADS]), (F.col("page") % 5 + 1).cast("int"))
+    rows = doc_lines(spark, d).where("line < 8")
+    rows = rows.withColumn("text", F.when(F.col("line") == 0, F.coalesce(head, F.lit("Plain line"))).otherwise(F.col("text")))
+    return pages.sections(rows, rows.select("doc_id", "page").distinct())
+
+
+_NOTES = (("15.  Inventories", "15", "Inventories"), ("NOTE 16 - RECEIVABLES", "16", "RECEIVABLES"), ("Note 7: Cash and", None, None), ("15 1,234", None, None), ("31 December 2011", "31", "December 2011"), ("Inventories 15", None, None), ("120. Too large", None, None))
+
+
+@query("note_heading", f"SELECT doc_id, [{', '.join(repr(n) if n else 'NULL' for _, n, _ in _NOTES)}][doc_id % {len(_NOTES)} + 1] AS number, [{', '.join(repr(t) if t else 'NULL' for _, _, t in _NOTES)}][doc_id % {len(_NOTES)} + 1] AS title FROM documents")
+def note_heading(spark, d):
+    line = F.element_at(F.array(*[F.lit(t) for t, _, _ in _NOTES]), (F.col("doc_id") % len(_NOTES) + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", text.note_heading(line).alias("n")).select("doc_id", "n.number", "n.title")
+
+
+_UNITS = (("GH¢ thousands", "GH¢ thousands", "GHS"), ("in thousands of Ghana cedis", "in thousands of Ghana cedis", None), ("US$ '000", "US$ '000", "USD"), ("All in £ millions", "£ millions", "GBP"), ("Inventories", None, None))
+
+
+@query("units_and_currency", f"SELECT doc_id, [{', '.join(chr(39) + u.replace(chr(39), chr(39) * 2) + chr(39) if u else 'NULL' for _, u, _ in _UNITS)}][doc_id % 5 + 1] AS units, [{', '.join(repr(c) if c else 'NULL' for _, _, c in _UNITS)}][doc_id % 5 + 1] AS currency FROM documents")
+def units_and_currency(spark, d):
+    line = F.element_at(F.array(*[F.lit(t) for t, _, _ in _UNITS]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", text.detect_units(line).alias("units"), text.detect_currency(line).alias("currency"))
+
+
+@query("doc_meta", "SELECT source AS doc_id, 'Example Oil Company Limited' AS company, '31 December 2011' AS period_label, 'GHS' AS currency, 1000::DOUBLE AS units_scale FROM documents GROUP BY source")
+def doc_meta(spark, d):
+    said = F.element_at(F.array(*[F.lit(t) for t in ("Example Oil Company Limited", "for the year ended 31 December 2011", "GH¢ thousands")]), F.col("line"))
+    rows = doc_lines(spark, d).where("line between 1 and 3").withColumn("text", said)
+    first = rows.groupBy("doc_id").agg(F.min("page").alias("p"))
+    full = first.select("doc_id", F.col("p").alias("page"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("line")).withColumn("text", said)
+    return pages.doc_meta(full)
+
+
+# Tables laid out as words: customer's orders, label left, two right-aligned columns of figures.
+
+
+def statement_words(spark, d):
+    o = table(spark, d, "orders").where("o_custkey % 3 = 0").selectExpr("o_custkey as k", "o_orderkey", f"format_number({CENTS}, 0) as a", f"format_number({CENTS} + 1234, 0) as b")
+    from pyspark.sql import Window as W
+
+    o = o.withColumn("r", F.row_number().over(W.partitionBy("k").orderBy("o_orderkey")))
+    size, step = 10.0, 14.0
+    word = lambda t, x, x1: F.struct(t.alias("text"), x.alias("x"), x1.alias("x1"))
+    left = lambda t, x: word(F.lit(t), F.lit(float(x)), F.lit(float(x + 5 * len(t))))
+    right = lambda c, edge: word(F.col(c), F.lit(float(edge)) - 5 * F.length(c), F.lit(float(edge)))
+    number = F.col("o_orderkey").cast("string")
+    body = o.select("k", "r", F.posexplode(F.array(left("Order", 50), left("number", 78), word(number, F.lit(111.0), 111.0 + 5 * F.length(number)), right("a", 400), right("b", 500))).alias("i", "w"))
+    head = o.select("k").distinct().select("k", F.lit(0).alias("r"), F.posexplode(F.array(left("2011", 380), left("2010", 480))).alias("i", "w"))
+    every = body.unionByName(head)
+    y = F.col("r") * step + 100
+    return every.select(F.concat(F.lit("c"), F.col("k").cast("string")).alias("doc_id"), F.lit(1).alias("page"), (F.col("r") * 10 + F.col("i")).cast("long").alias("word_idx"), "w.text", "w.x", y.alias("y"), "w.x1", (y + size).alias("y1"), (F.col("w.x1") - F.col("w.x")).alias("w"), F.lit(size).alias("h"), F.lit(None).cast("double").alias("conf"))
+
+
+_ORDERS = """
+WITH o AS (SELECT 'c' || o_custkey AS doc_id, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_custkey % 3 = 0)
+"""
+
+
+@query("line_texts", _ORDERS + "SELECT doc_id, CAST(r AS INTEGER) AS line, 'Order number ' || o_orderkey || ' ' || format('{:,}', c) || ' ' || format('{:,}', c + 1234) AS text FROM o UNION ALL SELECT DISTINCT doc_id, 0, '2011 2010' FROM o")
+def line_texts(spark, d):
+    return lines.lines(lines.assign_lines(lines.normalise_words(statement_words(spark, d)))).select("doc_id", "line", "text")
+
+
+@query("line_cells", _ORDERS + "SELECT doc_id, CAST(r AS INTEGER) AS line, i AS cell, CASE i WHEN 0 THEN 'Order number ' || o_orderkey WHEN 1 THEN format('{:,}', c) ELSE format('{:,}', c + 1234) END AS text, i > 0 AS is_figure FROM o, (SELECT unnest([0, 1, 2]) AS i) UNION ALL SELECT DISTINCT doc_id, 0, i, CASE i WHEN 0 THEN '2011' ELSE '2010' END, true FROM o, (SELECT unnest([0, 1]) AS i)")
+def line_cells(spark, d):
+    w = lines.assign_lines(lines.normalise_words(statement_words(spark, d)))
+    return lines.split_cells(w, lines.page_metrics(w)).select("doc_id", "line", "cell", "text", "is_figure")
+
+
+@query("page_metrics", _ORDERS + "SELECT doc_id, 1 AS page, 10::DOUBLE AS median_height, CAST(n + 1 AS BIGINT) AS line_count, CAST(n * 5 + 2 AS BIGINT) AS word_count, 14::DOUBLE AS median_line_spacing FROM o GROUP BY doc_id, n")
+def page_metrics(spark, d):
+    w = lines.assign_lines(lines.normalise_words(statement_words(spark, d)))
+    return lines.page_metrics(w).select("doc_id", "page", "median_height", "line_count", "word_count", "median_line_spacing")
+
+
+@query(
+    "extracted_cells",
+    _ORDERS + "SELECT doc_id, CAST(r - 1 AS INTEGER) AS row, i AS col, CASE i WHEN 0 THEN 'Order number ' || o_orderkey WHEN 1 THEN format('{:,}', c) ELSE format('{:,}', c + 1234) END AS text FROM o, (SELECT unnest([0, 1, 2]) AS i) WHERE n >= 6",
+)
+def extracted_cells(spark, d):
+    found = pages.extract_tables(_long_statements(spark, d))
+    return found["cells"].select(F.element_at(F.split("table_id", "-"), 1).alias("doc_id"), "row", "col", "text")
+
+
+def _long_statements(spark, d):
+    """Statements of six orders or more: shorter pages have so little text that they pass for scans."""
+    w = statement_words(spark, d)
+    n = table(spark, d, "orders").groupBy("o_custkey").count().where("count >= 6").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("doc_id"))
+    return w.join(n, "doc_id", "left_semi")
+
+
+@query("extracted_tables", _ORDERS + "SELECT DISTINCT doc_id, 3 AS column_count, CAST(n + 1 AS BIGINT) AS row_count, 1 AS n_headers, true AS confident FROM o WHERE n >= 6")
+def extracted_tables(spark, d):
+    found = pages.extract_tables(_long_statements(spark, d))
+    return found["tables"].select("doc_id", "column_count", "row_count", "n_headers", (F.col("confidence") > 0.8).alias("confident"))
+
+
+@query("page_verdicts", _ORDERS + "SELECT DISTINCT doc_id, 1 AS page, 'tabular' AS verdict FROM o")
+def page_verdicts(spark, d):
+    w = lines.assign_lines(lines.normalise_words(statement_words(spark, d)))
+    return grids.classify_page(lines.lines(w), lines.split_cells(w, lines.page_metrics(w)))
+
+
+@query("words_from_items", "SELECT doc_id, CAST(len(regexp_extract_all(text, '[^\\x09-\\x0D\\x20]+')) AS BIGINT) AS n, CAST(sum(0) AS BIGINT) AS outside FROM documents WHERE len(regexp_extract_all(text, '[^\\x09-\\x0D\\x20]+')) < 40 GROUP BY doc_id, text")
+def words_from_items(spark, d):
+    docs = table(spark, d, "documents").where(F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))) < 40)
+    items = docs.select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("item_idx"), F.col("text").alias("str"), F.lit(50.0).alias("x"), F.lit(700.0).alias("baseline"), F.lit(400.0).alias("width"), F.lit(10.0).alias("height"), F.lit(842.0).alias("page_height"))
+    w = lines.words_from_items(items)
+    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when((F.col("x") < 49.999) | (F.col("x1") > 450.001), 1).otherwise(0)).alias("outside"))
+
+
+# Sheets: two statements side by side and one below, and a metadata sheet.
+
+
+def sheet(spark, d):
+    n = table(spark, d, "nation").selectExpr("n_nationkey as k", "n_name as name", "n_regionkey as region")
+    cell = lambda r, c, t: F.struct(r.alias("r"), F.lit(c).alias("c"), t.alias("text"))
+    k, v = F.col("k"), (F.col("region") * 1000 + 1500).cast("string")
+    # Columns 0-1: all nations from row 3; columns 3-4: the same from row 1; row 40 on, columns 0-1: the first five again.
+    body = n.select(F.explode(F.array(cell(k + 4, 0, F.col("name")), cell(k + 4, 1, v), cell(k + 2, 3, F.col("name")), cell(k + 2, 4, v))).alias("x")).select("x.*")
+    low = n.where("k < 5").select(F.explode(F.array(cell(k + 40, 0, F.col("name")), cell(k + 40, 1, v))).alias("x")).select("x.*")
+    head = spark.createDataFrame([(3, 0, "Nation"), (3, 1, "2011"), (1, 3, "Nation"), (1, 4, "2010")], "r int, c int, text string")
+    data = body.unionByName(low).unionByName(head).select(F.lit("book.xlsx").alias("file"), F.lit("Positions").alias("sheet"), F.lit(1).alias("sheet_no"), "*")
+    meta = spark.createDataFrame([("book.xlsx", s, i, 0, c, t) for s, i in (("_TM_1", 2), ("Boxes", 3)) for c, t in enumerate(("Left", "Top", "Right", "Bottom", "Ref"))], data.schema)
+    return data.unionByName(meta)
+
+
+@query("used_range", "SELECT 'Positions' AS sheet, 1 AS r0, 44 AS r1, 0 AS c0, 4 AS c1 UNION ALL SELECT '_TM_1', 0, 0, 0, 4 UNION ALL SELECT 'Boxes', 0, 0, 0, 4")
+def used_range(spark, d):
+    return workbooks.used_range(sheet(spark, d)).select("sheet", "r0", "r1", "c0", "c1")
+
+
+@query("sheet_islands", "SELECT 'Positions' AS sheet, 0 AS island, 1 AS r0, 26 AS r1, 3 AS c0, 4 AS c1 UNION ALL SELECT 'Positions', 1, 3, 28, 0, 1 UNION ALL SELECT 'Positions', 2, 40, 44, 0, 1")
+def sheet_islands(spark, d):
+    return workbooks.islands(workbooks.data_sheets(sheet(spark, d))).select("sheet", "island", "r0", "r1", "c0", "c1").distinct()
+
+
+@query("sheet_tables", "SELECT 0 AS island, 1 AS n_headers, 26::BIGINT AS row_count, true AS floor_kept UNION ALL SELECT 1, 1, 26, true UNION ALL SELECT 2, 0, 5, true")
+def sheet_tables(spark, d):
+    return workbooks.sheet_tables(sheet(spark, d))["tables"].select("island", "n_headers", "row_count", (F.col("confidence") >= 0.75).alias("floor_kept"))
+
+
+@query("sheet_cells", "SELECT n_nationkey AS row, 0 AS col, n_name AS text FROM nation UNION ALL SELECT n_nationkey, 1, (n_regionkey * 1000 + 1500)::VARCHAR FROM nation")
+def sheet_cells(spark, d):
+    return workbooks.sheet_tables(sheet(spark, d))["cells"].where("table_id like '%-t0'").select("row", "col", "text")
+
+
+@query("fill_merges", "SELECT n_nationkey AS r, c, n_name AS text FROM nation, (SELECT unnest([0, 1, 2]) AS c)")
+def fill_merges(spark, d):
+    n = table(spark, d, "nation").select(F.lit("b").alias("file"), F.lit("s").alias("sheet"), F.lit(1).alias("sheet_no"), F.col("n_nationkey").alias("r"), F.lit(0).alias("c"), F.col("n_name").alias("text"))
+    merges = n.select("file", "sheet", "sheet_no", F.col("r").alias("r0"), F.lit(0).alias("c0"), F.col("r").alias("r1"), F.lit(2).alias("c1"))
+    return workbooks.fill_merges(n, merges).select("r", "c", "text")

@@ -1 +1,137 @@
-"""x"""
+"""Queries on links, hosts, robots rules and HTML tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridwright.functions import web
+from gridwright.sources import html
+
+from .cells import CENTS
+from .registry import query, table
+
+
+@query(
+    "anchors",
+    r"""
+WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=[^>]*>.*?</a\s*>')) AS a FROM pages)
+SELECT page_id, regexp_extract(a, '(?is)href\s*=\s*"([^"]*)"', 1) AS href FROM a""",
+)
+def anchors(spark, d):
+    return html.anchors(table(spark, d, "pages")).select("page_id", "href")
+
+
+@query("candidate_links")
+def candidate_links(spark, d):
+    return html.candidates(html.anchors(table(spark, d, "pages")))
+
+
+@query("links_by_kind")
+def links_by_kind(spark, d):
+    return html.group_by_kind(html.candidates(html.anchors(table(spark, d, "pages"))))
+
+
+@query("links_to_follow")
+def links_to_follow(spark, d):
+    return html.discover(table(spark, d, "pages"))["follow"]
+
+
+_SNIFF = (
+    (".pdf", "", "pdf", "extension"), ("", "application/pdf; q=1", "pdf", "content-type"), (".xlsx?x=1", "application/octet-stream", "spreadsheet", "extension"), (".csv", "text/plain", "csv", "extension"),
+    ("", "text/plain", "text", "content-type"), ("", "", "unknown", "unknown"), (".html", "image/png", "image", "content-type"), (".docx#p2", "", "document", "extension"),
+)
+
+
+@query("sniff_kind", f"SELECT page_id, [{', '.join(repr(x[2]) for x in _SNIFF)}][page_id % 8 + 1] AS kind, [{', '.join(repr(x[3]) for x in _SNIFF)}][page_id % 8 + 1] AS basis FROM pages")
+def sniff_kind(spark, d):
+    at = (F.col("page_id") % 8 + 1).cast("int")
+    url = F.concat(F.lit("https://example.com/x"), F.element_at(F.array(*[F.lit(x[0]) for x in _SNIFF]), at))
+    return table(spark, d, "pages").select("page_id", web.sniff_kind(url, F.element_at(F.array(*[F.lit(x[1]) for x in _SNIFF]), at)).alias("s")).select("page_id", "s.kind", "s.basis")
+
+
+_TARGETS = (
+    ("https://example.com/a", None), ("ftp://example.com/a", "BAD_SCHEME"), ("not a url", "BAD_URL"), ("http://u:p@example.com/", "CREDENTIALS_IN_URL"), ("http://example.com:22/", "BLOCKED_PORT"), ("http://127.0.0.1/", "BLOCKED_HOST"),
+    ("http://10.1.2.3/x", "BLOCKED_HOST"), ("http://169.254.169.254/latest", "BLOCKED_HOST"), ("http://172.20.0.1/", "BLOCKED_HOST"), ("http://172.32.0.1/", None), ("http://2130706433/", "BLOCKED_HOST"), ("http://db.internal/", "BLOCKED_HOST"),
+    ("http://[::1]/", "BLOCKED_HOST"), ("http://100.64.0.1/", "BLOCKED_HOST"), ("http://a.bad.example/", "HOST_BLOCKLISTED"), ("https://example.com:8443/a", None), ("http://localhost:8080/", "BLOCKED_HOST"), ("http://8.8.8.8/", None),
+)
+
+
+@query("validate_target", f"SELECT page_id, [{', '.join(repr(c) if c else 'NULL' for _, c in _TARGETS)}][page_id % {len(_TARGETS)} + 1] AS code, [{', '.join(str(c is None).lower() for _, c in _TARGETS)}][page_id % {len(_TARGETS)} + 1] AS ok FROM pages")
+def validate_target(spark, d):
+    url = F.element_at(F.array(*[F.lit(u) for u, _ in _TARGETS]), (F.col("page_id") % len(_TARGETS) + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", web.validate_target(url, block=["bad.example"]).alias("v")).select("page_id", "v.code", "v.ok")
+
+
+ROBOTS = """
+# rules
+User-agent: *
+Disallow: /private
+Allow: /private/open
+Disallow: /*.pdf$
+Crawl-delay: 2
+
+User-agent: reader
+User-agent: other
+Disallow: /en/
+"""
+
+
+@query(
+    "robots_allowed",
+    r"""
+WITH p AS (SELECT page_id, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, page_id % 4 AS w FROM pages), q AS (SELECT page_id, CASE w WHEN 0 THEN '/private/x' WHEN 1 THEN '/private/open/y' WHEN 2 THEN path || '.pdf' ELSE path END AS path, w FROM p)
+SELECT page_id, w IN (1, 3) AS allowed, CASE w WHEN 0 THEN 'Disallow: /private' WHEN 1 THEN 'Allow: /private/open' WHEN 2 THEN 'Disallow: /*.pdf$' END AS rule, 2::DOUBLE AS crawl_delay, '*' AS matched_agent FROM q""",
+)
+def robots_allowed(spark, d):
+    rules = html.parse_robots(spark.createDataFrame([("o", ROBOTS)], "origin string, text string"))
+    path, w = web.url_parts(F.col("url"))["path"], F.col("page_id") % 4
+    asked = F.when(w == 0, "/private/x").when(w == 1, "/private/open/y").when(w == 2, F.concat(path, F.lit(".pdf"))).otherwise(path)
+    return html.robots_allowed(table(spark, d, "pages").select("page_id", F.lit("o").alias("origin"), asked.alias("path")), rules).drop("origin", "path")
+
+
+@query("robots_own_agent", r"SELECT page_id, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) NOT LIKE '/en/%' AS allowed, 'reader' AS matched_agent FROM pages")
+def robots_own_agent(spark, d):
+    rules = html.parse_robots(spark.createDataFrame([("o", ROBOTS)], "origin string, text string"))
+    return html.robots_allowed(table(spark, d, "pages").select("page_id", F.lit("o").alias("origin"), web.url_parts(F.col("url"))["path"].alias("path")), rules, "Reader").select("page_id", "allowed", "matched_agent")
+
+
+@query(
+    "filenames",
+    r"""SELECT page_id, coalesce(nullif(regexp_extract(url, '://[^/?#]*/(?:[^?#]*/)?([^/?#]+)/?(?:[?#].*)?$', 1), ''), 'download') AS name FROM pages""",
+)
+def filenames(spark, d):
+    return table(spark, d, "pages").select("page_id", web.filename_from_url(F.col("url")).alias("name"))
+
+
+@query("redirects", "SELECT page_id, 'https://example.com/' || (page_id + least(10 - page_id % 10, 6)) AS final, CAST(least(10 - page_id % 10, 6) AS INTEGER) AS n_hops, 10 - page_id % 10 <= 5 AS ok FROM pages WHERE page_id % 10 <> 0")
+def redirects(spark, d):
+    p = table(spark, d, "pages").select("page_id")
+    at = lambda c: F.concat(F.lit("https://example.com/"), c.cast("string"))
+    # Page n leads to n + 1, and every tenth is an end.
+    hops = p.select(F.explode(F.sequence(F.col("page_id"), F.col("page_id") + 10)).alias("n")).distinct().where("n % 10 != 0").select(at(F.col("n")).alias("url"), at(F.col("n") + 1).alias("location"))
+    asked = p.where("page_id % 10 != 0").select("page_id", at(F.col("page_id")).alias("url"))
+    return asked.join(html.follow_redirects(asked.select("url"), hops), "url").select("page_id", "final", "n_hops", "ok")
+
+
+@query(
+    "html_table_spans",
+    """
+WITH o AS (SELECT o_custkey AS k, o_orderkey, o_orderstatus AS s, CAST(round(o_totalprice * 100) AS BIGINT) AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders)
+SELECT k AS page_id, CAST(r AS INTEGER) AS row, i AS col, CASE i WHEN 0 THEN 'all' WHEN 1 THEN o_orderkey || ' & ' || s ELSE format('{:,}', c) END AS text FROM o, (SELECT unnest([0, 1, 2]) AS i)
+UNION ALL SELECT DISTINCT k, 0, i, CASE i WHEN 0 THEN 'Group' ELSE 'Order' END FROM o, (SELECT unnest([0, 1, 2]) AS i)""",
+)
+def html_table_spans(spark, d):
+    return _statements(spark, d).select("page_id", "row", "col", "text")
+
+
+@query("html_table_headers", "SELECT o_custkey AS page_id, 'Orders of ' || o_custkey AS title, 1 AS n_headers, 2 AS spanned, CASE WHEN count(*) >= 2 THEN 1.0::DOUBLE ELSE 0.85::DOUBLE END AS confidence FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+def html_table_headers(spark, d):
+    n = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("page_id")).count().where("count > 1").select("page_id")
+    return _statements(spark, d).join(n, "page_id", "left_semi").select("page_id", "title", "n_headers", "spanned", F.round("confidence", 6).alias("confidence")).distinct()
+
+
+def _statements(spark, d):
+    o = table(spark, d, "orders").selectExpr("o_custkey as page_id", "o_orderkey", "o_orderstatus as s", f"format_number({CENTS}, 0) as c")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "s", "c"))), lambda x, i: F.concat(F.lit("<tr>"), F.when(i == 0, F.lit("<td rowspan=@>all</td>")).otherwise(F.lit("")), F.lit("<td>"), x["o_orderkey"].cast("string"), F.lit(" &amp; "), x["s"], F.lit("</td><td>"), x["c"], F.lit("</td></tr>")))
+    made = o.groupBy("page_id").agg(rows.alias("rows")).select("page_id", F.concat(F.lit("<p>Orders of "), F.col("page_id").cast("string"), F.lit("</p><table><thead><tr><th>Group</th><th colspan=2>Order</th></tr></thead>"), F.replace(F.array_join("rows", ""), F.lit("@"), F.size("rows").cast("string")), F.lit("</table>")).alias("html"))
+    return html.html_tables(made)

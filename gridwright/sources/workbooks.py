@@ -12,6 +12,7 @@ import zipfile
 from xml.etree import ElementTree as ET
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -150,7 +151,8 @@ def header_rows(grid: DataFrame) -> DataFrame:
 
 def sheet_tables(cells: DataFrame) -> dict[str, DataFrame]:
     """tables, cells and headers of sheet_cells: confidence is at least LEAST_CONFIDENCE, as a sheet is a grid already."""
-    grid = island_grids(islands(data_sheets(cells)))
+    # Several branches read the grid; kept parts that are lost are computed again.
+    grid = island_grids(islands(data_sheets(cells))).persist(StorageLevel.MEMORY_AND_DISK)
     verdict = classify(grid, keys=ISLAND)
     ident = F.concat_ws("-", "file", F.concat(F.lit("s"), "sheet_no"), F.concat(F.lit("t"), "island"))
     tables = verdict.join(header_rows(grid), ISLAND).withColumns({"table_id": ident, "confidence": F.greatest("confidence", F.lit(LEAST_CONFIDENCE)), "title": F.col("sheet"), "section": F.lit("other"), "origin": F.lit("xlsx"), "page": F.col("sheet_no")})
