@@ -114,7 +114,7 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray
     factor = np.random.default_rng(7).integers(0, 2**64, size=k, dtype=U) | U(1)
     for j in range(k):
         part = np.zeros(n, U)
-        part[: n - j] = hashes[j:] * factor[j]
+        part[: max(0, n - j)] = hashes[j:] * factor[j]
         total += np.where(left > j, part, U(j + 1))
     keep = full | short
     return mix(total[keep]), np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
