@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, WORD, again_shuffled, keyed, let, materialize, table, words
+from .common import BLANKS, WORD, again_shuffled, keyed, let, materialize, table, word_count, words
 
 MIN_DOCS, SHARE, MAX_LOSS = 5, 10, 70
 MIN_WORDS, MAX_REPEAT = 50, 50
@@ -93,9 +93,11 @@ def clean_documents(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SH
     """docs without the documents that the rules reject, and without the frequent lines of those kept. All columns stay."""
     k1, k2 = _keys()
     gone = again_shuffled(frequent_lines(docs, min_docs, share).select(F.col("k1").alias("__a"), F.col("k2").alias("__b"), F.col("n_gone").alias("__n"), F.col("bad").alias("__bad")))
-    m = base_measures(F.col("text"))
-    good = docs.withColumn("__m", m).where((F.col("__m.n_words") >= MIN_WORDS) & (100 * F.col("__m.n_repeat_words") <= MAX_REPEAT * F.col("__m.n_words"))).withColumns({"__k1": k1, "__k2": k2})
-    both = good.join(gone, F.expr("__k1 = __a and __k2 = __b"), "left").where(100 * F.coalesce("__n", F.lit(0)) <= max_loss * F.col("__m.n_words"))
+    # One expression, so that the filter holds the measures once: as a column they would be copied into it for each field.
+    sound = let(base_measures(F.col("text")), lambda m: (m["n_words"] >= MIN_WORDS) & (100 * m["n_repeat_words"] <= MAX_REPEAT * m["n_words"]))
+    good = docs.where(sound).withColumns({"__k1": k1, "__k2": k2})
+    held = F.col("__n").isNull() | (100 * F.col("__n") <= max_loss * word_count(F.col("text")))
+    both = good.join(gone, F.expr("__k1 = __a and __k2 = __b"), "left").where(held)
     key = lambda x: let(_line_hash(x), lambda h: F.struct(h["h1"].alias("h1"), h["h2"].alias("h2")))
     rest = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("__bad"), key(x))), "\n")
     text = F.when(F.col("__bad").isNull(), F.col("text")).otherwise(rest)
