@@ -255,31 +255,25 @@ def statement(figures=True):
 
 
 def test_extraction(spark):
-    words = [("d", 1, i, *w) for i, w in enumerate(statement())] + [("d", 2, 0, "Downloaded", 50.0, 50.0, 100.0, 60.0), ("d", 2, 1, "today", 103.0, 50.0, 130.0, 60.0)]
-    got = pages.extract_tables(spark.createDataFrame(words, "doc_id string, page int, word_idx long, text string, x double, y double, x1 double, y1 double"))
-    flags = {r.page: (r.needs_ocr, r.section) for r in got["pages"].collect()}
-    assert flags == {1: (False, "statements"), 2: (True, "statements")}
-    (t,) = got["tables"].collect()
-    assert t.column_count == 3 and t.note_ref == "15" and t.title == "Inventories" and t.section == "notes" and t.confidence > 0.8
-    table = {(r.row, r.col): r.text for r in got["cells"].collect()}
-    assert [table[1, c] for c in range(3)] == ["Finished goods", "201,455", "180,220"] and table[0, 1] == ""
-    assert sorted((r.col, r.text) for r in got["headers"].collect()) == [(0, ""), (1, "2011"), (2, "2010")]
-    labels = spark.createDataFrame([(t.table_id, 1, "2011"), (t.table_id, 2, "2010")], "table_id string, col int, label string")
-    assert {r.check_total for r in verify.check_totals(got["cells"], labels).collect()} == {"2011: ok; 2010: ok"}
-    assert [r.reason for r in got["removed"].where("page = 2").collect()] == ["stamp:download-stamp"]
-
-
-def test_prose_is_no_table(spark):
-    words, i = [], 0
-    for line in range(45):
-        x = 50.0
-        for k in range(12):
-            w = "word" + "x" * ((line * 7 + k * 3) % 5)
-            words.append(("p", 1, i, w, x, 60.0 + 14 * line, x + 5 * len(w), 70.0 + 14 * line))
-            x += 5 * len(w) + 2.8
-            i += 1
-    got = pages.extract_tables(spark.createDataFrame(words, "doc_id string, page int, word_idx long, text string, x double, y double, x1 double, y1 double"))
-    assert got["tables"].count() == 0 and got["rejected"].count() == 1
+    """The stages one by one; the whole pipeline is held against SQL by the queries extracted_tables and extracted_cells."""
+    from gridwright.operators.extract import grids as g
+    from gridwright.operators.extract import lines as li
+
+    words = spark.createDataFrame([("d", 1, i, *w) for i, w in enumerate(statement())], "doc_id string, page int, word_idx long, text string, x double, y double, x1 double, y1 double")
+    raw = li.assign_lines(li.normalise_words(words)).persist()
+    rows_, metrics = li.lines(raw).persist(), li.page_metrics(raw).persist()
+    assert [r.text for r in rows_.orderBy("line").limit(2).collect()] == ["Statement of Financial Position", "15. Inventories"]
+    cells = li.split_cells(raw, metrics).persist()
+    grid = g.flagged(g.band_cells(cells, li.bands(rows_, metrics), metrics)).persist()
+    good = grid.where("reason is null")
+    (v,) = g.classify(good, metrics.select("doc_id", "page", "median_height")).collect()
+    assert v.is_table and v.column_count == 3 and v.confidence > 0.8
+    assert [r.n_headers for r in g.header_counts(good).collect()] == [1]
+    table = {(r.row, r.col): r.text for r in good.collect()}
+    assert [table[2, c] for c in range(3)] == ["Finished goods", "201,455", "180,220"] and [table[0, c] for c in range(3)] == ["", "2011", "2010"]
+    assert [(r.number, r.title) for r in pages.note_headings(rows_).collect()] == [("15", "Inventories")]
+    for df in (raw, rows_, metrics, cells, grid):
+        df.unpersist()
 
 
 def test_optical_words(spark):
