@@ -67,7 +67,7 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     docs = spark.createDataFrame([(i, own(i) + "\nShared  LINE 12 here", "a") for i in range(20)] + [(100 + i, f"{shared}\nend{i}", "b") for i in range(20)] + [(200, f"{shared}\nend", "c")], "doc_id long, text string, source string")
     got = {r.doc_id: r for r in line_frequency.judge(docs).collect()}
     assert got[0].kept and got[0].n_gone_words == 4
-    assert not got[105].kept and got[105].n_gone_words == 50
+    assert not got[105].kept and got[105].n_gone_words == 51  # digits are alike, so the last lines are one too
     assert got[200].kept  # counted for each host
     assert {r.text for r in line_frequency.clean_documents(docs).where("doc_id < 100").collect()} == {own(i) for i in range(20)}
 
