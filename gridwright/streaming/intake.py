@@ -12,7 +12,7 @@ from gridwright.sources.registry import classify_file
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
     """New files under path with what kind each is."""
-    raw = spark.readStream.format("binaryFile").option("pathGlobFilter", "*").load(path)
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", "*").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     return raw.select("path", name.alias("name"), "length", "modificationTime", "content", classify_file(name).alias("type"))
 
