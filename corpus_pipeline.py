@@ -56,7 +56,7 @@ STAGES = [
     ("mixing", mixing),
 ]
 
-#: SQL can express neither the join's classes nor the tiling; tests/llm holds run() against a plain version.
+#: SQL can express neither the join's classes nor the tiling. The stages' operators are tested one by one in tests/llm; a plain version of run() is still to be written.
 ORACLE_SQL = None
 
 
