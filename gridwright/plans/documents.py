@@ -106,8 +106,8 @@ def doc_meta(spark, d):
 # Tables laid out as words: customer's orders, label left, two right-aligned columns of figures.
 
 
-def statement_words(spark, d):
-    o = table(spark, d, "orders").where("o_custkey % 3 = 0").selectExpr("o_custkey as k", "o_orderkey", f"format_number({CENTS}, 0) as a", f"format_number({CENTS} + 1234, 0) as b")
+def statement_words(spark, d, which="o_custkey % 3 = 0"):
+    o = table(spark, d, "orders").where(which).selectExpr("o_custkey as k", "o_orderkey", f"format_number({CENTS}, 0) as a", f"format_number({CENTS} + 1234, 0) as b")
     from pyspark.sql import Window as W
 
     o = o.withColumn("r", F.row_number().over(W.partitionBy("k").orderBy("o_orderkey")))
@@ -145,6 +145,37 @@ def page_metrics(spark, d):
     return lines.page_metrics(w).select("doc_id", "page", "median_height", "line_count", "word_count", "median_line_spacing")
 
 
+# The same four over every customer's orders.
+
+_ALL = _ORDERS.replace(" WHERE o_custkey % 3 = 0", "")
+
+
+def _all_words(spark, d):
+    return lines.assign_lines(lines.normalise_words(statement_words(spark, d, "true")))
+
+
+@query("line_texts_all", _ALL + "SELECT doc_id, CAST(r AS INTEGER) AS line, 'Order number ' || o_orderkey || ' ' || format('{:,}', c) || ' ' || format('{:,}', c + 1234) AS text FROM o UNION ALL SELECT DISTINCT doc_id, 0, '2011 2010' FROM o")
+def line_texts_all(spark, d):
+    return lines.lines(_all_words(spark, d)).select("doc_id", "line", "text")
+
+
+@query("line_cells_all", _ALL + "SELECT doc_id, CAST(r AS INTEGER) AS line, i AS cell, CASE i WHEN 0 THEN 'Order number ' || o_orderkey WHEN 1 THEN format('{:,}', c) ELSE format('{:,}', c + 1234) END AS text, i > 0 AS is_figure FROM o, (SELECT unnest([0, 1, 2]) AS i) UNION ALL SELECT DISTINCT doc_id, 0, i, CASE i WHEN 0 THEN '2011' ELSE '2010' END, true FROM o, (SELECT unnest([0, 1]) AS i)")
+def line_cells_all(spark, d):
+    w = _all_words(spark, d)
+    return lines.split_cells(w, lines.page_metrics(w)).select("doc_id", "line", "cell", "text", "is_figure")
+
+
+@query("page_metrics_all", _ALL + "SELECT doc_id, 1 AS page, 10::DOUBLE AS median_height, CAST(n + 1 AS BIGINT) AS line_count, CAST(n * 5 + 2 AS BIGINT) AS word_count, 14::DOUBLE AS median_line_spacing FROM o GROUP BY doc_id, n")
+def page_metrics_all(spark, d):
+    return lines.page_metrics(_all_words(spark, d)).select("doc_id", "page", "median_height", "line_count", "word_count", "median_line_spacing")
+
+
+@query("page_verdicts_all", _ALL + "SELECT DISTINCT doc_id, 1 AS page, 'tabular' AS verdict FROM o")
+def page_verdicts_all(spark, d):
+    w = _all_words(spark, d)
+    return grids.classify_page(lines.lines(w), lines.split_cells(w, lines.page_metrics(w)))
+
+
 @query(
     "extracted_cells",
     _ORDERS + "SELECT doc_id, CAST(r - 1 AS INTEGER) AS row, i AS col, CASE i WHEN 0 THEN 'Order number ' || o_orderkey WHEN 1 THEN format('{:,}', c) ELSE format('{:,}', c + 1234) END AS text FROM o, (SELECT unnest([0, 1, 2]) AS i) WHERE n >= 6",
