@@ -257,7 +257,7 @@ def _links(batches):
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> node, class_id, n_links, n_copies, n_shingles: one row for each distinct text."""
+    """docs(doc_id, text) -> node, root (a text of the class, the same for all of it), class_id, n_links, n_copies, n_shingles: one row for each distinct text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", node_of(F.col("text")).alias("node"))
     signed = rows.mapInArrow(_signed, f"doc_id {kind}, node bigint, n_shingles bigint, signature binary")
@@ -282,7 +282,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     own = nodes.select("node", "first_doc", "n_copies", "n_shingles").join(again_shuffled(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     own = materialize(own.join(again_shuffled(counted), "node", "left").na.fill(0, ["n_links"]))
     classes = own.where("n_links > 0").groupBy("root").agg(F.min("first_doc").alias("class_id"))
-    return own.join(again_shuffled(classes), "root", "left").select("node", F.when(F.col("n_links") > 0, F.col("class_id")).otherwise(F.col("first_doc")).alias("class_id"), "n_links", "n_copies", "n_shingles")
+    return own.join(again_shuffled(classes), "root", "left").select("node", "root", F.when(F.col("n_links") > 0, F.col("class_id")).otherwise(F.col("first_doc")).alias("class_id"), "n_links", "n_copies", "n_shingles")
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
@@ -294,11 +294,11 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each class: that with the class's least doc_id; of rows that share it, one with the least text. All columns stay."""
-    classes = near_duplicate_classes(docs).select(F.col("node").alias("__c"), F.col("class_id").alias("__id"))
+    classes = near_duplicate_classes(docs).select(F.col("node").alias("__c"), F.col("root").alias("__root"), F.col("class_id").alias("__id"))
     mine = docs.withColumn("__node", node_of(F.col("text")))
     both = mine.join(again_shuffled(classes), F.expr("__node = __c")).where(F.col("doc_id").eqNullSafe(F.col("__id")))
-    # A row for each class is left but where doc_id repeats; without any id, each text is a class.
-    rows = both.groupBy("__id", F.when(F.col("__id").isNull(), F.col("__node")).alias("__n")).agg(F.min_by(F.struct(*docs.columns), F.struct("__node", *[F.col(c).cast("string") for c in docs.columns if c != "text"])).alias("row"))
+    # A row for each class is left but where doc_id repeats within it or is null; classes that share an id stay apart.
+    rows = both.groupBy("__root").agg(F.min_by(F.struct(*docs.columns), F.struct("__node", *[F.col(c).cast("string") for c in docs.columns if c != "text"])).alias("row"))
     return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 

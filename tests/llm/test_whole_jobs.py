@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 
-from gridwright.llm import context_tree
+from gridwright.llm import bayes_join, context_tree
 
 from .test_methods import plain_ctw
 
@@ -24,3 +24,12 @@ def test_every_context_is_kept(spark, monkeypatch):
         if t in rare:
             assert got[i].held_out == (i in held)
             assert math.isclose(got[i].score / math.log10(2), plain[rare.index(t)], abs_tol=1e-3)
+
+
+def test_texts_that_share_an_id_stay_apart(spark):
+    """One doc_id on two unlikely texts is two classes; near copies without ids are one."""
+    text = lambda w, n=60: " ".join(f"{w}{i}" for i in range(n))
+    rows = [(1, text("a")), (1, text("b")), (2, text("b") + " more"), (None, text("c")), (None, text("c") + " more"), (3, text("d"))]
+    kept = bayes_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted((r.doc_id or 0, r.text[0]) for r in kept)
+    assert found == [(0, "c"), (1, "a"), (1, "b"), (3, "d")]
