@@ -3,14 +3,15 @@ r"""Quality rules: cross-document line frequency.
 Lines are \n-split and normalised (lower case, digit runs as 0, blanks collapsed and trimmed),
 then hashed to 128 bits. Within a host (here: `source`) a line's count is the number of distinct
 texts that hold it, so exact copies of one text, which are deduplication's business, count once.
-A line in more than max(min_docs, share of the host's distinct texts) is removed; a document that
+A line is removed if it is in more than `max_docs` distinct texts of the host, or, on hosts too
+small for that, in more than `share` per cent of them and more than `min_docs`; a document that
 loses more than `max_loss` per cent of its words this way is depleted and rejected.
 
 The base rules are fixed: a document fails with under 50 words, or when over half of its words lie
 in three-word windows that occur twice or more in it.
 
 Only hashes cross exchanges, never texts; counts are pre-aggregated before them, and the table of
-frequent lines (at most lines / limit for each host) is joined by a plain exchange on either side,
+frequent lines (at most lines / min_docs for each host) is joined by a plain exchange on either side,
 which adaptive execution splits where one line is hot.
 
 Defined cases: a null text is an empty one and fails the base rules; null is a host of its own;
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, WORD, again_shuffled, keyed, let, materialize, table, word_count, words
 
-MIN_DOCS, SHARE, MAX_LOSS = 5, 10, 70
+MIN_DOCS, SHARE, MAX_DOCS, MAX_LOSS = 5, 10, 100, 70
 MIN_WORDS, MAX_REPEAT = 50, 50
 
 
@@ -59,7 +60,7 @@ def _line_hash(line: Column) -> Column:
     return let(normal, lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2"), F.regexp_count(x, F.lit(WORD)).cast("long").alias("n")))
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
     """docs(source, text) -> k1, k2, n_gone, bad: for each distinct (source, text) with frequent lines, the words in them and their hashes."""
     lines = F.filter(F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), _line_hash), lambda x: x["n"] > 0)
     rows = keyed(docs, "source", "text").select("source", "k1", "k2", lines.alias("lines"))
@@ -67,16 +68,17 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHA
     distinct = F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2")))))
     hosts = one.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
     counts = one.select("source", distinct.alias("h")).groupBy("source", "h.h1", "h.h2").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > min_docs)
-    over = counts.alias("c").join(hosts.alias("n"), F.expr("c.source <=> n.source")).where(F.col("df") * 100 > share * F.col("n_docs")).select("c.source", "c.h1", "c.h2")
+    limits = (F.col("df") > max_docs) | (F.col("df") * 100 > share * F.col("n_docs"))
+    over = counts.alias("c").join(hosts.alias("n"), F.expr("c.source <=> n.source")).where(limits).select("c.source", "c.h1", "c.h2")
     held = one.select("k1", "k2", "source", F.explode("lines").alias("x")).alias("l")
     hit = held.join(again_shuffled(over).alias("o"), F.expr("l.x.h1 = o.h1 and l.x.h2 = o.h2 and l.source <=> o.source"))
     return hit.groupBy("k1", "k2").agg(F.sum("x.n").alias("n_gone"), F.collect_set(F.struct(F.col("x.h1").alias("h1"), F.col("x.h2").alias("h2"))).alias("bad"))
 
 
-def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, max_loss: float = MAX_LOSS) -> DataFrame:
+def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, max_docs: int = MAX_DOCS, max_loss: float = MAX_LOSS) -> DataFrame:
     """docs(doc_id, source, text) -> doc_id, the base measures, base_failed, kept, n_gone_words: one row for each row."""
     rows = docs.select("doc_id", *_keys(), base_measures(F.col("text")).alias("m")).select("doc_id", "k1", "k2", "m.*")
-    gone = again_shuffled(frequent_lines(docs, min_docs, share).select("k1", "k2", "n_gone"))
+    gone = again_shuffled(frequent_lines(docs, min_docs, share, max_docs).select("k1", "k2", "n_gone"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     n_gone = F.coalesce(F.col("n_gone"), F.lit(0))
     return rows.join(gone, ["k1", "k2"], "left").select(
@@ -89,10 +91,10 @@ def _keys() -> list[Column]:
     return [F.xxhash64(*first).alias("k1"), F.xxhash64(F.lit(1), *reversed(first)).alias("k2")]
 
 
-def clean_documents(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, max_loss: float = MAX_LOSS) -> DataFrame:
+def clean_documents(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, max_docs: int = MAX_DOCS, max_loss: float = MAX_LOSS) -> DataFrame:
     """docs without the documents that the rules reject, and without the frequent lines of those kept. All columns stay."""
     k1, k2 = _keys()
-    gone = again_shuffled(frequent_lines(docs, min_docs, share).select(F.col("k1").alias("__a"), F.col("k2").alias("__b"), F.col("n_gone").alias("__n"), F.col("bad").alias("__bad")))
+    gone = again_shuffled(frequent_lines(docs, min_docs, share, max_docs).select(F.col("k1").alias("__a"), F.col("k2").alias("__b"), F.col("n_gone").alias("__n"), F.col("bad").alias("__bad")))
     # One expression, so that the filter holds the measures once: as a column they would be copied into it for each field.
     sound = let(base_measures(F.col("text")), lambda m: (m["n_words"] >= MIN_WORDS) & (100 * m["n_repeat_words"] <= MAX_REPEAT * m["n_words"]))
     good = docs.where(sound).withColumns({"__k1": k1, "__k2": k2})
@@ -119,7 +121,7 @@ hl AS (SELECT rid, source, text, line, trim(regexp_replace(regexp_replace(lower(
 dl AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM hl GROUP BY rid),
 df AS (SELECT source, x, count(DISTINCT text) AS df FROM hl GROUP BY source, x),
 hosts AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY source),
-bad AS (SELECT df.source, x FROM df JOIN hosts ON df.source IS NOT DISTINCT FROM hosts.source WHERE df > {MIN_DOCS} AND df * 100 > {SHARE} * n),
+bad AS (SELECT df.source, x FROM df JOIN hosts ON df.source IS NOT DISTINCT FROM hosts.source WHERE df > {MIN_DOCS} AND (df > {MAX_DOCS} OR df * 100 > {SHARE} * n)),
 gone AS (SELECT rid, sum(len(regexp_extract_all(hl.x, '[^\x20\x09-\x0D]+'))) AS n FROM hl JOIN bad ON hl.x = bad.x AND hl.source IS NOT DISTINCT FROM bad.source GROUP BY rid),
 m AS (SELECT d.rid, doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
        CAST(len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dl.n, 0) AS BIGINT) AS n_dup_lines,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 
-from gridwright.llm import bayes_join, context_tree
+from gridwright.llm import bayes_join, context_tree, line_frequency
 
 from .test_methods import plain_ctw
 
@@ -33,3 +33,18 @@ def test_texts_that_share_an_id_stay_apart(spark):
     kept = bayes_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     found = sorted((r.doc_id or 0, r.text[0]) for r in kept)
     assert found == [(0, "c"), (1, "a"), (1, "b"), (3, "d")]
+
+
+def test_lines_shared_on_a_large_host_go(spark):
+    """A line in thousands of a large host's texts is over the limit though it is under a tenth of them; texts made of such lines are depleted."""
+    own = lambda i: " ".join(f"{chr(97 + j % 26)}{i}x{j}q" for j in range(60)).translate(str.maketrans("0123456789", "zyxwvutsrq"))
+    shared = [" ".join(f"{c}{chr(97 + j)}" for j in range(20)) for c in "abcd"]
+    many = [(i, own(i) + ("\n" + shared[i % 4] if i < 1200 else ""), "hot") for i in range(13000)]
+    made = [(20000, "\n".join(shared), "hot"), (20001, "\n".join(shared), "other")]
+    docs = spark.createDataFrame(many + made, "doc_id long, text string, source string").repartition(4)
+    got = {r.doc_id: r for r in line_frequency.judge(docs).collect()}
+    assert all(got[i].kept and got[i].n_gone_words == 20 for i in range(1200)) and got[1200].n_gone_words == 0
+    assert not got[20000].kept and not got[20000].base_failed and got[20000].n_gone_words == 80
+    assert got[20001].kept
+    small = spark.createDataFrame([(i, own(i) + ("\n" + shared[0] if i < 7 else ""), "small") for i in range(60)], "doc_id long, text string, source string")
+    assert {r.doc_id for r in line_frequency.judge(small).collect() if r.n_gone_words} == set(range(7))
