@@ -1,27 +1,35 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 Two texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-Words are runs of non-blanks, ASCII-lowered; a text of one to four words has one shingle of them
-all; a text without words has none and no links.
+Words are runs of ASCII letters, digits and non-ASCII characters, ASCII-lowered, so punctuation and
+case don't count; a text of one to four words has one shingle of them all; a text without words has
+none and no links.
 
-1. Equal texts are one node. Each node has HASHES MinHash values; BANDS bands of ROWS of them name
-   its buckets (a pair at 0.8 shares one with a chance of 0.99995, a higher one with more).
+1. Equal texts, told apart by 128 bits, are one node, numbered when the nodes are written. Each has
+   HASHES MinHash values; BANDS bands of ROWS of them name its buckets (a pair at 0.8 shares one
+   with a chance of 0.99995, a higher one with more).
 2. Of buckets with equal members one is kept. In a bucket, MinHash values are compared STEP at a
    time; a pair is dropped as soon as the posterior probability that its similarity reaches the
    threshold, under a uniform prior, is below TOLERANCE. Of the pairs that survive, a bucket tells
-   only a spanning forest, so a bucket of n texts sends at most n - 1 rows on.
+   only a spanning forest, so a bucket of n texts sends at most n rows on.
 3. Connected components of these edges bring together all texts that can be linked. There pairs are
-   pruned the same way and the rest verified exactly on whole shingle sets; each node's links are
-   counted where its pair is verified, and again only spanning forests are sent on.
-4. Their components are the classes: class_id is the least doc_id in one.
+   pruned the same way and the rest verified exactly on whole shingle sets.
+4. Components of the verified links are the classes: class_id is the least doc_id in one, and
+   class_key, 128 bits in hex, tells classes apart that share a doc_id.
 
-Groups larger than BLOCK texts (or BLOCK_SHINGLES shingles) are cut into blocks, and each pair of
-blocks is a task of its own: no group meets in one task, no pair is lost, none is counted twice,
-and pairs are never rows.
+Where only the classes count (all buckets, and keep_one), a large group is first compared with one
+of its texts, its pivot; what is linked with that is settled, and only pairs with a text that isn't
+are compared further. jaccard_join counts links, so there every pair of a component is.
+
+Groups of more than BLOCK texts (or BLOCK_SHINGLES shingles) are cut into blocks, each pair of which
+is a task's unit: no group meets in one task, no pair is lost, none is counted twice, and pairs are
+never rows. Blocks grow with the square root of the group, so a text is sent to that many tasks and
+not to n of them, and carries its shingles, which are made once.
 
 Defined cases: a null text is a text without words; copies of a text share its class and links;
-rows may repeat and doc_id may be null (a class of null ids only has class_id null); an empty table
-gives an empty result; other columns are ignored (keep_one carries them through).
+rows may repeat and doc_id may be null (a class of null ids only has class_id null) or stand on
+several texts; an empty table gives an empty result; other columns are ignored (keep_one carries
+them through).
 """
 
 from __future__ import annotations
@@ -40,7 +48,7 @@ from .components import components
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 HASHES, STEP, TOLERANCE = BANDS * ROWS, 25, 1e-5
-BLOCK, BLOCK_SHINGLES = 512, 400_000
+BLOCK, BLOCK_SHINGLES, TILE = 256, 200_000, 512
 U = np.uint64
 
 _random = np.random.default_rng(5)
@@ -48,14 +56,15 @@ _XOR, _TIMES = _random.integers(0, 2**64, size=(2, HASHES), dtype=U)
 _TIMES |= U(1)
 
 
-def node_of(text: Column) -> Column:
-    """64 bits for a text; equal texts, and null and the empty text, have the same."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+def keys_of(text: Column) -> list[Column]:
+    """128 bits for a text; equal texts, and null and the empty text, have the same."""
+    t = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(1), t).alias("k2")]
 
 
 def sets(texts: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
     """The shingles of each text, with repeats, and how many each has."""
-    w = tb.words(texts)
+    w = tb.words(texts, tb.ALNUM)
     return tb.shingles(w.hashes, w.counts, WIDTH)
 
 
@@ -135,6 +144,8 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def verified(own: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
     """Which pairs of sorted shingle sets reach the threshold."""
+    used = np.unique(np.append(i, j))
+    own, i, j = [own[k] for k in used], np.searchsorted(used, i), np.searchsorted(used, j)
     size = np.array([len(x) for x in own])
     if len(i) < 4 * len(own):
         both = np.array([len(np.intersect1d(own[p], own[q], assume_unique=True)) for p, q in zip(i, j, strict=True)], np.int64)
@@ -165,14 +176,24 @@ def _signed(batches):
             signature = minhashes(shingle, counts)
             part = batch.slice(texts.first, len(texts))
             flat = pa.array([x.tobytes() for x in signature], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(counts.astype(np.int64)), flat], ["doc_id", "node", "n_shingles", "signature"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "k1", "k2")), pa.array(counts.astype(np.int64)), flat], ["doc_id", "k1", "k2", "n_shingles", "signature"])
 
 
 def _banded(batches):
     for batch in batches:
         s = _matrix(batch.column("signature"))
         keys = buckets(s)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), BANDS)), pa.array(keys.ravel())], ["node", "bucket"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), BANDS)), pa.array(keys.ravel())], ["node", "grp"])
+
+
+def _shingled(batches):
+    """The texts' sorted shingle sets in their place."""
+    for batch in batches:
+        for texts in tb.chunks(batch.column("text")):
+            shingle, counts = sets(texts)
+            own = [np.unique(x).tobytes() for x in np.split(shingle, np.cumsum(counts)[:-1])]
+            part = batch.slice(texts.first, len(texts))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("grp", "node", "signature")), pa.array(own, pa.binary())], ["grp", "node", "signature", "shingles"])
 
 
 def _matrix(column) -> np.ndarray:
@@ -205,100 +226,153 @@ def groups(batches, *keys: str):
         yield pa.Table.from_batches(held)
 
 
-def blocked(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
-    """rows once for each pair of blocks of their group: lo, hi, and block, the row's own. blocks: how many the group has."""
-    n = blocks.cast("int")
-    rows = rows.withColumn("__n", F.greatest(n, F.lit(1))).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("__n")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
-    rows = rows.withColumn("__o", other).withColumns({"lo": F.least("block", "__o"), "hi": F.greatest("block", "__o")}).drop("__n", "__o")
-    return rows.repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi", "node")
+def linked(t: pa.Table, a: np.ndarray, b: np.ndarray, same: bool):
+    """Pairs of rows (of a, of b; each pair once if they are the same) that survive and, if t has shingles, reach the threshold: some at a time, as two arrays of rows."""
+    s = _matrix(t.column("signature"))
+    own = [np.frombuffer(x, U) for x in t.column("shingles").to_pylist()] if "shingles" in t.column_names else None
+    for x in range(0, len(a), TILE):
+        for y in range(x if same else 0, len(b), TILE):
+            rows, columns = a[x : x + TILE], b[y : y + TILE]
+            i, j = surviving(s[rows], s[columns], same and x == y)
+            i, j = rows[i], columns[j]
+            if own is not None and len(i):
+                yes = verified(own, i, j)
+                i, j = i[yes], j[yes]
+            if len(i):
+                yield i, j
+
+
+def _told(node: np.ndarray, root: np.ndarray, links: np.ndarray):
+    some = np.flatnonzero(links)
+    if len(some):
+        yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(root[some]), pa.array(links[some].astype(np.int64))], ["node", "root", "links"])
+
+
+def _by_blocks(batches):
+    """For each pair of blocks: its nodes with links, a node that stands for all they are connected to, and their links."""
+    for t in groups(batches, "grp", "lo", "hi"):
+        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        block, node = t.column("block").to_numpy(), t.column("node").to_numpy()
+        links, edges = np.zeros(len(node), np.int64), [np.empty((2, 0), np.int64)]
+        for i, j in linked(t, np.flatnonzero(block == lo), np.flatnonzero(block == hi), lo == hi):
+            links += np.bincount(i, minlength=len(node)) + np.bincount(j, minlength=len(node))
+            used = np.unique(np.append(i, j))
+            label = used[forest(len(used), np.searchsorted(used, i), np.searchsorted(used, j))]
+            edges.append(np.stack([used, label])[:, used != label])
+        label = forest(len(node), *np.concatenate(edges, axis=1))
+        yield from _told(node, node[label], links)
+
+
+def _by_pivot(batches):
+    """For each block of a group and its pivot: the nodes linked with that."""
+    for t in groups(batches, "grp", "block"):
+        node = t.column("node").to_numpy()
+        is_pivot = node == t.column("pivot")[0].as_py()
+        found = np.zeros(len(node), bool)
+        for _, j in linked(t, np.flatnonzero(is_pivot), np.flatnonzero(~is_pivot), False):
+            found[j] = True
+        yield from _told(node, np.full(len(node), t.column("pivot")[0].as_py()), found)
 
 
-def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
-    lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-    block = t.column("block").to_numpy()
-    return np.flatnonzero(block == lo), np.flatnonzero(block == hi), lo == hi
+def blocks_of(n: Column, shingles: Column) -> Column:
+    """Into how many blocks n texts with so many shingles are cut."""
+    size = F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(n) * 4))
+    return F.greatest(F.ceil(n / size), F.ceil(shingles / BLOCK_SHINGLES * BLOCK / size)).cast("int")
 
 
-def _candidates(batches):
-    for t in groups(batches, "bucket", "lo", "hi"):
-        a, b, same = _sides(t)
-        s = _matrix(t.column("signature"))
-        i, j = surviving(s[a], s[b], same)
-        label = forest(len(s), a[i], b[j])
-        node = t.column("node").to_numpy()
-        own = np.flatnonzero(label != np.arange(len(s)))
-        if len(own):
-            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[label[own]])], ["u", "v"])
-
-
-def _links(batches):
-    for t in groups(batches, "component", "lo", "hi"):
-        a, b, same = _sides(t)
-        s = _matrix(t.column("signature"))
-        i, j = surviving(s[a], s[b], same)
-        i, j = a[i], b[j]
-        used = np.unique(np.append(i, j))
-        own: list = [np.empty(0, U)] * len(s)
-        text = t.column("text").combine_chunks()
-        text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
-        for texts in tb.chunks(text.take(pa.array(used))):
-            shingle, counts = sets(texts)
-            for k, x in enumerate(np.split(shingle, np.cumsum(counts)[:-1])):
-                own[used[texts.first + k]] = np.unique(x)
-        yes = verified(own, i, j) if len(i) else np.zeros(0, bool)
-        i, j = i[yes], j[yes]
-        links = np.bincount(i, minlength=len(s)) + np.bincount(j, minlength=len(s))
-        label = forest(len(s), i, j)
-        node = t.column("node").to_numpy()
-        some = np.flatnonzero(links)
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[label[some]]), pa.array(links[some].astype(np.int64))], ["node", "root", "links"])
+def _block(of: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("block"), "node"), of).cast("int")
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """rows(grp, node, rest, n_rest, n_done, ...) once for each pair of blocks that holds rest: lo, hi, and block, the row's own. n_rest, n_done: into how many blocks the group's rest, and what is settled, are cut."""
+    block = F.when(F.col("rest"), _block(F.col("n_rest"))).otherwise(F.col("n_rest") + _block(F.greatest(F.col("n_done"), F.lit(1))))
+    other = F.explode(F.sequence(F.lit(0), F.col("n_rest") + F.when(F.col("rest"), F.col("n_done")).otherwise(0) - 1))
+    rows = rows.withColumn("block", block).withColumn("__o", other).withColumns({"lo": F.least("block", "__o"), "hi": F.greatest("block", "__o")}).drop("__o", "rest", "n_rest", "n_done")
+    return rows.repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "node")
+
+
+LINKS = "node bigint, root bigint, links bigint"
 
 
-def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> node, root (a text of the class, the same for all of it), class_id, n_links, n_copies, n_shingles: one row for each distinct text."""
+def all_links(rows: DataFrame, sized: DataFrame) -> DataFrame:
+    """rows(grp, node, signature, shingles), sized(grp, n, shingles) -> node, root, links: every pair of every group is compared."""
+    dealt = sized.select("grp", blocks_of(F.col("n"), F.col("n_shingles")).alias("n_rest"))
+    return in_blocks(rows.join(again_shuffled(dealt), "grp").withColumns({"rest": F.lit(True), "n_done": F.lit(0)})).mapInArrow(_by_blocks, LINKS)
+
+
+def spanning(rows: DataFrame, sized: DataFrame) -> DataFrame:
+    """rows(grp, node, signature, and shingles if links are to be verified), sized(grp, n, n_shingles, pivot) -> node, root: a spanning forest of each group's links, from far fewer pairs than all_links. rows must be written: they are read more than once."""
+    sized = materialize(sized.withColumn("blocks", blocks_of(F.col("n"), F.col("n_shingles"))))
+    whole = rows.join(again_shuffled(sized.where("blocks = 1").select("grp", F.col("blocks").alias("n_rest"))), "grp")
+    out = in_blocks(whole.withColumns({"rest": F.lit(True), "n_done": F.lit(0)})).mapInArrow(_by_blocks, LINKS).select("node", "root")
+    if sized.where("blocks > 1").isEmpty():
+        return out
+    large = rows.join(again_shuffled(sized.where("blocks > 1").select("grp", "pivot", "blocks")), "grp")
+    block = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_block(F.col("blocks"))))
+    dealt = large.withColumn("block", F.explode(block)).drop("blocks").repartition("grp", "block").sortWithinPartitions("grp", "block", "node")
+    linked_with = materialize(dealt.mapInArrow(_by_pivot, LINKS).select("node", "root"))
+    is_done = large.select("grp", "node", "pivot").alias("l").join(again_shuffled(linked_with).alias("w"), F.expr("l.node = w.node and l.pivot = w.root"), "left").select("l.grp", "l.node", (F.col("w.node").isNull() & (F.col("l.node") != F.col("pivot"))).alias("rest"))
+    is_done = materialize(is_done)
+    left = is_done.groupBy("grp").agg(F.count_if("rest").alias("r"), F.count_if(~F.col("rest")).alias("d")).where("r > 0").alias("c").join(sized.alias("s"), "grp")
+    # Shingles are dealt to rest and settled texts by their numbers; blocks_of keeps at least as many blocks as either needs alone.
+    left = left.select("grp", *[F.greatest(blocks_of(F.col(c), F.col("n_shingles") * F.col(c) / F.col("n")), F.lit(1)).alias(name) for c, name in (("r", "n_rest"), ("d", "n_done"))])
+    further = is_done.join(again_shuffled(left), "grp")
+    pairs = again_shuffled(further).alias("f").join(rows.alias("o"), F.expr("f.grp = o.grp and f.node = o.node")).select("o.*", "rest", "n_rest", "n_done")
+    return out.unionByName(linked_with).unionByName(in_blocks(pairs).mapInArrow(_by_blocks, LINKS).select("node", "root"))
+
+
+def near_duplicate_classes(docs: DataFrame, count: bool = True) -> DataFrame:
+    """docs(doc_id, text) -> k1, k2, root (the same for all texts of a class), class_id, class_key, n_links (if count), n_copies, n_shingles: one row for each distinct text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", node_of(F.col("text")).alias("node"))
-    signed = rows.mapInArrow(_signed, f"doc_id {kind}, node bigint, n_shingles bigint, signature binary")
-    nodes = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
-
-    in_bucket = nodes.where("n_shingles > 0").select("node", "signature").mapInArrow(_banded, "node bigint, bucket bigint")
-    sized = in_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node") % (1 << 40)).alias("h"), F.min("node").alias("a"), F.max("node").alias("z")).where("n > 1")
-    kept = sized.groupBy("n", "h", "a", "z").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    members = in_bucket.join(again_shuffled(kept), "bucket")
-    compared = again_shuffled(members).join(nodes.select("node", "signature"), "node")
-    likely = components(blocked(compared, "bucket", F.ceil(F.col("n") / BLOCK)).mapInArrow(_candidates, "u bigint, v bigint"))
-
-    likely = materialize(likely.withColumnRenamed("root", "component"))
+    rows = docs.select("doc_id", "text", *keys_of(F.col("text")))
+    signed = rows.mapInArrow(_signed, f"doc_id {kind}, k1 bigint, k2 bigint, n_shingles bigint, signature binary")
+    one = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    nodes = materialize(one.withColumn("node", F.monotonically_increasing_id()))
+
+    in_bucket = nodes.where("n_shingles > 0").select("node", "signature").mapInArrow(_banded, "node bigint, grp bigint")
+    sums = [F.sum(F.xxhash64(F.lit(i), "node") % (1 << 40)).alias(f"h{i}") for i in (1, 2)]
+    sized = in_bucket.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *sums, F.min("node").alias("a"), F.max("node").alias("z")).where("n > 1")
+    kept = materialize(sized.groupBy("n", "h1", "h2", "a", "z").agg(F.min("grp").alias("grp")).select("grp", "n", F.lit(0).alias("n_shingles"), F.col("a").alias("pivot")))
+    members = in_bucket.join(again_shuffled(kept.select("grp")), "grp")
+    compared = materialize(again_shuffled(members).join(nodes.select("node", "signature"), "node"))
+    likely = materialize(components(spanning(compared, kept).select(F.col("node").alias("u"), F.col("root").alias("v"))).select("node", F.col("root").alias("grp")))
+
     known = likely.join(nodes, "node")
-    size = known.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
-    placed = again_shuffled(known.select("node", "component", "signature", "first_doc")).join(again_shuffled(size), "component")
-    whole = rows.alias("r").join(again_shuffled(placed).alias("p"), F.expr("r.node = p.node and r.doc_id <=> p.first_doc")).select("p.node", "component", "blocks", "signature", "text").dropDuplicates(["node"])
-    links = materialize(blocked(whole, "component", F.col("blocks")).mapInArrow(_links, "node bigint, root bigint, links bigint"))
+    sized = known.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("n_shingles"), F.min("node").alias("pivot"))
+    placed = known.select("k1", "k2", "node", "grp", "signature", "first_doc")
+    whole = rows.alias("r").join(again_shuffled(placed).alias("p"), F.expr("r.k1 = p.k1 and r.k2 = p.k2 and r.doc_id <=> p.first_doc")).select("p.node", "grp", "signature", "text").dropDuplicates(["node"])
+    own = whole.mapInArrow(_shingled, "grp bigint, node bigint, signature binary, shingles binary")
+    links = materialize(all_links(own, sized) if count else spanning(materialize(own), sized))
 
     roots = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    counted = links.groupBy("node").agg(F.sum("links").alias("n_links"))
-    own = nodes.select("node", "first_doc", "n_copies", "n_shingles").join(again_shuffled(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    own = materialize(own.join(again_shuffled(counted), "node", "left").na.fill(0, ["n_links"]))
-    classes = own.where("n_links > 0").groupBy("root").agg(F.min("first_doc").alias("class_id"))
-    return own.join(again_shuffled(classes), "root", "left").select("node", "root", F.when(F.col("n_links") > 0, F.col("class_id")).otherwise(F.col("first_doc")).alias("class_id"), "n_links", "n_copies", "n_shingles")
+    with_root = nodes.drop("signature").join(again_shuffled(roots), "node", "left").withColumns({"is_linked": F.col("root").isNotNull(), "root": F.coalesce("root", "node")})
+    if count:
+        counted = links.groupBy("node").agg(F.sum("links").alias("n_links"))
+        with_root = with_root.join(again_shuffled(counted), "node", "left").na.fill(0, ["n_links"])
+    with_root = materialize(with_root)
+    classes = with_root.where("is_linked").groupBy("root").agg(F.min("first_doc").alias("class_doc"), F.min(F.struct("k1", "k2")).alias("key"))
+    key = F.when(F.col("is_linked"), F.col("key")).otherwise(F.struct("k1", "k2"))
+    return with_root.join(again_shuffled(classes), "root", "left").select(
+        "k1", "k2", "root", F.when(F.col("is_linked"), F.col("class_doc")).otherwise(F.col("first_doc")).alias("class_id"), F.lower(F.concat(*[F.lpad(F.hex(key[c]), 16, "0") for c in ("k1", "k2")])).alias("class_key"), *["n_links"] * count, "n_copies", "n_shingles"
+    )
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, class_id, n_links (other texts at the threshold or above), n_copies (rows with this very text), n_shingles: one row for each row."""
+    """docs(doc_id, text) -> doc_id, class_id, class_key, n_links (other texts at the threshold or above), n_copies (rows with this very text), n_shingles: one row for each row."""
     classes = near_duplicate_classes(docs)
-    rows = docs.select("doc_id", node_of(F.col("text")).alias("node"))
-    return rows.join(again_shuffled(classes), "node").select("doc_id", "class_id", "n_links", "n_copies", "n_shingles")
+    rows = docs.select("doc_id", *keys_of(F.col("text")))
+    return rows.join(again_shuffled(classes), ["k1", "k2"]).select("doc_id", "class_id", "class_key", "n_links", "n_copies", "n_shingles")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class: that with the class's least doc_id; of rows that share it, one with the least text. All columns stay."""
-    classes = near_duplicate_classes(docs).select(F.col("node").alias("__c"), F.col("root").alias("__root"), F.col("class_id").alias("__id"))
-    mine = docs.withColumn("__node", node_of(F.col("text")))
-    both = mine.join(again_shuffled(classes), F.expr("__node = __c")).where(F.col("doc_id").eqNullSafe(F.col("__id")))
+    """docs with one row of each class: that with the class's least doc_id; of rows that share it, one with the least key of its text. All columns stay."""
+    classes = near_duplicate_classes(docs, count=False).select(F.col("k1").alias("__a"), F.col("k2").alias("__b"), F.col("root").alias("__root"), F.col("class_id").alias("__id"))
+    k1, k2 = keys_of(F.col("text"))
+    mine = docs.withColumns({"__k1": k1, "__k2": k2})
+    both = mine.join(again_shuffled(classes), F.expr("__k1 = __a and __k2 = __b")).where(F.col("doc_id").eqNullSafe(F.col("__id")))
     # A row for each class is left but where doc_id repeats within it or is null; classes that share an id stay apart.
-    rows = both.groupBy("__root").agg(F.min_by(F.struct(*docs.columns), F.struct("__node", *[F.col(c).cast("string") for c in docs.columns if c != "text"])).alias("row"))
+    rows = both.groupBy("__root").agg(F.min_by(F.struct(*docs.columns), F.struct("__k1", "__k2", *[F.col(c).cast("string") for c in docs.columns if c != "text"])).alias("row"))
     return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 

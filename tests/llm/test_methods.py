@@ -23,6 +23,10 @@ def plain_words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
 
 
+def plain_tokens(text):
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").translate(LOWER))
+
+
 @pytest.fixture(scope="module")
 def documents(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
@@ -148,7 +152,7 @@ def plain_classes(rows):
     for d, t in rows:
         first[t] = min(first.get(t, d), d)
     for t, d in first.items():
-        w = plain_words(t)
+        w = plain_tokens(t)
         shingles[d] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
     holders, links, parent = defaultdict(list), Counter(), {d: d for d in shingles}
 
@@ -189,7 +193,51 @@ def test_classes_against_plain(spark, monkeypatch):
     rows = near_texts(6, 30, 150, 5) + [(1000 + i, t) for i, t in near_texts(10, 2, 60, 6)] + [(2000, ""), (2001, "a b"), (2002, "a b"), (2003, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = plain_classes([(d, t or "") for d, t in rows])
+    got = bayes_join.jaccard_join(docs).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == want
+    keys = defaultdict(set)
+    for r in got:
+        keys[r.class_key].add(r.class_id)
+    assert all(len(x) == 1 for x in keys.values()) and len(keys) == len({c for c, _ in want.values()})
+    assert sorted(r.doc_id for r in bayes_join.keep_one(docs).collect()) == sorted({c for c, _ in want.values()})
+
+
+def test_large_group_of_near_copies_whose_pivot_knows_few(spark, monkeypatch):
+    """Texts in a chain: each is linked with its neighbours only, so the pivot settles few and the rest needs each other."""
+    monkeypatch.setattr(bayes_join, "BLOCK", 8)
+    words = [f"c{i}" for i in range(60)]
+    rows = []
+    for i in range(60):  # a word is replaced at a time
+        rows.append((i, " ".join(words)))
+        words[(i * 7) % 60] = f"d{i}"
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_classes(rows)
     assert {r.doc_id: (r.class_id, r.n_links) for r in bayes_join.jaccard_join(docs).collect()} == want
+    assert sorted(r.doc_id for r in bayes_join.keep_one(docs).collect()) == sorted({c for c, _ in want.values()})
+
+
+def test_joined_texts_may_share_ids(spark):
+    """The join against brute force on rows whose ids repeat on other texts: classes by key, links by text."""
+    rng = random.Random(8)
+    rows = [(rng.randrange(25), t) for _, t in near_texts(8, 6, 150, 9)]
+    rows += rows[:5] + [(None, rows[0][1]), (3, None), (3, "")]
+    got = bayes_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = sorted({t or "" for _, t in rows})
+    plain = plain_classes(list(enumerate(texts)))
+    assert len(got) == len(rows)
+    want = Counter()
+    least = {}
+    for d, t in rows:
+        c = plain[texts.index(t or "")][0]
+        least[c] = min(least.get(c, 999), 999 if d is None else d)
+    copies = Counter(t or "" for _, t in rows)
+    for d, t in rows:
+        c, n = plain[texts.index(t or "")]
+        want[d, least[c], n, copies[t or ""]] += 1
+    assert Counter((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in got) == want
+    assert len({r.class_key for r in got}) == len(least)
+    kept = bayes_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(least.values())
 
 
 def test_pruning_keeps_pairs_at_the_threshold():
