@@ -5,9 +5,10 @@ times. A copy's virtual finish time is the source's words so far, its own includ
 by the source's target. Copies are taken by finish time over all sources until the budget,
 the words of the whole input, is spent.
 
-Prefix sums run in two levels (sums of 4,096 hash buckets of a source, then within a bucket),
-so that no source, however large, meets in one task; the cut is found from sums over slices
-of finish time, then inside the one slice that holds it.
+Both prefix sums, of a source's words in shuffled order and of the queue's words by finish time,
+come from a global range sort: rows are dealt to ranges of about ROWS by all that orders them and a
+number of their own, so a hot source, a repeated or null id, or a tie is cut like any other run of
+rows; each range is summed up once, and only in the range where the budget ends is the cut sought.
 
 Defined cases: null and blank texts have size 0 and nothing is taken of them; null is a source
 of its own, the last; rows that repeat are documents of their own; an empty table gives an
@@ -20,10 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, table, word_count
+from .common import again_shuffled, materialize, table, word_count
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, "mix-1"
-BUCKET_BITS, SLICES = 12, 16384
+ROWS = 500_000
 
 
 def shuffle_key(doc_id: Column) -> Column:
@@ -49,49 +50,63 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
     free, held = F.when(~F.col("capped"), F.col("w")), F.when(F.col("capped"), F.col("top"))
     rest = F.col("budget") - F.coalesce(F.sum(held).over(everything), F.lit(0))
     target = F.when(F.col("capped"), F.col("top").cast("double")).otherwise(F.col("w") * rest.cast("double") / F.sum(free).over(everything))
-    return shared.select("source", "rank", "source_size", target.alias("target"), "budget")
+    return shared.select("source", "rank", "source_size", target.alias("target"), "budget", *[c for c in sizes.columns if c not in ("source", "source_size")])
+
+
+def in_ranges(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """df, sorted globally into n ranges: part is a row's range."""
+    return materialize(df.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
+
+
+def before_ranges(ranged: DataFrame, groups: list[str]) -> DataFrame:
+    """groups, part, before, n: the sum of size over the ranges before one, and over its own rows; a row for each range and group in it."""
+    sums = ranged.groupBy(*groups, "part").agg(F.sum("size").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(*groups).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return sums.select(*groups, "part", before.alias("before"), "n")
+
+
+def running_sum(groups: list[str], order: list[str]) -> Column:
+    return F.sum("size").over(W.partitionBy("part", *groups).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
 
 
 def fair_mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     """docs(doc_id, text, source) -> doc_id, size, source_size, target, taken, copies: one row for each document."""
-    h = F.col("h")
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_key(F.col("doc_id")).alias("h")).withColumn("bucket", F.shiftright(h, 60 - BUCKET_BITS).cast("int")))
-    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    targets = source_targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, cap)
-    before = F.coalesce(F.sum("bucket_size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.withColumn("before", before).alias("s").join(targets.alias("t"), F.expr("s.source <=> t.source")).select("s.source", "s.bucket", "s.before", "t.rank", "t.source_size", "t.target", "t.budget")
-    inside = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
-    placed = materialize(
-        sized.withColumn("inside", inside).alias("d").join(starts.alias("s"), F.expr("d.source <=> s.source and d.bucket = s.bucket"))
-        .select("d.doc_id", "d.size", "d.h", "s.rank", "s.source_size", "s.target", "s.budget", (F.col("s.before") + F.col("d.inside")).alias("sum"))
-    )
-    copies = F.explode(F.sequence(F.lit(1), F.lit(cap)))
-    so_far = F.col("sum") + (F.col("copy") - 1) * F.col("source_size")
-    finish = so_far / F.col("target")
-    queue = placed.where("size > 0").select("*", copies.alias("copy")).where(so_far - F.col("size") < F.col("target")).withColumn("finish", finish)
-    cut = _cut(queue)
-    key = lambda n: F.struct(((F.col("sum") + F.lit(n - 1) * F.col("source_size")) / F.col("target")).alias("finish"), "rank", F.lit(n).alias("copy"), "h", "doc_id", "size")
+    spark = docs.sparkSession
+    t = F.xxhash64(F.coalesce("text", F.lit("")))
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_key(F.col("doc_id")).alias("h"), t.alias("t")).withColumn("rid", F.monotonically_increasing_id()))
+    targets = materialize(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), weights, cap))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(targets.agg(F.sum("rows")).first()[0] or 0) // ROWS))
+    ranked = sized.alias("s").join(again_shuffled(targets).alias("t"), F.expr("s.source <=> t.source")).select("s.doc_id", "size", "h", "t", "rid", "rank", "source_size", "target")
+    shuffled = ["rank", "h", "doc_id", "size", "t", "rid"]
+    ranged = in_ranges(ranked, n, shuffled)
+    summed = ranged.withColumn("inside", running_sum(["rank"], shuffled)).join(again_shuffled(before_ranges(ranged, ["rank"])), ["rank", "part"])
+    placed = materialize(summed.withColumn("upto", F.col("before") + F.col("inside")).drop("before", "inside", "n", "part"))
+
+    # A copy's words so far, and what orders the queue; written alike for a column and for the cut.
+    so_far = lambda k: F.col("upto") + (k - 1) * F.col("source_size")
+    within_target = lambda k: (F.col("size") > 0) & (so_far(k) - F.col("size") < F.col("target"))
+    order = ["finish", "rank", "copy", "h", "doc_id", "size", "t", "rid"]
+    queue = placed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(cap)))).where(within_target(F.col("copy"))).select((so_far(F.col("copy")) / F.col("target")).alias("finish"), *order[1:])
+    cut = _cut(queue, n, order, targets.agg(F.max("budget")).first()[0])
     n_copies = F.lit(0)
-    for n in range(1, cap + 1):
-        within = (F.col("size") > 0) & (F.col("sum") + F.lit(n - 1) * F.col("source_size") - F.col("size") < F.col("target"))
+    for k in range(1, cap + 1):
+        taken = within_target(F.lit(k))
         if cut is not None:
-            at = F.struct(*[F.lit(cut[c]).cast(t).alias(c) for c, t in (("finish", "double"), ("rank", "int"), ("copy", "int"), ("h", "long"), ("doc_id", dict(placed.dtypes)["doc_id"]), ("size", "long"))])
-            within &= key(n) < at
-        n_copies = n_copies + F.when(within, 1).otherwise(0)
+            kinds = dict(queue.dtypes)
+            mine = F.struct((so_far(F.lit(k)) / F.col("target")).alias("finish"), "rank", F.lit(k).alias("copy"), *order[3:])
+            taken &= mine < F.struct(*[F.lit(cut[c]).cast(kinds[c]).alias(c) for c in order])
+        n_copies = n_copies + F.when(taken, 1).otherwise(0)
     return placed.withColumn("copies", n_copies).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
 
 
-def _cut(queue: DataFrame):
+def _cut(queue: DataFrame, n: int, order: list[str], budget):
     """The first copy, by finish time, that would take the mix beyond its budget; None if none does. Two single rows come to the driver."""
-    slices = queue.groupBy(F.least(F.floor(F.col("finish") * SLICES), F.lit(SLICES + 1)).alias("slice")).agg(F.sum("size").alias("n"), F.max("budget").alias("budget"))
-    upto = F.sum("n").over(W.orderBy("slice"))
-    at = slices.withColumn("upto", upto).where("upto > budget").orderBy("slice").select("slice", (F.col("upto") - F.col("n")).alias("before")).first()
+    ranged = in_ranges(queue, n, order)
+    at = before_ranges(ranged, []).where(F.col("before") + F.col("n") > F.lit(budget)).orderBy("part").first()
     if at is None:
         return None
-    order = ["finish", "rank", "copy", "h", "doc_id", "size"]
-    running = F.lit(at["before"]) + F.sum("size").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    inside = queue.where(F.least(F.floor(F.col("finish") * SLICES), F.lit(SLICES + 1)) == at["slice"])
-    return inside.withColumn("running", running).where("running > budget").orderBy(*order).select(*order).first()
+    inside = ranged.where(F.col("part") == at["part"]).withColumn("upto", F.lit(at["before"]) + running_sum([], order))
+    return inside.where(F.col("upto") > F.lit(budget)).orderBy(*order).select(*order).first()
 
 
 def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

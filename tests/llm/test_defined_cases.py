@@ -50,6 +50,60 @@ def test_mix_targets_stop_at_three_times(spark):
     assert taken[30] == 90 and 830 <= taken[900] <= 840
 
 
+def plain_mix(rows):
+    """Targets by water filling, then copies taken one by one by finish time. rows: (doc_id, source, size)."""
+    import hashlib
+
+    names = sorted({s for _, s, _ in rows if s is not None}) + [None] * any(s is None for _, s, _ in rows)
+    own = {s: sum(n for _, x, n in rows if x == s) for s in names}
+    weight = {s: fair_mix.WEIGHTS[i % 3] for i, s in enumerate(names)}
+    budget = sum(own.values())
+    target, free, rest = {}, list(names), budget
+    while True:
+        share = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+        full = [s for s in free if share[s] >= 3 * own[s]]
+        if not full:
+            target |= share
+            break
+        for s in full:
+            target[s] = float(3 * own[s])
+            rest -= 3 * own[s]
+            free.remove(s)
+        if not free:
+            break
+    h = lambda d: int(hashlib.md5(f"{fair_mix.SEED}:{'null' if d is None else d}".encode()).hexdigest()[:15], 16)
+    queue = []
+    for i, s in enumerate(names):
+        upto = 0
+        mine = sorted((h(d), d is not None, d or 0, n) for d, x, n in rows if x == s)
+        for k, (hh, x, d, n) in enumerate(mine):
+            upto += n
+            queue += [((upto + c * own[s]) / target[s], i, c, hh, x, d, n, k, s) for c in range(3) if n and upto + c * own[s] - n < target[s]]
+    taken, total = {}, 0
+    for f, i, c, hh, x, d, n, k, s in sorted(queue):
+        total += n
+        if total > budget:
+            break
+        taken[i, k] = taken.get((i, k), 0) + n
+    out = []
+    for i, s in enumerate(names):
+        for k, (hh, x, d, n) in enumerate(sorted((h(d), d is not None, d or 0, n) for d, y, n in rows if y == s)):
+            out.append((d if x else None, n, own[s], round(target[s], 6), taken.get((i, k), 0)))
+    return sorted(out, key=str)
+
+
+def test_mix_against_plain(spark, monkeypatch):
+    """A hot source of null and repeated ids, ties, small sources; ranges far smaller than the source."""
+    import random
+
+    monkeypatch.setattr(fair_mix, "ROWS", 50)
+    rng = random.Random(2)
+    rows = [(None, "hot", 3)] * 400 + [(7, "hot", 2)] * 100 + [(i, rng.choice(["a", "b", "hot", None]), rng.randrange(9)) for i in range(600)] + [(5000, "tiny", 4), (5000, "tiny", 4)]
+    docs = spark.createDataFrame([(d, "w " * n, s) for d, s, n in rows], "doc_id long, text string, source string").repartition(5)
+    got = [(r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in fair_mix.fair_mix(docs).collect()]
+    assert sorted(got, key=str) == plain_mix(rows)
+
+
 def test_line_frequency(odd, spark):
     got = line_frequency.judge(odd).collect()
     assert len(got) == 11
