@@ -31,11 +31,13 @@ MIN_WORDS, MAX_REPEAT = 50, 50
 
 
 def repeated_words(w: Column) -> Column:
-    """Words of w in three-word windows that occur twice or more: sort the windows' hashes, keep positions whose neighbour is equal, add up what each new position covers."""
-    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
+    """Words of w in three-word windows that occur twice or more: sort the windows' hashes, keep positions whose neighbour is equal, add up what each new position covers. Texts whose windows all differ, which are most, are not sorted."""
+    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    numbered = lambda h: F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
     twice = lambda s: F.filter(F.transform(s, lambda x, i: F.when((x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"]), x["i"])), lambda x: x.isNotNull())
     new = lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0), lambda a, b: a + b)
-    return F.when(F.size(w) < 3, F.lit(0)).otherwise(let(F.sort_array(hashes), lambda s: let(F.sort_array(twice(s)), new)))
+    covered = lambda h: let(F.sort_array(numbered(h)), lambda s: let(F.sort_array(twice(s)), new))
+    return F.when(F.size(w) < 3, F.lit(0)).otherwise(let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h))))
 
 
 def base_measures(text: Column) -> Column:
