@@ -5,13 +5,18 @@ them. Every three consecutive lines are a window (a text of one or two lines is
 all its lines). A window's first occurrence, by doc_id and then position, stays; the lines that
 later occurrences cover, merged into spans, go. Blank lines inside a removed span go with it.
 
+A passage laid out as one or two lines among others is in no equal window unless its neighbours
+are equal too, so it stays: that is the method's limit.
+
 Only hashes and positions (128 bits, a key and an integer for each line) cross the first
 exchanges. Joins have plain exchanges on either side, so adaptive execution splits a window that
 a third of all texts share.
 
-Defined cases: null and blank texts have no lines and stay as they are; rows equal in doc_id and
-text are one document, treated alike; a null doc_id sorts first; an empty table gives an empty
-result; other columns are carried through by dedup_lines and never read.
+Defined cases: null and blank texts have no lines and stay as they are; a null doc_id sorts first,
+and texts that share an id follow each other by key; of rows equal in doc_id and text one is the
+document, and the others, later ones, lose all their lines (such rows alone are written to the
+shared folder, where they get numbers of their own); an empty table gives an empty result; other
+columns are carried through by dedup_lines and never read.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import again_shuffled, keyed, let, table
+from .common import again_shuffled, keyed, let, materialize, table
 
 WIDTH = 3
 
@@ -79,9 +84,21 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     spans = repeated_spans(docs, width).select(F.col("k1").alias("__a"), F.col("k2").alias("__b"), F.col("spans").alias("__s"))
     first = [F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in ("doc_id", "text")]
     mine = docs.withColumns({"__k1": F.xxhash64(*first), "__k2": F.xxhash64(F.lit(1), *reversed(first))})
-    both = mine.join(again_shuffled(spans), F.expr("__k1 = __a and __k2 = __b"), "left")
-    clean = F.when(F.col("__s").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("__s")))
-    return both.select(*[clean.alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "line_spans"], F.col("__s").alias("line_spans"))
+    same_key = F.expr("__k1 = __a and __k2 = __b")
+    clean = lambda s: F.when(s.isNull(), F.col("text")).otherwise(_without(F.col("text"), s))
+    told = lambda df, s: df.select(*[clean(s).alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "line_spans"], s.alias("line_spans"))
+
+    repeated = keyed(docs, "doc_id", "text").groupBy(F.col("k1").alias("__a"), F.col("k2").alias("__b")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    repeated = materialize(repeated)
+    if repeated.isEmpty():
+        return told(mine.join(again_shuffled(spans), same_key, "left"), F.col("__s"))
+    single = mine.join(again_shuffled(repeated), same_key, "left_anti").join(again_shuffled(spans), same_key, "left")
+    several = materialize(mine.join(again_shuffled(repeated), same_key, "left_semi").withColumn("__r", F.monotonically_increasing_id()))
+    least = several.groupBy(F.col("__k1").alias("__a"), F.col("__k2").alias("__b")).agg(F.min("__r").alias("__first")).alias("m").join(spans.alias("s"), ["__a", "__b"], "left")
+    lines = _lines(F.col("text"))
+    whole = let(lines, lambda x: F.when(F.size(x) > 0, F.array(F.struct(F.get(x, F.lit(0))["at"].alias("start"), (F.get(x, F.size(x) - 1)["at"] + 1).alias("stop")))))
+    copies = several.join(again_shuffled(least), same_key).withColumn("__s", F.when(F.col("__r") == F.col("__first"), F.col("__s")).otherwise(whole))
+    return told(single, F.col("__s")).unionByName(told(copies, F.col("__s")))
 
 
 def op8_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
