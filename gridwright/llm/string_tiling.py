@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import again_shuffled, keyed, table
+from .common import again_shuffled, keyed, materialize, table
 
 SEED, COVERAGE = 4, 0.6
 BLOCK_TOKENS = 4_000_000
@@ -91,7 +91,7 @@ def greedy_tiles(item: np.ndarray, text: np.ndarray, least: int = SEED) -> list[
 class Items:
     """A block of benchmark items, indexed by seed."""
 
-    def __init__(self, ids: list, texts: list, seed: int = SEED):
+    def __init__(self, ids: pa.Array, texts: list, seed: int = SEED):
         self.ids, self.seed = ids, seed
         self.tokens = []
         for part in tb.chunks(pa.array(texts, pa.string())):
@@ -151,13 +151,14 @@ def seeds(tokens: np.ndarray, n: int) -> np.ndarray:
 
 
 def _blocks(benchmark: DataFrame):
-    """The items in blocks of bounded size. Their number of characters decides how many; a block is what comes to the driver at once."""
+    """How many blocks there are, and the items in them. Their number of characters decides; a block is what comes to the driver at once."""
     rows = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     n = -(-size // (4 * BLOCK_TOKENS)) or 1
+    yield n
     for k in range(n):
         got = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").toArrow()
-        yield Items(got.column("item_id").to_pylist(), got.column("text").to_pylist())
+        yield Items(got.column("item_id").combine_chunks(), got.column("text").to_pylist())
 
 
 def tile_benchmark(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -166,7 +167,9 @@ def tile_benchmark(docs: DataFrame, benchmark: DataFrame, coverage: float = COVE
     kinds = {c: d.schema[c].dataType.simpleString() for c, d in (("doc_id", docs), ("item_id", benchmark))}
     fields = f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, n_item_tokens bigint, n_covered bigint, n_tiles bigint, k1 bigint, k2 bigint"
     found = None
-    for items in _blocks(benchmark):
+    blocks = _blocks(benchmark)
+    n = next(blocks)
+    for items in blocks:
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
@@ -192,11 +195,14 @@ def tile_benchmark(docs: DataFrame, benchmark: DataFrame, coverage: float = COVE
                     row = pa.array([x[0] for x in out])
                     column = lambda c: batch.column(c).take(row)  # noqa: B023, E731
                     yield pa.RecordBatch.from_arrays(
-                        [column("doc_id"), pa.array([own.ids[x[1]] for x in out], pa.int64() if kinds["item_id"] == "bigint" else None), pa.array([int(own.sizes[x[1]]) for x in out]), pa.array([x[3] for x in out]), pa.array([x[2] for x in out]), column("k1"), column("k2")],
+                        [column("doc_id"), own.ids.take(pa.array([x[1] for x in out])), pa.array([int(own.sizes[x[1]]) for x in out]), pa.array([x[3] for x in out]), pa.array([x[2] for x in out]), column("k1"), column("k2")],
                         ["doc_id", "item_id", "n_item_tokens", "n_covered", "n_tiles", "k1", "k2"],
                     )
 
         part = rows.mapInArrow(run, fields)
+        if n > 1:  # each block is done with before the next comes
+            part = materialize(part)
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     return found.withColumn("coverage", F.col("n_covered") / F.col("n_item_tokens"))
 

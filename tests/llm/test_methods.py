@@ -144,6 +144,43 @@ def test_reordered_passages_are_caught(spark):
     assert sorted(r.doc_id for r in string_tiling.tile_benchmark(docs, bench).collect()) == [0, 3]
 
 
+@pytest.mark.parametrize("kind", ["int", "string", "long"])
+def test_leaks_against_plain(spark, monkeypatch, kind):
+    """The whole query, in several blocks of items, against tiling every pair: passages cut, reordered and mixed, short items, items and texts that share words."""
+    monkeypatch.setattr(string_tiling, "BLOCK_TOKENS", 60)
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(60)}"
+    items = [" ".join(word() for _ in range(rng.choice([2, 3, 5, 12, 30]))) for _ in range(14)] + ["", None]
+    texts = ["", None]
+    for _ in range(40):
+        own = [word() for _ in range(rng.randrange(30))]
+        w = (rng.choice(items) or "").split()
+        cut = rng.randrange(len(w) + 1)
+        w = w[cut:] + w[:cut]
+        if w and rng.random() < 0.4:
+            w[rng.randrange(len(w))] = "other"
+        at = rng.randrange(len(own) + 1)
+        texts.append(" ".join(own[:at] + w + own[at:]))
+    want = set()
+    for d, t in enumerate(texts):
+        for k, item in enumerate(items):
+            p, q = plain_tokens(item), plain_tokens(t)
+            if len(p) >= string_tiling.SEED:
+                n = plain_tiles(p, q, string_tiling.SEED)
+            else:
+                n = len(p) if p and any(q[i : i + len(p)] == p for i in range(len(q))) else 0
+            if p and n >= 0.6 * len(p) - 1e-9:
+                want.add((d, k, n))
+    name = str if kind == "string" else int
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    bench = spark.createDataFrame([(name(k), x) for k, x in enumerate(items)], f"item_id {kind}, text string")
+    got = string_tiling.tile_benchmark(docs, bench)
+    assert dict(got.dtypes)["item_id"] == {"long": "bigint"}.get(kind, kind)
+    assert {(r.doc_id, int(r.item_id), r.n_covered) for r in got.collect()} == want and len(want) > 10
+    bad = {d for d, _, _ in want}
+    assert {r.doc_id for r in string_tiling.without_leaks(docs, bench).collect()} == set(range(len(texts))) - bad
+
+
 # Near duplicates
 
 
