@@ -1,11 +1,16 @@
 r"""WARC archives packaged as ZIP: writing them, and reading records by ranges without extraction.
 
-An archive holds archive/data.warc.gz, one gzip member for each record, and indexes/index.cdx, a
-line "offset length" for each record; both are stored, not deflated, so a record's bytes lie in the
-ZIP file as they are. The reader finds the end-of-central-directory record (and its ZIP64 form)
-from the file's tail, reads the directory, each member's local header and the index, and turns them
-into runs of neighbouring records of about RUN bytes. Runs are the unit of parallel work: each is
-one range read, whatever the archive's size.
+The writer stores archive/data.warc.gz, one gzip member for each record, and indexes/index.cdxj, a
+line of JSON for each record, so a record's bytes lie in the ZIP file as they are. The reader finds
+the end-of-central-directory record (and its ZIP64 form) from the file's tail, reads the directory,
+each member's local header and the indexes, and turns them into runs of neighbouring records of
+about RUN bytes. Runs are the unit of parallel work: each is one range read, whatever the archive's
+size.
+
+Any stored member below archive/ that is named *.warc or *.warc.gz is read, and any index below
+indexes/ (CDXJ lines, CDX lines with a header that names their fields, either gzipped or not),
+whose lines are matched to the members by file name. Records of a member that no index line names
+are found by walking it from its start: gzip members by their ends, plain records by their lengths.
 
 Files are reached through pyarrow's file systems, so any store it knows by URI will do. Each task
 attempt writes files of its own; only those that a finished task has named in the manifest are
@@ -18,13 +23,17 @@ partial aggregation first, and joined back with plain exchanges on either side.
 Defined cases: a null html is an empty payload, a null url is empty; a null page_id ranks below all
 others, and rows that share the largest page_id and the payload are all responses; repeated rows
 are records of their own; an empty table gives an empty result; columns other than page_id, url and
-html are ignored. A deflated archive member, or bytes that are no record, raise ValueError.
+html are ignored. A payload may be of any length that fits a task's memory a few times over. A
+deflated archive member, an index line that names no member, or bytes that are no record, raise
+ValueError.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import io
+import json
 import struct
 import uuid
 import zipfile
@@ -43,8 +52,9 @@ from .common import again_shuffled, materialize, shared_dir, table
 
 MIN_REVISIT = 1000
 RUN, ROLL = 8 << 20, 1 << 30
-DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
-LEVEL = 5
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+ARCHIVES, INDEXES = "archive/", "indexes/"
+LEVEL, PIECE = 5, 1 << 20
 
 
 # ZIP directories
@@ -140,31 +150,48 @@ class Record:
 
 
 def _headers(raw: bytes) -> dict[str, str]:
-    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in raw.decode("utf-8").split("\r\n")[1:])}
+    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in raw.decode("utf-8", "replace").split("\r\n")[1:])}
+
+
+def _is_digest(said: str, payload: bytes) -> bool:
+    """Whether a sha1 said in hex or, as most archives have it, in base 32 is the payload's. Other algorithms are taken at their word."""
+    name, _, value = said.rpartition(":")
+    own = hashlib.sha1(payload).digest()
+    return name.lower() not in ("", "sha1") or value.lower() == own.hex() or value.upper() == base64.b32encode(own).decode()
 
 
 def parse(raw: bytes) -> Record:
-    """A record from its bytes. Of a response, size and digest are the payload's own, and the digest must be the one promised; of a revisit, what its headers say."""
+    """A record from its bytes. Size and digest are the payload's own, and the digest must be the one promised, if one is; of a revisit they are what its headers say. Only HTTP responses have headers before their payload."""
     head, gap, rest = raw.partition(b"\r\n\r\n")
     if not gap or not head.startswith(b"WARC/"):
         raise ValueError("not a WARC record")
     headers = _headers(head)
     n = int(headers["content-length"])
-    if rest[n:] != b"\r\n\r\n":
+    if len(rest) < n or rest[n:].strip(b"\r\n"):
         raise ValueError("a WARC record of another length than it says")
-    http, _, payload = rest[:n].partition(b"\r\n\r\n")
-    said = headers["warc-payload-digest"].removeprefix("sha1:")
-    if headers["warc-type"] == "revisit":
-        return Record(headers, b"", int(_headers(http)["content-length"]), said)
-    digest = hashlib.sha1(payload).hexdigest()
-    if digest != said:
+    block, said, kind = rest[:n], headers.get("warc-payload-digest", ""), headers["warc-type"]
+    is_http = headers.get("content-type", "").startswith("application/http")
+    if kind == "revisit":
+        http = _headers(block.partition(b"\r\n\r\n")[0]) if is_http else {}
+        return Record(headers, b"", int(http.get("content-length", 0)), said.removeprefix("sha1:"))
+    payload = block.partition(b"\r\n\r\n")[2] if is_http and kind == "response" else block
+    if said and kind in ("response", "resource") and not _is_digest(said, payload):
         raise ValueError("a payload that doesn't fit its digest")
-    return Record(headers, payload, len(payload), digest)
+    return Record(headers, payload, len(payload), hashlib.sha1(payload).hexdigest())
 
 
 # Writing
 
 
+DATE = "20240101000000"
+
+
+def _searchable(url: str) -> str:
+    """The host's labels from the last to the first, then the rest: what index lines are looked up by."""
+    host, slash, rest = url.partition("://")[2].partition("/")
+    return quote(",".join(reversed(host.lower().split("."))) + ")" + slash + rest, safe=",)/?&=:~") or "-"
+
+
 class Writer:
     """One archive, written front to back: sizes follow the data, so nothing is held but the index."""
 
@@ -172,11 +199,12 @@ class Writer:
         self.zip, self.index, self.at = zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED), io.BytesIO(), 0
         self.data = self.zip.open(zipfile.ZipInfo(DATA), "w", force_zip64=True)
 
-    def add(self, raw: bytes) -> None:
+    def add(self, raw: bytes, url: str = "", digest: str = "") -> None:
         packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
         member = packer.compress(raw) + packer.flush()
         self.data.write(member)
-        self.index.write(b"%d %d\n" % (self.at, len(member)))
+        line = {"url": url, "digest": f"sha1:{digest}", "filename": DATA.removeprefix(ARCHIVES), "offset": str(self.at), "length": str(len(member))}
+        self.index.write(f"{_searchable(url)} {DATE} {json.dumps(line)}\n".encode())
         self.at += len(member)
 
     def close(self) -> None:
@@ -218,7 +246,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
                     stream = files.open_output_stream(f"{base}/{name}-{len(done)}.zip")
                     writer, n = Writer(stream), 0
                 page_id, url, html, digest, refers_to = (batch.column(c)[i].as_py() for c in ("page_id", "url", "html", "digest", "refers_to"))
-                writer.add(record(page_id, url, html.encode(), digest, refers_to))
+                writer.add(record(page_id, url, html.encode(), digest, refers_to), url, digest)
                 n += 1
                 if writer.at >= ROLL:
                     finish()
@@ -234,20 +262,82 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
 # Reading
 
 
+def index_lines(raw: bytes) -> Iterator[tuple[str, int, int]]:
+    """(file name, offset, length) from an index: CDXJ, or CDX whose header says which fields are g, V and S. Lines without a length are left to walking."""
+    fields = None
+    for line in (zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw).decode("utf-8").splitlines():
+        brace = line.find("{")
+        if line.lstrip().startswith("CDX "):
+            fields = line.split()[1:]
+        elif line.startswith("!") or not line.strip():
+            continue
+        elif fields:
+            row = dict(zip(fields, line.split(), strict=False))
+            if row.get("S", "-").isdigit():
+                yield row["g"], int(row["V"]), int(row["S"])
+        elif brace >= 0:
+            row = json.loads(line[brace:])
+            if "length" in row:
+                yield row["filename"], int(row["offset"]), int(row["length"])
+        else:
+            raise ValueError(f"no index line: {line[:80]}")
+
+
+def walked(f, start: int, size: int) -> Iterator[tuple[int, int]]:
+    """(offset, length) of the records of a member of size bytes at start, from one pass over it, PIECE by PIECE."""
+    at = 0
+    while at < size:
+        head = f.read_at(min(2, size - at), start + at)
+        if head == b"\x1f\x8b":
+            packed, n = zlib.decompressobj(31), 0
+            while not packed.eof:
+                piece = f.read_at(min(PIECE, size - at - n), start + at + n)
+                if not piece:
+                    raise ValueError("a record that is cut off")
+                packed.decompress(piece)
+                n += len(piece) - len(packed.unused_data)
+        else:
+            raw = b""
+            while b"\r\n\r\n" not in raw:
+                piece = f.read_at(min(PIECE, size - at - len(raw)), start + at + len(raw))
+                if not piece:
+                    raise ValueError("not a WARC record")
+                raw += piece
+            head = raw.partition(b"\r\n\r\n")[0]
+            if not head.startswith(b"WARC/"):
+                raise ValueError("not a WARC record")
+            n = len(head) + 4 + int(_headers(head)["content-length"]) + 4
+        yield at, n
+        at += n
+
+
+def located(f, size: int) -> Iterator[tuple[int, int]]:
+    """(offset in the ZIP file, length) of every record of an open archive, member by member."""
+    found = members(f, size)
+    data = {m.name: m for m in found if m.name.startswith(ARCHIVES) and m.name.endswith((".warc", ".warc.gz"))}
+    places: dict[str, list[tuple[int, int]]] = {}
+    for m in found:
+        if m.name.startswith(INDEXES) and not m.name.endswith("/"):
+            for name, offset, length in index_lines(f.read_at(m.size, data_offset(f, m))):
+                full = name if name in data else ARCHIVES + name
+                if full not in data:
+                    raise ValueError(f"an index names {name}, which the archive doesn't hold")
+                places.setdefault(full, []).append((offset, length))
+    for name, m in data.items():
+        base = data_offset(f, m)
+        for offset, length in sorted(set(places[name])) if name in places else walked(f, base, m.size):
+            yield base + offset, length
+
+
 def runs_of(f, size: int, limit: int = RUN) -> Iterator[tuple[int, list[int]]]:
     """(offset in the ZIP file, lengths of consecutive records) for an open archive."""
-    found = {m.name: m for m in members(f, size)}
-    index, data = found[INDEX], found[DATA]
-    base = data_offset(f, data)
-    text = f.read_at(index.size, data_offset(f, index)).decode()
     start, lengths, total = None, [], 0
-    for line in text.splitlines():
-        offset, length = map(int, line.split())
-        if lengths and (total + length > limit or base + offset != start + total):
+    for offset, length in located(f, size):
+        if lengths and (total + length > limit or offset != start + total):
             yield start, lengths
             lengths, total = [], 0
         if not lengths:
-            start = base + offset
+            start = offset
         lengths.append(length)
         total += length
     if lengths:
@@ -258,12 +348,19 @@ def read_records(f, start: int, lengths: list[int]) -> Iterator[Record]:
     """The records of one run, by a single range read."""
     data, at = f.read_at(sum(lengths), start), 0
     for n in lengths:
-        yield parse(zlib.decompress(data[at : at + n], 31))
+        raw = data[at : at + n]
+        yield parse(zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw)
         at += n
 
 
+def page_of(ident: str | None) -> str | None:
+    """The page that a record id of our own stands for; null for a null page; other ids as they are."""
+    own = ident is not None and ident.startswith("<urn:page:")
+    return None if ident == "<urn:page:null>" else ident[len("<urn:page:") : -1] if own else ident
+
+
 def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
-    """manifest(path) -> page_id string, url, payload_bytes, payload_digest, record_type, refers_to string, and payload if asked for."""
+    """manifest(path) -> page_id string, url, payload_bytes, payload_digest, record_type, refers_to string, and payload if asked for. page_id and refers_to are record ids; of ids that write_archives gave, the page's own."""
 
     def index(batches):
         for batch in batches:
@@ -278,12 +375,11 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
         for batch in batches:
             for path, start, lengths in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "lengths")), strict=True):
                 files, name = pafs.FileSystem.from_uri(path)
-                ident = lambda x: None if x in (None, "null") else x
                 out = []
                 with files.open_input_file(name) as f:
                     for r in read_records(f, start, lengths):
-                        mine, other = (ident(r.headers[k][len("<urn:page:") : -1]) if k in r.headers else None for k in ("warc-record-id", "warc-refers-to"))
-                        out.append((mine, r.headers["warc-target-uri"], r.payload_bytes, r.digest, r.type, other) + ((r.payload,) if payloads else ()))
+                        mine, other = (page_of(r.headers.get(k)) for k in ("warc-record-id", "warc-refers-to"))
+                        out.append((mine, r.headers.get("warc-target-uri"), r.payload_bytes, r.digest, r.type, other) + ((r.payload,) if payloads else ()))
                 types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
                 names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=False)], names[: len(out[0])])

@@ -464,6 +464,82 @@ def test_zip64_directory():
     assert raw[at : at + 3] == data
 
 
+def other_record(i, payload, kind="response", base32=True):
+    import base64
+    import hashlib
+
+    block = (f"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n".encode() if kind == "response" else b"") + payload
+    sha = hashlib.sha1(payload).digest()
+    digest = base64.b32encode(sha).decode() if base32 else sha.hex()
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{i}>\r\nWARC-Target-URI: http://e/{i}\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Type: {'application/http; msgtype=response' if kind == 'response' else 'application/warc-fields'}\r\nContent-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers():
+    """Several members, plain and gzipped, named by CDX or CDXJ lines in a gzipped index, or by none."""
+    import gzip
+    import json
+
+    def member(ids, pack):
+        raw, places, at = b"", [], 0
+        for i in ids:
+            x = pack(other_record(i, f"payload {i} ".encode() * i, "warcinfo" if i % 10 == 0 else "response", i % 2 == 0))
+            places.append((at, len(x)))
+            raw += x
+            at += len(x)
+        return raw, places
+
+    a, at_a = member(range(0, 5), gzip.compress)
+    b, at_b = member(range(10, 14), lambda x: x)
+    c, _ = member(range(20, 26), gzip.compress)
+    d, _ = member(range(30, 33), lambda x: x)
+    cdxj = "".join(f"com,e)/{k} 2024 " + json.dumps({"filename": "rec-0.warc.gz", "offset": o, "length": str(n)}) + "\n" for k, (o, n) in enumerate(at_a))
+    cdx = " CDX N b a m s k r M S V g\n" + "".join(f"com,e)/{k} 2024 http://e/{k} text/html 200 X - - {n} {o} archive/plain.warc\n" for k, (o, n) in enumerate(at_b))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("datapackage.json", "{}")
+        z.writestr("archive/rec-0.warc.gz", a)
+        z.writestr("archive/plain.warc", b)
+        z.writestr("indexes/index.cdx.gz", gzip.compress(cdxj.encode()))
+        z.writestr("indexes/more.cdx", cdx)
+        z.writestr("archive/rec-1.warc.gz", c)
+        z.writestr("archive/last.warc", d)
+        z.writestr("archive/notes.txt", "no archive")
+    f, size = _File(out.getvalue()), len(out.getvalue())
+    for limit in (1, 500, 1 << 20):
+        got = [r for start, lengths in zip_warc.runs_of(f, size, limit) for r in zip_warc.read_records(f, start, lengths)]
+        ids = [int(zip_warc.page_of(r.headers["warc-record-id"])[len("<urn:uuid:") : -1]) for r in got]
+        assert ids == [*range(0, 5), *range(10, 14), *range(20, 26), *range(30, 33)]
+        assert [r.payload for r in got] == [f"payload {i} ".encode() * i for i in ids]
+        assert {r.type for r in got} == {"response", "warcinfo"}
+    with zipfile.ZipFile(out, "a", zipfile.ZIP_STORED) as z:
+        z.writestr("indexes/wrong.cdxj", 'x 1 {"filename": "none.warc.gz", "offset": "0", "length": "1"}')
+    with pytest.raises(ValueError, match="doesn't hold"):
+        list(zip_warc.runs_of(_File(out.getvalue()), len(out.getvalue())))
+
+
+def test_long_payloads_and_lost_bytes():
+    import gzip
+    import hashlib
+
+    big = "é word ".encode() * 700_000
+    out = io.BytesIO()
+    w = zip_warc.Writer(out)
+    w.add(zip_warc.record(1, "http://e/", big, hashlib.sha1(big).hexdigest()))
+    w.close()
+    f, size = _File(out.getvalue()), len(out.getvalue())
+    (run,) = zip_warc.runs_of(f, size)
+    (r,) = zip_warc.read_records(f, *run)
+    assert r.payload == big and r.payload_bytes == len(big)
+    with pytest.raises(ValueError, match="digest"):
+        zip_warc.parse(zip_warc.record(1, "u", b"abc", "0" * 40))
+    with pytest.raises(ValueError, match="length"):
+        zip_warc.parse(zip_warc.record(1, "u", b"abc", hashlib.sha1(b"abc").hexdigest()) + b"more")
+    packed = gzip.compress(zip_warc.record(1, "u", b"abc", hashlib.sha1(b"abc").hexdigest()))
+    with pytest.raises(ValueError, match="cut off"):
+        list(zip_warc.walked(_File(packed[:-5]), 0, len(packed) - 5))
+
+
 def test_compressed_members_are_refused():
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
