@@ -93,6 +93,79 @@ def test_votes_find_secrets_and_leave_other_tokens(spark):
     assert all(n[i] == 1 for i in range(30)) and not any(n[i] for i in range(30, 90))
 
 
+def test_values_assigned_to_named_secrets_are_candidates(spark):
+    """A short password after a word of the gazetteer is put to the vote; the same word in prose is not found."""
+    rng = random.Random(5)
+    short = lambda: "".join(rng.choice("abcdefghkmnp") for _ in range(4)) + rng.choice("!$%.") + str(rng.randrange(10, 99))
+    good = [f"text here\n{w} {sign} {q}{{}}{q} more text" for w in ("password", "Kennwort", "API_KEY", "contraseña") for sign in "=:" for q in ("'", '"')] * 3
+    secrets = [short() for _ in good]
+    bad = [f"the key was found by {short()} and the password of nobody" for _ in range(40)] + [f"see https://example.org/{'long' * 6}{i}/part" for i in range(40)]
+    docs = spark.createDataFrame([(i, g.format(s)) for i, (g, s) in enumerate(zip(good, secrets, strict=True))] + [(1000 + i, b) for i, b in enumerate(bad)], "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.stop) for s in r.spans if s.kind == 4] for r in pii_votes.find_personal_data(docs).collect()}
+    for i, (g, s) in enumerate(zip(good, secrets, strict=True)):
+        at = g.format(s).index(s)
+        assert got[i] == [(at, at + len(s))], g
+    assert not any(got[1000 + i] for i in range(len(bad)))
+
+
+def test_ibans(spark):
+    good = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR14 2004 1010 0505 0001 3M02 606"]
+    wrong = ["DE88 3704 0044 0532 0130 00", "GB82WEST12345698765433"]
+    rows = [f"Bank account {x} thanks" for x in good * 4] + [f"Part {x} of it" for x in wrong * 4]
+    got = {r.doc_id: [s.kind for s in r.spans if s.kind == 6] for r in pii_votes.find_personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert all(got[i] == [6] for i in range(12)) and not any(got[i] for i in range(12, 20))
+
+
+def plain_em(votes, rounds=50):
+    """Dawid-Skene over single items."""
+    prior, rate = 0.5, [{1: {1: 0.56, 0: 0.14, 2: 0.3}, 0: {1: 0.14, 0: 0.56, 2: 0.3}} for _ in range(3)]
+    for _ in range(rounds):
+        post = []
+        for v in votes:
+            yes, no = prior, 1 - prior
+            for k in range(3):
+                yes, no = yes * rate[k][1][v[k]], no * rate[k][0][v[k]]
+            post.append(yes / (yes + no))
+        prior = min(0.99, max(0.01, (1 + sum(post)) / (2 + len(votes))))
+        for k in range(3):
+            for y in (1, 0):
+                got = {x: 1 + sum((p if y else 1 - p) for p, v in zip(post, votes, strict=True) if v[k] == x) for x in (0, 1, 2)}
+                rate[k][y] = {x: g / sum(got.values()) for x, g in got.items()}
+    return prior, rate, post
+
+
+def test_reliabilities_against_plain_and_truth():
+    """Votes drawn by known rates: the estimates are those of the plain version and near the truth, and the classifier tells the classes apart."""
+    rng = random.Random(6)
+    true = [(0.9, 0.05), (0.75, 0.2), (0.7, 0.1)]  # P(yes | true), P(yes | false), of votes given
+    abstains = (0.0, 0.4, 0.2)
+    items = []
+    for _ in range(3000):
+        y = rng.random() < 0.3
+        items.append((y, tuple(2 if rng.random() < a else int(rng.random() < p[not y]) for p, a in zip(true, abstains, strict=True))))
+    n = Counter(v for _, v in items)
+    counts = [{"kind": 4, "v1": a, "v2": b, "v3": c, "f1": 0, "f2": 0, "n": k} for (a, b, c), k in n.items()]
+    prior, rate = pii_votes.reliabilities(counts)
+    want, rates, _ = plain_em([v for _, v in items])
+    assert math.isclose(prior, want, rel_tol=1e-6)
+    for k, v in enumerate(pii_votes.NAMES):
+        for y in (0, 1):
+            assert all(math.isclose(rate[v][y][x], rates[k][y][x], rel_tol=1e-6) for x in (0, 1, 2))
+        for y, p in ((1, true[k][0]), (0, true[k][1])):
+            assert abs(rate[v][y][1] - p * (1 - abstains[k])) < 0.08
+    assert abs(prior - 0.3) < 0.06
+    scores = pii_votes.fit(counts)
+    right = sum((scores[4, *v, 0, 0] >= 0.5) == y for y, v in items)
+    best = sum(max(c) for c in [[sum(1 for y, w in items if w == v and y == z) for z in (0, 1)] for v in n])
+    assert right >= 0.97 * best
+
+
+def test_spans_of_many_matches(spark):
+    t = "x a1@b.cc " * 3000 + "é" + " 1.2.3.4" * 2000
+    (r,) = pii_votes.find_personal_data(spark.createDataFrame([(1, t)], "doc_id long, text string")).collect()
+    assert [(s.start, s.kind, s.stop) for s in r.spans] == plain_spans(t) and len(r.spans) == 5000
+
+
 # Tiling
 
 
