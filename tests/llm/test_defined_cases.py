@@ -228,6 +228,23 @@ def test_urls(spark):
     assert url_terms.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_urls_weigh_soft_terms(spark, tmp_path):
+    """Variants count as their stem; two weak terms are not enough; a vocabulary may come from a file; long urls are read whole."""
+    vocabulary = url_terms.Vocabulary.of(["casino"], {"sex": 2, "free": 1, "hot": 1, "girl": 1})
+    block = {
+        "http://a.io/casin0s": True, "http://a.io/free/hot": False, "http://a.io/free/hot/girls": True, "http://a.io/sex/s3x/sexs": False, "http://a.io/sex-fr33": True, "http://a.io/casinox": False,
+        "http://a.io/" + "x/" * 50000 + "casino": True, "http://a.io/écasinoé": True, "": False,
+    }
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(block)], "page_id long, url string")
+    got = {r.url: r.verdict == "block" for r in url_terms.judge_urls(pages, vocabulary=vocabulary).collect()}
+    assert got == block
+    (tmp_path / "terms.csv").write_text("Bad,strict\nworse, 2\nworst,1\n")
+    read = url_terms.Vocabulary.read(spark, f"file://{tmp_path}/terms.csv")
+    assert read.terms == (("bad", "bad", 0), ("worse", "worse", 2), ("worst", "worst", 1))
+    assert url_terms.count_terms("x/bad-worse.worst/bads", read) == (1, 2, 3)
+    assert len(url_terms.VOCABULARY.terms) > 300
+
+
 def test_toxicity(odd, labels, spark):
     got = toxicity.toxicity(odd, labels).collect()
     assert len(got) == 11 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
