@@ -23,8 +23,8 @@ are compared further. jaccard_join counts links, so there every pair of a compon
 
 Groups of more than BLOCK texts (or BLOCK_SHINGLES shingles) are cut into blocks, each pair of which
 is a task's unit: no group meets in one task, no pair is lost, none is counted twice, and pairs are
-never rows. Blocks grow with the square root of the group, so a text is sent to that many tasks and
-not to n of them, and carries its shingles, which are made once.
+never rows. A group has BLOCKS blocks at most, so a text, with its shingles, which are made once, is
+sent to that many tasks; only where a block would exceed MOST texts or shingles are there more.
 
 Defined cases: a null text is a text without words; copies of a text share its class and links;
 rows may repeat and doc_id may be null (a class of null ids only has class_id null) or stand on
@@ -48,7 +48,8 @@ from .components import components
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 HASHES, STEP, TOLERANCE = BANDS * ROWS, 25, 1e-5
-BLOCK, BLOCK_SHINGLES, TILE = 256, 200_000, 512
+BLOCK, BLOCK_SHINGLES, BLOCKS, TILE = 64, 200_000, 24, 512
+MOST, MOST_SHINGLES = 40_000, 16_000_000
 U = np.uint64
 
 _random = np.random.default_rng(5)
@@ -276,8 +277,8 @@ def _by_pivot(batches):
 
 def blocks_of(n: Column, shingles: Column) -> Column:
     """Into how many blocks n texts with so many shingles are cut."""
-    size = F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(n) * 4))
-    return F.greatest(F.ceil(n / size), F.ceil(shingles / BLOCK_SHINGLES * BLOCK / size)).cast("int")
+    cut = lambda of, least, most: F.greatest(F.least(F.ceil(of / least), F.lit(BLOCKS)), F.ceil(of / most))
+    return F.greatest(cut(n, BLOCK, MOST), cut(shingles, BLOCK_SHINGLES, MOST_SHINGLES)).cast("int")
 
 
 def _block(of: Column) -> Column:
@@ -315,7 +316,7 @@ def spanning(rows: DataFrame, sized: DataFrame) -> DataFrame:
     is_done = large.select("grp", "node", "pivot").alias("l").join(again_shuffled(linked_with).alias("w"), F.expr("l.node = w.node and l.pivot = w.root"), "left").select("l.grp", "l.node", (F.col("w.node").isNull() & (F.col("l.node") != F.col("pivot"))).alias("rest"))
     is_done = materialize(is_done)
     left = is_done.groupBy("grp").agg(F.count_if("rest").alias("r"), F.count_if(~F.col("rest")).alias("d")).where("r > 0").alias("c").join(sized.alias("s"), "grp")
-    # Shingles are dealt to rest and settled texts by their numbers; blocks_of keeps at least as many blocks as either needs alone.
+    # The group's shingles count for rest and settled texts by their share of texts.
     left = left.select("grp", *[F.greatest(blocks_of(F.col(c), F.col("n_shingles") * F.col(c) / F.col("n")), F.lit(1)).alias(name) for c, name in (("r", "n_rest"), ("d", "n_done"))])
     further = is_done.join(again_shuffled(left), "grp")
     pairs = again_shuffled(further).alias("f").join(rows.alias("o"), F.expr("f.grp = o.grp and f.node = o.node")).select("o.*", "rest", "n_rest", "n_done")
