@@ -30,13 +30,13 @@ from .common import ascii_lower, table
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 STRICT = (
     "anal", "bdsm", "blowjob", "bukkake", "camgirl", "casino", "cialis", "creampie", "cumshot", "deepfake", "deepthroat", "escort", "fetish", "gangbang", "handjob", "hardcore", "hentai", "incest", "keylogger", "levitra", "malware", "masturbate", "milf", "nsfw", "onlyfans", "orgasm",
-    "phishing", "porn", "pornhub", "ransomware", "redtube", "rootkit", "shemale", "slut", "striptease", "swinger", "threesome", "upskirt", "viagra", "voyeur", "warez", "xhamster", "xnxx", "xvideo", "xxx", "youporn",
+    "phishing", "porn", "pornhub", "ransomware", "redtube", "rootkit", "shemale", "slut", "spam", "striptease", "swinger", "threesome", "upskirt", "viagra", "voyeur", "warez", "xhamster", "xnxx", "xvideo", "xxx", "youporn",
 )
 #: Soft stems: those of weight 2 first, then those of weight 1.
-STRONG = ("adult", "babe", "bet", "betting", "bingo", "blackjack", "busty", "crack", "dating", "erotic", "gambling", "hookup", "horny", "jackpot", "kamagra", "keygen", "kinky", "lingerie", "naked", "nude", "payday", "pills", "poker", "roulette", "serial", "sex", "sexy", "slot", "sportsbook", "torrent", "webcam")
+STRONG = ("ads", "adult", "babe", "bet", "betting", "bingo", "blackjack", "busty", "crack", "dating", "erotic", "gambling", "hookup", "horny", "jackpot", "kamagra", "keygen", "kinky", "lingerie", "naked", "nude", "payday", "pills", "poker", "roulette", "serial", "sex", "sexy", "slot", "sportsbook", "torrent", "webcam")
 WEAK = (
     "amateur", "ass", "bikini", "bonus", "boob", "cam", "cash", "cheap", "coupon", "cracked", "credit", "deal", "diet", "discount", "download", "earn", "enlarge", "forex", "free", "girl", "guy", "hack", "hot", "instant", "kiss", "loan", "lottery", "lucky", "massage", "mature", "model",
-    "money", "nulled", "offer", "patch", "pharmacy", "pic", "prize", "promo", "replica", "rich", "single", "spin", "strip", "supplement", "teen", "video", "weightloss", "win", "winner", "wife",
+    "money", "nulled", "offer", "patch", "pharmacy", "pic", "prize", "promo", "replica", "rich", "single", "spin", "strip", "supplement", "teen", "track", "tracker", "video", "weightloss", "win", "winner", "wife",
 )
 SOFT_TERMS, SOFT_WEIGHT = 2, 3
 MAX_TERMS = 200_000
