@@ -21,10 +21,11 @@ Where only the classes count (all buckets, and keep_one), a large group is first
 of its texts, its pivot; what is linked with that is settled, and only pairs with a text that isn't
 are compared further. jaccard_join counts links, so there every pair of a component is.
 
-Groups of more than BLOCK texts (or BLOCK_SHINGLES shingles) are cut into blocks, each pair of which
-is a task's unit: no group meets in one task, no pair is lost, none is counted twice, and pairs are
-never rows. A group has BLOCKS blocks at most, so a text, with its shingles, which are made once, is
-sent to that many tasks; only where a block would exceed MOST texts or shingles are there more.
+Groups of more than BLOCK texts with their shingles, or BUCKET_BLOCK without, are cut into blocks,
+each pair of which is a task's unit: no group meets in one task, no pair is lost, none is counted
+twice, and pairs are never rows. A group has BLOCKS blocks at most, so a text, with its shingles,
+which are made once, is sent to that many tasks; only where a block would exceed MOST texts or
+shingles are there more.
 
 Defined cases: a null text is a text without words; copies of a text share its class and links;
 rows may repeat and doc_id may be null (a class of null ids only has class_id null) or stand on
@@ -38,6 +39,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +50,7 @@ from .components import components
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 HASHES, STEP, TOLERANCE = BANDS * ROWS, 25, 1e-5
-BLOCK, BLOCK_SHINGLES, BLOCKS, TILE = 64, 200_000, 24, 512
+BLOCK, BLOCK_SHINGLES, BUCKET_BLOCK, BLOCKS, TILE = 64, 200_000, 512, 24, 512
 MOST, MOST_SHINGLES = 40_000, 16_000_000
 U = np.uint64
 
@@ -249,6 +251,12 @@ def _told(node: np.ndarray, root: np.ndarray, links: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(root[some]), pa.array(links[some].astype(np.int64))], ["node", "root", "links"])
 
 
+def _forests(batches):
+    """For each pair of blocks: its nodes that are linked with a lesser one, and the least node they are connected to."""
+    for batch in _by_blocks(batches):
+        yield batch.filter(pc.not_equal(batch.column("node"), batch.column("root")))
+
+
 def _by_blocks(batches):
     """For each pair of blocks: its nodes with links, a node that stands for all they are connected to, and their links."""
     for t in groups(batches, "grp", "lo", "hi"):
@@ -265,20 +273,20 @@ def _by_blocks(batches):
 
 
 def _by_pivot(batches):
-    """For each block of a group and its pivot: the nodes linked with that."""
+    """For each block of a group and its pivot: the nodes linked with that, which is their root."""
     for t in groups(batches, "grp", "block"):
         node = t.column("node").to_numpy()
-        is_pivot = node == t.column("pivot")[0].as_py()
-        found = np.zeros(len(node), bool)
-        for _, j in linked(t, np.flatnonzero(is_pivot), np.flatnonzero(~is_pivot), False):
-            found[j] = True
-        yield from _told(node, np.full(len(node), t.column("pivot")[0].as_py()), found)
+        pivot, grp = t.column("pivot")[0].as_py(), t.column("grp")[0].as_py()
+        found = [j for _, j in linked(t, np.flatnonzero(node == pivot), np.flatnonzero(node != pivot), False)]
+        if found:
+            j = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), grp)), pa.array(node[j]), pa.array(np.full(len(j), pivot))], ["grp", "node", "root"])
 
 
-def blocks_of(n: Column, shingles: Column) -> Column:
-    """Into how many blocks n texts with so many shingles are cut."""
+def blocks_of(n: Column, shingles: Column | None = None) -> Column:
+    """Into how many blocks n texts with so many shingles, or without any, are cut."""
     cut = lambda of, least, most: F.greatest(F.least(F.ceil(of / least), F.lit(BLOCKS)), F.ceil(of / most))
-    return F.greatest(cut(n, BLOCK, MOST), cut(shingles, BLOCK_SHINGLES, MOST_SHINGLES)).cast("int")
+    return (cut(n, BUCKET_BLOCK, MOST) if shingles is None else F.greatest(cut(n, BLOCK, MOST), cut(shingles, BLOCK_SHINGLES, MOST_SHINGLES))).cast("int")
 
 
 def _block(of: Column) -> Column:
@@ -303,24 +311,25 @@ def all_links(rows: DataFrame, sized: DataFrame) -> DataFrame:
 
 
 def spanning(rows: DataFrame, sized: DataFrame) -> DataFrame:
-    """rows(grp, node, signature, and shingles if links are to be verified), sized(grp, n, n_shingles, pivot) -> node, root: a spanning forest of each group's links, from far fewer pairs than all_links. rows must be written: they are read more than once."""
-    sized = materialize(sized.withColumn("blocks", blocks_of(F.col("n"), F.col("n_shingles"))))
+    """rows(grp, node, signature, and shingles if links are to be verified), sized(grp, n, pivot, and n_shingles then) -> node, root: a spanning forest of each group's links, from far fewer pairs than all_links. rows must be written: they are read more than once."""
+    of = lambda n, share: blocks_of(n, F.col("n_shingles") * share) if "shingles" in rows.columns else blocks_of(n)
+    sized = materialize(sized.withColumn("blocks", of(F.col("n"), F.lit(1))))
     whole = rows.join(again_shuffled(sized.where("blocks = 1").select("grp", F.col("blocks").alias("n_rest"))), "grp")
-    out = in_blocks(whole.withColumns({"rest": F.lit(True), "n_done": F.lit(0)})).mapInArrow(_by_blocks, LINKS).select("node", "root")
+    out = in_blocks(whole.withColumns({"rest": F.lit(True), "n_done": F.lit(0)})).mapInArrow(_forests, LINKS).select("node", "root")
     if sized.where("blocks > 1").isEmpty():
         return out
     large = rows.join(again_shuffled(sized.where("blocks > 1").select("grp", "pivot", "blocks")), "grp")
     block = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_block(F.col("blocks"))))
     dealt = large.withColumn("block", F.explode(block)).drop("blocks").repartition("grp", "block").sortWithinPartitions("grp", "block", "node")
-    linked_with = materialize(dealt.mapInArrow(_by_pivot, LINKS).select("node", "root"))
-    is_done = large.select("grp", "node", "pivot").alias("l").join(again_shuffled(linked_with).alias("w"), F.expr("l.node = w.node and l.pivot = w.root"), "left").select("l.grp", "l.node", (F.col("w.node").isNull() & (F.col("l.node") != F.col("pivot"))).alias("rest"))
+    linked_with = materialize(dealt.mapInArrow(_by_pivot, "grp bigint, node bigint, root bigint"))
+    is_done = large.select("grp", "node", "pivot").alias("l").join(again_shuffled(linked_with).alias("w"), F.expr("l.grp = w.grp and l.node = w.node"), "left").select("l.grp", "l.node", (F.col("w.node").isNull() & (F.col("l.node") != F.col("pivot"))).alias("rest"))
     is_done = materialize(is_done)
-    left = is_done.groupBy("grp").agg(F.count_if("rest").alias("r"), F.count_if(~F.col("rest")).alias("d")).where("r > 0").alias("c").join(sized.alias("s"), "grp")
+    left = is_done.groupBy("grp").agg(F.count_if("rest").alias("r"), F.count_if(~F.col("rest")).alias("d")).where("r > 0").join(sized, "grp")
     # The group's shingles count for rest and settled texts by their share of texts.
-    left = left.select("grp", *[F.greatest(blocks_of(F.col(c), F.col("n_shingles") * F.col(c) / F.col("n")), F.lit(1)).alias(name) for c, name in (("r", "n_rest"), ("d", "n_done"))])
+    left = left.select("grp", *[F.greatest(of(F.col(c), F.col(c) / F.col("n")), F.lit(1)).alias(name) for c, name in (("r", "n_rest"), ("d", "n_done"))])
     further = is_done.join(again_shuffled(left), "grp")
     pairs = again_shuffled(further).alias("f").join(rows.alias("o"), F.expr("f.grp = o.grp and f.node = o.node")).select("o.*", "rest", "n_rest", "n_done")
-    return out.unionByName(linked_with).unionByName(in_blocks(pairs).mapInArrow(_by_blocks, LINKS).select("node", "root"))
+    return out.unionByName(linked_with.select("node", "root")).unionByName(in_blocks(pairs).mapInArrow(_forests, LINKS).select("node", "root"))
 
 
 def near_duplicate_classes(docs: DataFrame, count: bool = True) -> DataFrame:
@@ -334,7 +343,7 @@ def near_duplicate_classes(docs: DataFrame, count: bool = True) -> DataFrame:
     in_bucket = nodes.where("n_shingles > 0").select("node", "signature").mapInArrow(_banded, "node bigint, grp bigint")
     sums = [F.sum(F.xxhash64(F.lit(i), "node") % (1 << 40)).alias(f"h{i}") for i in (1, 2)]
     sized = in_bucket.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *sums, F.min("node").alias("a"), F.max("node").alias("z")).where("n > 1")
-    kept = materialize(sized.groupBy("n", "h1", "h2", "a", "z").agg(F.min("grp").alias("grp")).select("grp", "n", F.lit(0).alias("n_shingles"), F.col("a").alias("pivot")))
+    kept = materialize(sized.groupBy("n", "h1", "h2", "a", "z").agg(F.min("grp").alias("grp")).select("grp", "n", F.col("a").alias("pivot")))
     members = in_bucket.join(again_shuffled(kept.select("grp")), "grp")
     compared = materialize(again_shuffled(members).join(nodes.select("node", "signature"), "node"))
     likely = materialize(components(spanning(compared, kept).select(F.col("node").alias("u"), F.col("root").alias("v"))).select("node", F.col("root").alias("grp")))

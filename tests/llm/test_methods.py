@@ -300,6 +300,7 @@ def near_texts(groups, each, length, seed):
 
 def test_classes_against_plain(spark, monkeypatch):
     monkeypatch.setattr(bayes_join, "BLOCK", 16)  # so groups are cut into blocks
+    monkeypatch.setattr(bayes_join, "BUCKET_BLOCK", 16)
     rows = near_texts(6, 30, 150, 5) + [(1000 + i, t) for i, t in near_texts(10, 2, 60, 6)] + [(2000, ""), (2001, "a b"), (2002, "a b"), (2003, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = plain_classes([(d, t or "") for d, t in rows])
@@ -315,6 +316,7 @@ def test_classes_against_plain(spark, monkeypatch):
 def test_large_group_of_near_copies_whose_pivot_knows_few(spark, monkeypatch):
     """Texts in a chain: each is linked with its neighbours only, so the pivot settles few and the rest needs each other."""
     monkeypatch.setattr(bayes_join, "BLOCK", 8)
+    monkeypatch.setattr(bayes_join, "BUCKET_BLOCK", 8)
     words = [f"c{i}" for i in range(60)]
     rows = []
     for i in range(60):  # a word is replaced at a time
