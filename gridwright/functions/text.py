@@ -50,6 +50,13 @@ STAMPS = (
     (r"(?i)^(page\s+)?\d{1,4}(\s+of\s+\d{1,4})?$", "page-number"),
     (r"(?i)^(©|\(c\)\s)\s*\d{4}.*$", "copyright"),
 )
+#: Words that a heading's title does not end with, and how long a heading, its title and its number may be.
+CONNECTIVES = ("the", "of", "and", "to", "a", "in", "for", "is", "are", "was", "were")
+MAX_HEADING, MAX_TITLE_WORDS, MIN_TITLE, MAX_NOTE = 110, 12, 2, 99
+#: What a printed currency is called.
+CURRENCY_NAMES = ((r"GH|₵", "GHS"), (r"US|\$", "USD"), (r"^£$", "GBP"), (r"^€$", "EUR"), (r"^NGN$", "NGN"))
+PERIODS = (r"(?i)(?:year|period)\s+ended\s+([\w\s]{4,30}(?:19|20)\d{2})", r"(?i)as at\s+([\w\s]{4,30}(?:19|20)\d{2})")
+COMPANY, COMPANY_CHARS = r"(?i)\b(limited|ltd|plc|company|group)\b", 80
 #: Three readings of "total", each for its own check.
 TOTAL_IN_TABLE = r"(?i)\b(total|sub-?total|net\s+(assets|liabilities|position|cash)|aggregate|sum)\b"
 TOTAL_LABEL = r"(?i)^\s*(total|sub-?total|net\b|grand\s+total)"
@@ -145,8 +152,7 @@ def detect_units(text: Column) -> Column:
 
 
 def detect_currency(text: Column) -> Column:
-    t = F.upper(F.regexp_extract(text_of(text), CURRENCY, 0))
-    return F.when(t == "", None).when(t.rlike("GH|₵"), "GHS").when(t.rlike(r"US|\$"), "USD").when(t == "£", "GBP").when(t == "€", "EUR").when(t == "NGN", "NGN")
+    return first_match(F.upper(F.regexp_extract(text_of(text), CURRENCY, 0)), CURRENCY_NAMES)
 
 
 def note_heading(text: Column) -> Column:
@@ -154,40 +160,29 @@ def note_heading(text: Column) -> Column:
     return _headed(collapse_ws(trim_ws(text_of(text))))
 
 
-def _heading(text: Column) -> Column:
-    none = F.lit(None).cast("struct<number:string,title:string>")
-
-    def of(s: Column) -> Column:
-        found = none
-        for p in reversed(NOTE_HEADINGS):
-            parts = F.struct(F.regexp_extract(s, p, 1).alias("number"), F.regexp_replace(trim_ws(F.regexp_extract(s, p, 2)), r"[.:;,]+$", "").alias("title"))
-
-            def judged(h: Column, p=p, rest=found) -> Column:
-                t = h["title"]
-                good = s.rlike(p) & (F.length(t) >= 2) & ~is_numeric_cell(t) & ~t.rlike(r"(?i)\b(the|of|and|to|a|in|for|is|are|was|were)$") & (F.size(F.split(t, " ")) <= 12) & (h["number"].try_cast("double") <= 99)
-                return F.when(good, h).otherwise(rest)
+def _is_title(title: Column) -> Column:
+    """Words enough and no more, not a figure, and not broken off at a connective."""
+    last = F.lower(F.regexp_extract(title, r"(\w+)$", 1))
+    return (F.length(title) >= MIN_TITLE) & (F.size(F.split(title, " ")) <= MAX_TITLE_WORDS) & ~last.isin(*CONNECTIVES) & ~is_numeric_cell(title)
 
-            found = _judge(parts, judged)
-        return F.when((s == "") | (F.length(s) > 110), none).otherwise(found)
 
-    return of(text)
-
-
-def _judge(parts: Column, judged) -> Column:
-    return let(parts, lambda h: judged(h))
+def _heading(text: Column) -> Column:
+    """Each form reads a number and a title, or nothing; the first that reads a good title counts."""
+    read = lambda p: F.when(text.rlike(p), F.struct(F.regexp_extract(text, p, 1).alias("number"), F.regexp_replace(trim_ws(F.regexp_extract(text, p, 2)), "[.:;,]+$", "").alias("title")))
+    good = lambda h: h.isNotNull() & (h["number"].try_cast("double") <= MAX_NOTE) & _is_title(h["title"])
+    return F.when((text != "") & (F.length(text) <= MAX_HEADING), F.get(F.filter(F.array(*[read(p) for p in NOTE_HEADINGS]), good), F.lit(0)))
 
 
 _headed = reusable(_heading)
 
 
 def period_label(text: Column) -> Column:
-    s = text_of(text)
-    a, b = (F.regexp_extract(s, rf"(?i)(?:{head})\s+([\w\s]{{4,30}}(?:19|20)\d{{2}})", 1) for head in (r"(?:year|period)\s+ended", r"as at"))
-    return F.when(a != "", trim_ws(a)).when(b != "", trim_ws(b))
+    found = F.array(*[F.nullif(trim_ws(F.regexp_extract(text_of(text), p, 1)), F.lit("")) for p in PERIODS])
+    return F.get(F.array_compact(found), F.lit(0))
 
 
 def is_company(text: Column) -> Column:
-    return text_of(text).rlike(r"(?i)\b(limited|ltd|plc|company|group)\b") & (F.length(text) < 80)
+    return text_of(text).rlike(COMPANY) & (F.length(text) < COMPANY_CHARS)
 
 
 def looks_like_date(value: Column) -> Column:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ipaddress
+from functools import reduce
+from operator import or_
+from urllib.parse import quote
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +38,12 @@ INDEX_WORDS = r"(?i)(report|investor|financ|annual|interim|quarter|result|downlo
 FILE_WORDS = r"(?i)download|file|attachment|asset|document"
 INTERNAL = (".local", ".internal", ".localdomain", ".home.arpa", ".localhost", ".lan", ".intranet")
 PORTS = ("", "80", "443", "8080", "8443")
+#: Address blocks that are not of the public network: this one, private, shared, loopback, link-local, protocol and benchmark ones, multicast and above.
+NETWORKS = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/16", "192.168.0.0/16", "198.18.0.0/15", "224.0.0.0/3")
+NETWORKS_6 = ("::/128", "::1/128", "fc00::/7", "fe80::/10")
+
+#: What stays as it is in a query's value, besides letters, digits and -_.
+_PLAIN = "!'()*~"
 
 
 def sniff_kind(url: Column, content_type: Column) -> Column:
@@ -74,24 +85,31 @@ def worth_sniffing(url: Column, label: Column, kind: Column) -> Column:
     return F.when(is_document_kind(kind), True).when(kind != "unknown", False).otherwise(F.coalesce(~path.endswith("/") & (path != "") & named, F.lit(False)))
 
 
+def _in_network(address: Column, network: str) -> Column:
+    """Whether a whole number is an address of a version 4 network."""
+    net = ipaddress.ip_network(network)
+    return address.between(int(net.network_address), int(net.broadcast_address))
+
+
+def _in_network_6(group: Column, host: Column, network: str) -> Column:
+    """The same for version 6, by the address's first group of 16 bits; single addresses by their text."""
+    net = ipaddress.ip_network(network)
+    if net.prefixlen == 128:
+        return host == str(net.network_address)
+    return group.between(int(net.network_address) >> 112, int(net.broadcast_address) >> 112)
+
+
 def blocked_host(hostname: Column) -> Column:
-    """Private, loopback, link-local, shared, multicast and otherwise internal hosts, and bare numbers."""
+    """Hosts of private and special networks, internal names, bare numbers, and addresses that are none."""
     host = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(text_of(hostname)), r"^\[|\]$", ""), r"\.$", ""), "^::ffff:", "")
-    part = [F.regexp_extract(host, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", i).try_cast("int") for i in (1, 2, 3, 4)]
-    a, b = part[0], part[1]
-    v4 = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    bad4 = (
-        (F.greatest(*part) > 255) | a.isin(0, 10, 127) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & b.isin(168, 0))
-        | ((a == 198) & b.isin(18, 19)) | ((a == 100) & b.between(64, 127)) | (a >= 224)
-    )
-    internal = host == "localhost"
-    for suffix in INTERNAL:
-        internal = internal | host.endswith(suffix)
-    return (
-        F.when((host == "") | internal | host.rlike(r"^\d+$") | host.rlike("^0x[0-9a-f]+$"), True)
-        .when(v4, bad4)
-        .otherwise(host.isin("::", "::1") | host.rlike("^f[cd][0-9a-f]{2}(:|$)") | host.rlike("^fe[89ab][0-9a-f](:|$)") | (host.contains(":") & ~host.rlike("^[0-9a-f:.]+$")))
-    )
+    parts = F.transform(F.split(host, r"\."), lambda x: x.try_cast("long"))
+    address = F.aggregate(parts, F.lit(0).cast("long"), lambda n, x: n * 256 + x)
+    group = F.conv(F.regexp_extract(host, "^([0-9a-f]{1,4})(?::|$)", 1), 16, 10).cast("long")
+    any_of = lambda tests: F.coalesce(reduce(or_, tests), F.lit(False))
+    named = any_of([host == "", host == "localhost", host.rlike(r"^\d+$"), host.rlike("^0x[0-9a-f]+$"), *[host.endswith(x) for x in INTERNAL]])
+    four = F.exists(parts, lambda x: x > 255) | any_of([_in_network(address, n) for n in NETWORKS])
+    six = any_of([_in_network_6(group, host, n) for n in NETWORKS_6]) | (host.contains(":") & ~host.rlike("^[0-9a-f:.]+$"))
+    return F.when(named, True).when(host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), four).otherwise(six)
 
 
 def validate_target(url: Column, block: list[str] = (), allow: list[str] = ()) -> Column:
@@ -118,8 +136,18 @@ def filename_from_url(url: Column, fallback: str = "download") -> Column:
     return F.coalesce(F.when(name != "", name), F.lit(fallback))
 
 
-def proxy_url(base: str, target: Column) -> Column:
-    return F.concat(F.lit(base.rstrip("/") + "/?url="), F.replace(F.url_encode(target), F.lit("+"), F.lit("%20")))
+def proxy_url(base: str, target: Column, params: dict[str, str] | None = None) -> Column:
+    """The url by which a proxy at base is asked for target; further params follow, empty ones left out."""
+    base = (base or "").strip()
+    if not base:
+        raise ValueError("no proxy is set")
+    if not base.lower().startswith(("http://", "https://")):
+        raise ValueError("the proxy must be a valid absolute http(s) address")
+    more = "".join(f"&{quote(k, safe=_PLAIN)}={quote(str(v), safe=_PLAIN)}" for k, v in (params or {}).items() if v not in (None, ""))
+    encoded = F.url_encode(target)
+    for code, plain in (("+", "%20"), *[(quote(c, safe="").upper() if c != "*" else "*", c) for c in "!'()~"]):
+        encoded = F.replace(encoded, F.lit(code), F.lit(plain))
+    return F.concat(F.lit(base + ("&" if "?" in base else "?") + "url="), encoded, F.lit(more))
 
 
 def robots_match_length(pattern: Column, path: Column) -> Column:
@@ -128,3 +156,30 @@ def robots_match_length(pattern: Column, path: Column) -> Column:
     quoted = F.regexp_replace(pattern, r"([.+?^${}()|\[\]\\])", r"\\$1")
     source = F.concat(F.lit("^"), F.regexp_replace(F.replace(quoted, F.lit("*"), F.lit(".*")), r"\\\$$", r"\$"))
     return F.when(pattern == "", -1).when(wild, F.when(F.rlike(path, source), F.length(F.replace(pattern, F.lit("*"), F.lit("")))).otherwise(-1)).when(F.startswith(path, pattern), F.length(pattern)).otherwise(-1)
+
+
+# Responses
+
+
+def response_info(url: Column, content_type: Column, content_length: Column, content_range: Column) -> Column:
+    """struct(content_type, bytes, kind, basis) of a response's headers: a length that is missing, 0 or 1, as ranged requests have it, gives way to the range's total."""
+    told = F.regexp_extract(text_of(content_range), r"/(\d+)\s*$", 1)
+    length = F.nullif(text_of(content_length), F.lit(""))
+    size = F.when((length.isNull() | length.isin("0", "1")) & (told != ""), told).otherwise(length)
+    kind = sniff_kind(url, content_type)
+    return F.struct(text_of(content_type).alias("content_type"), size.try_cast("long").alias("bytes"), kind["kind"].alias("kind"), kind["basis"].alias("basis"))
+
+
+SUFFIXES = (("pdf", "pdf"), ("spreadsheet", "xlsx"), ("csv", "csv"), ("document", "docx"), ("image", "png"), ("html", "html"))
+
+
+def download_name(url: Column, content_type: Column, asked: Column | None = None) -> Column:
+    """The file name of a download: the one asked for or the url's own, with the suffix of its kind if it has none."""
+    name = filename_from_url(url) if asked is None else F.coalesce(F.nullif(asked, F.lit("")), filename_from_url(url))
+    suffix = first_match(sniff_kind(url, content_type)["kind"], [(f"^{k}$", s) for k, s in SUFFIXES])
+    return F.when(name.rlike(r"(?i)\.[a-z0-9]{2,5}$") | suffix.isNull(), name).otherwise(F.concat(name, F.lit("."), suffix))
+
+
+def is_html(content_type: Column) -> Column:
+    """Whether a response can be read as a page."""
+    return trim_ws(F.element_at(F.split(text_of(content_type), ";"), 1)).rlike("(?i)text/html|application/xhtml|text/plain|^$")

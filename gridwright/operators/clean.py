@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridwright.functions import numbers, text
 from gridwright.functions.core import let, text_of, trim_ws
+from gridwright.storage import spread
 
 from .headers import resolve
 from .result import ROW, OpResult, columns_of
@@ -69,18 +69,23 @@ def snake(name: str) -> str:
 
 
 def dedupe(df: DataFrame, key: str | list[str] | None = None, ignore_case: bool = False, ignore_whitespace: bool = False, loose: bool = False, keep: str = "first", mode: str = "remove") -> OpResult:
-    """Rows with equal keys (all columns by default): removed but for the first or last, or flagged with the 1-based row they repeat."""
+    """Rows with equal keys (all columns by default): removed but for the first or last, or flagged with the 1-based row they repeat.
+
+    Keys are compared by 128 bits. First and last rows of keys that repeat come from partial aggregates and are joined back, so a key that most rows share, such as a blank one, meets in no one task."""
     names = columns_of(df)
     cols = resolve(names, key) if key else names
-    keyed = df.withColumn("_key", text.row_key([F.col(c) for c in cols], ignore_case, ignore_whitespace, loose))
-    same = W.partitionBy("_key")
-    marked = keyed.withColumns({"_first": F.min(ROW).over(same), "_kept": (F.min(ROW) if keep == "first" else F.max(ROW)).over(same)})
-    groups = keyed.groupBy("_key").count().where("count > 1").agg(F.count(F.lit(1)).alias("duplicate_groups"))
+    text_key = text.row_key([F.col(f"`{c}`") for c in cols], ignore_case, ignore_whitespace, loose)
+    hashes = lambda a, b: {a: F.xxhash64(text_key), b: F.xxhash64(F.lit(1), text_key)}
+    kept = (F.min if keep == "first" else F.max)(ROW)
+    repeated = df.select(ROW, *[v.alias(k) for k, v in hashes("_a", "_b").items()]).groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min(ROW).alias("_first"), kept.alias("_kept")).where("_n > 1")
+    marked = df.withColumns(hashes("_c", "_d")).join(spread(repeated), F.expr("_c = _a and _d = _b"), "left")
+    groups = repeated.agg(F.count(F.lit(1)).alias("duplicate_groups"))
     if mode == "flag":
-        repeat = F.when(F.col(ROW) == F.col("_first"), "").otherwise((F.col("_first") + 1).cast("string"))
+        repeat = F.when(F.col("_first").isNull() | (F.col(ROW) == F.col("_first")), "").otherwise((F.col("_first") + 1).cast("string"))
         return OpResult(marked.select(*df.columns, repeat.alias("duplicate_of_row")), {"groups": groups})
-    removed = marked.where(F.col(ROW) != F.col("_kept")).select((F.col(ROW) + 1).alias("row"), (F.col("_kept") + 1).alias("kept_row"))
-    return OpResult(marked.where(F.col(ROW) == F.col("_kept")).select(*df.columns), {"groups": groups, "removed": removed})
+    goes = F.coalesce(F.col(ROW) != F.col("_kept"), F.lit(False))
+    removed = marked.where(goes).select((F.col(ROW) + 1).alias("row"), (F.col("_kept") + 1).alias("kept_row"))
+    return OpResult(marked.where(~goes).select(*df.columns), {"groups": groups, "removed": removed})
 
 
 def rectangular(df: DataFrame, cells: str, width: int) -> DataFrame:

@@ -58,6 +58,37 @@ def select_tables(tables: DataFrame, chosen: DataFrame) -> DataFrame:
     return tables.join(chosen.withColumnRenamed("selected", "_s"), "table_id", "left").withColumn("selected", F.coalesce("_s", "selected")).drop("_s")
 
 
+def set_meta(tables: DataFrame, patches: DataFrame) -> DataFrame:
+    """patches(table_id, ...) laid over tables: of the columns that both have, what isn't null replaces what is there."""
+    shared = [c for c in patches.columns if c != "table_id" and c in tables.columns]
+    p = patches.select("table_id", *[F.col(c).alias(f"_{c}") for c in shared])
+    return tables.join(p, "table_id", "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in shared else F.col(c) for c in tables.columns])
+
+
+def select_documents(tables: DataFrame, chosen: DataFrame) -> DataFrame:
+    """chosen(doc_id, selected) laid over all tables of a document."""
+    return tables.join(chosen.withColumnRenamed("selected", "_s"), "doc_id", "left").withColumn("selected", F.coalesce("_s", "selected")).drop("_s")
+
+
+def map_columns(labels: DataFrame, names: DataFrame) -> DataFrame:
+    """names(table_id, col, name), the declared names of detected columns, laid over labels(table_id, col, label)."""
+    n = names.select("table_id", "col", F.nullif(F.trim("name"), F.lit("")).alias("_n"))
+    return labels.join(n, ["table_id", "col"], "left").select("table_id", "col", F.coalesce("_n", "label").alias("label"))
+
+
+def add_warnings(tables: DataFrame, told: DataFrame) -> DataFrame:
+    """told(table_id, warning) added to tables' warnings, each once, in alphabetic order after those that are there."""
+    more = told.groupBy("table_id").agg(F.array_sort(F.collect_set("warning")).alias("_w"))
+    return tables.join(more, "table_id", "left").withColumn("warnings", F.array_union(F.coalesce("warnings", F.array().cast("array<string>")), F.coalesce("_w", F.array().cast("array<string>")))).drop("_w")
+
+
+def session_stats(files: DataFrame, pages: DataFrame, tables: DataFrame) -> DataFrame:
+    """files, docs, tables, selected, pages, ocr_pages, needs_ocr, warnings of a session: files(path), pages(doc_id, page, needs_ocr, ocr_applied), tables(table_id, selected, warnings). Single rows meet."""
+    p = pages.agg(F.countDistinct("doc_id").alias("docs"), F.count(F.lit(1)).alias("pages"), F.count_if("ocr_applied").alias("ocr_pages"), F.count_if(F.col("needs_ocr") & ~F.col("ocr_applied")).alias("needs_ocr"))
+    t = tables.agg(F.count(F.lit(1)).alias("tables"), F.count_if("selected").alias("selected"), F.coalesce(F.sum(F.size(F.coalesce("warnings", F.array().cast("array<string>")))), F.lit(0)).alias("warnings"))
+    return files.agg(F.count(F.lit(1)).alias("files")).crossJoin(p).crossJoin(t).select("files", "docs", "tables", "selected", "pages", "ocr_pages", "needs_ocr", "warnings")
+
+
 def with_defaults(tables: DataFrame) -> DataFrame:
     """Tables as they arrive, with what may be lacking filled in."""
     d = {"title": "", "note_ref": "", "section": "other", "units": "", "origin": "unknown", "source_file": ""}

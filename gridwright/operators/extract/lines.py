@@ -1,17 +1,19 @@
 """words(doc_id, page, word_idx, text, x, y, x1, y1, w, h, conf) to lines, cells and vertical bands.
 
-Everything is partitioned by (doc_id, page). Lines need a running mean and so a grouped map over one
-page's words; the rest are windows.
+Everything is partitioned by (doc_id, page). Lines need a running mean, which no window gives, and so
+an Arrow map over sorted pages; the rest are windows.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridwright.functions.core import text_of, trim_ws
+from gridwright.functions.arrow import numbers, whole_groups
+from gridwright.functions.core import prefix_sums, text_of, trim_ws
 from gridwright.functions.numbers import parse_number
 
 PAGE = ["doc_id", "page"]
@@ -25,10 +27,11 @@ DEFAULT_HEIGHT, SPACE_OF_HEIGHT, SPACING_OF_HEIGHT = 10.0, 0.28, 1.4
 def words_from_items(items: DataFrame) -> DataFrame:
     """items(doc_id, page, item_idx, str, x, baseline, width, height, page_height) of a text layer to words: each takes its share of the item's width, y runs from the top."""
     t = text_of(F.col("str"))
-    pieces = F.regexp_extract_all(t, F.lit(r"\S+"), F.lit(0))
-    place = lambda p, n: F.coalesce(F.aggregate(F.slice(p, F.lit(1), n), F.lit(0), lambda a, s: a + F.length(s)), F.lit(0))
-    gaps = F.split(t, r"\S+", -1)
-    words = F.transform(pieces, lambda s, i: F.struct(s.alias("text"), (place(gaps, i + 1) + place(pieces, i)).alias("at")))
+    pieces, gaps = F.regexp_extract_all(t, F.lit(r"\S+"), F.lit(0)), F.split(t, r"\S+", -1)
+    lengths = lambda of: F.transform(of, lambda s: F.length(s))
+    # A word begins after all gaps up to its own and all words before it.
+    starts = F.zip_with(F.slice(prefix_sums(lengths(pieces)), F.lit(1), F.size(pieces)), F.slice(prefix_sums(lengths(gaps)), F.lit(2), F.size(pieces)), lambda a, b: a + b)
+    words = F.zip_with(pieces, starts, lambda s, at: F.struct(s.alias("text"), at.alias("at")))
     per = F.col("width") / F.greatest(F.length(t), F.lit(1))
     top = F.col("page_height") - F.col("baseline") - 0.8 * F.col("height")
     cut = items.select(*PAGE, "item_idx", "x", "height", per.alias("per"), top.alias("y"), F.posexplode(words).alias("k", "s"))
@@ -49,41 +52,45 @@ def normalise_words(words: DataFrame) -> DataFrame:
     return out.where("text != ''")
 
 
+def _line_numbers(centers: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """(line, its mean centre) of words given by their centres in reading order. Neighbours of one centre share a line, so lines are looked up once for each run of them, among the means so far: the latest one near enough, unless a later line lies far above."""
+    starts = np.flatnonzero(np.append(True, centers[1:] != centers[:-1]))
+    sizes = np.diff(np.append(starts, len(centers)))
+    means, weights, line_of = np.empty(len(starts)), np.zeros(len(starts)), np.empty(len(starts), np.int64)
+    n = 0
+    for run, (center, size) in enumerate(zip(centers[starts], sizes, strict=True)):
+        near = np.flatnonzero(np.abs(means[:n] - center) <= tolerance)
+        above = np.flatnonzero(means[:n] < center - 4 * tolerance)
+        line = near[-1] if len(near) and (not len(above) or above[-1] < near[-1]) else n
+        if line == n:
+            n += 1
+            means[line] = center
+        weights[line] += size
+        means[line] += (center - means[line]) * size / weights[line]
+        line_of[run] = line
+    order = np.argsort(means[:n], kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    each = np.repeat(line_of, sizes)
+    return rank[each], means[each]
+
+
 def assign_lines(words: DataFrame) -> DataFrame:
-    """words with line, numbered from the top. A word joins the nearest earlier line within 0.45 median heights of its running mean centre."""
-    schema = words.select(*PAGE, "word_idx", "text", "x", "y", "x1", "y1", "w", "h", "conf").schema.add("line", "integer").add("line_center", "double")
-
-    def group(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["y", "x", "word_idx"], kind="stable").reset_index(drop=True)
-        heights = p.h[p.h > 0.5]
-        height = float(heights.median()) if len(heights) else DEFAULT_HEIGHT
-        tolerance = max(1.0, (height or DEFAULT_HEIGHT) * LINE_TOLERANCE)
-        sums: list[float] = []
-        counts: list[int] = []
-        line_of = []
-        for center in (p.y + p.y1) / 2:
-            at = None
-            for i in range(len(sums) - 1, -1, -1):
-                mean = sums[i] / counts[i]
-                if abs(mean - center) <= tolerance:
-                    at = i
-                    break
-                if mean < center - 4 * tolerance:
-                    break
-            if at is None:
-                at = len(sums)
-                sums.append(0.0)
-                counts.append(0)
-            sums[at] += center
-            counts[at] += 1
-            line_of.append(at)
-        centers = [s / n for s, n in zip(sums, counts, strict=True)]
-        rank = {i: r for r, i in enumerate(sorted(range(len(centers)), key=lambda i: centers[i]))}
-        p["line"] = [rank[i] for i in line_of]
-        p["line_center"] = [centers[i] for i in line_of]
-        return p[schema.names]
-
-    return words.groupBy(*PAGE).applyInPandas(group, schema)
+    """words with line, numbered from the top. A word joins the latest line within 0.45 median heights of its running mean centre. Pages are sorted by Spark and read in Arrow batches, many at a time."""
+    names = [*PAGE, "word_idx", "text", "x", "y", "x1", "y1", "w", "h", "conf"]
+    schema = words.select(*names).schema.add("line", "integer").add("line_center", "double")
+
+    def run(batches):
+        for table, bounds in whole_groups(batches, PAGE):
+            height, center = numbers(table, "h"), (numbers(table, "y") + numbers(table, "y1")) / 2
+            line, mean = np.empty(len(center), np.int32), np.empty(len(center))
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                tall = height[lo:hi][height[lo:hi] > 0.5]
+                usual = float(np.median(tall)) if len(tall) else DEFAULT_HEIGHT
+                line[lo:hi], mean[lo:hi] = _line_numbers(center[lo:hi], max(1.0, usual * LINE_TOLERANCE))
+            yield from table.append_column("line", pa.array(line)).append_column("line_center", pa.array(mean)).to_batches()
+
+    return words.select(*names).repartition(*PAGE).sortWithinPartitions(*PAGE, "y", "x", "word_idx").mapInArrow(run, schema)
 
 
 def lines(words: DataFrame) -> DataFrame:

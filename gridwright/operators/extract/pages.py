@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridwright.functions import numbers, text
 from gridwright.functions.core import trim_ws
+from gridwright.storage import materialize
 
 from . import grids
 from .lines import PAGE, assign_lines, bands, lines, normalise_words, page_metrics, split_cells
@@ -94,37 +94,43 @@ def annotate(tables: DataFrame, line_rows: DataFrame, context: DataFrame, page_s
 def extract_tables(words: DataFrame, minimum: int = TEXT_LAYER_MIN, min_confidence: float = grids.MIN_CONFIDENCE) -> dict[str, DataFrame]:
     """The pipeline: words to pages, tables, their long cells (body rows, and headers), and what was rejected, with reasons.
 
-    Words with lines are read by several branches, so they are kept on executors' disks as well as in memory; if a part is lost it is computed again."""
-    raw = assign_lines(normalise_words(words)).persist(StorageLevel.MEMORY_AND_DISK)
-    raw_lines = lines(raw)
+    What several branches read (words with lines, lines kept, bands, cells told apart as figures, verdicts) is written to the shared folder once, so no branch is planned or run through what came before."""
+    raw = materialize(assign_lines(normalise_words(words)))
+    raw_lines = materialize(lines(raw))
     kept, removed, pages = strip_furniture(raw_lines, words.select(*PAGE), minimum)
+    kept, pages = materialize(kept), materialize(pages)
     readable = pages.where("has_text_layer").select(*PAGE)
     body = raw.drop("line_center").join(kept.select(*PAGE, "line"), [*PAGE, "line"], "left_semi").join(readable, PAGE, "left_semi").drop("line")
-    again = assign_lines(body).persist(StorageLevel.MEMORY_AND_DISK)
-    metrics, line_rows = page_metrics(again), lines(again)
-    banded = bands(line_rows, metrics)
-    cells = split_cells(again, metrics)
-    grid = grids.band_cells(cells, banded, metrics).persist(StorageLevel.MEMORY_AND_DISK)
-    good = grid.where("reason is null")
-    verdict = grids.classify(good, metrics.select(*PAGE, "median_height"))
+    again = materialize(assign_lines(body))
+    metrics = materialize(page_metrics(again))
+    banded = materialize(bands(lines(again), metrics))
+    cells = materialize(split_cells(again, metrics))
+    found = materialize(grids.band_cells(cells, banded, metrics))
+    good = materialize(grids.flagged(found.where("reason is null").drop("reason")))
+    verdict = materialize(grids.classify(good, metrics.select(*PAGE, "median_height")))
     headers = grids.header_counts(good)
     passed = verdict.where(F.col("is_table") & (F.col("confidence") >= min_confidence)).join(headers, BAND, "left").na.fill(0, ["n_headers"])
     spans = good.select(*BAND, "line").distinct().join(banded, [*BAND, "line"]).groupBy(*BAND).agg(F.min("x").alias("left"), F.min("top").alias("top"), F.max("x1").alias("right"), F.max("bottom").alias("bottom"), F.min("line").alias("first_line"))
     number = F.row_number().over(W.partitionBy(*PAGE).orderBy("band")) - 1
-    tables = passed.join(spans, BAND).withColumn("table_id", F.concat_ws("-", F.col("doc_id").cast("string"), F.concat(F.lit("p"), "page"), F.concat(F.lit("t"), number)))
+    tables = materialize(passed.join(spans, BAND).withColumn("table_id", F.concat_ws("-", F.col("doc_id").cast("string"), F.concat(F.lit("p"), "page"), F.concat(F.lit("t"), number))))
     context = banded.join(tables.select(*BAND, "first_line"), BAND).where("line < first_line").select(*BAND, "center", "text").dropDuplicates()
-    tables = annotate(tables, kept, context, sections(kept, pages))
+    by_page = materialize(sections(kept, pages))
     rows = good.join(tables.select(*BAND, "table_id", "n_headers"), BAND)
     at = F.col("row") - F.col("n_headers")
     low = verdict.where(~F.col("is_table") | (F.col("confidence") < min_confidence)).select(*BAND, "confidence", "reasons")
-    rejected = grid.where("reason is not null").select(*BAND, F.lit(0.0).alias("confidence"), F.array("reason").alias("reasons")).unionByName(low)
+    rejected = found.where("reason is not null").select(*BAND, F.lit(0.0).alias("confidence"), F.array("reason").alias("reasons")).unionByName(low)
     return {
-        "pages": pages.join(sections(kept, pages), PAGE), "tables": tables, "cells": rows.where("row >= n_headers").select("table_id", at.alias("row"), "col", "text"),
+        "pages": pages.join(by_page, PAGE), "tables": annotate(tables, kept, context, by_page), "cells": rows.where("row >= n_headers").select("table_id", at.alias("row"), "col", "text"),
         "headers": rows.where("row < n_headers").select("table_id", "row", "col", "text"), "rejected": rejected, "removed": removed, "meta": doc_meta(kept),
     }
 
 
-def refine_numeric(cells: DataFrame, low: float = 60.0) -> DataFrame:
+# Pages that were read optically. How far such readings are trusted.
+LOW_CONFIDENCE, WARNED_AT_MOST, OPTICAL_AT_MOST = 60.0, 0.85, 0.9
+VERIFY = "extracted by OCR — verify figures against the page image"
+
+
+def refine_numeric(cells: DataFrame, low: float = LOW_CONFIDENCE) -> DataFrame:
     """cells(text, conf, ...) of a page read optically, with warning: texts never change; a doubtful reading is named."""
     fixed = numbers.coerce_numeric_reading(F.col("text"))
     p, q = numbers.parse_number(F.col("text")), numbers.parse_number(fixed)
@@ -132,6 +138,32 @@ def refine_numeric(cells: DataFrame, low: float = 60.0) -> DataFrame:
     return cells.withColumn("warning", F.when(ambiguous, F.concat(F.lit('"'), "text", F.lit('" may read '), fixed)).when(p["is_numeric"] & (F.col("conf") < low), F.concat(F.lit('low confidence figure "'), "text", F.lit('"'))))
 
 
+def page_confidence(words: DataFrame, low: float = LOW_CONFIDENCE) -> DataFrame:
+    """doc_id, page, mean_confidence, warning: pages whose words were read with less than low on average are named."""
+    mean = words.groupBy(*PAGE).agg(F.avg("conf").alias("mean_confidence"))
+    said = F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(": mean OCR confidence "), F.floor(F.col("mean_confidence") + 0.5).cast("string"), F.lit("% — treat figures as provisional"))
+    return mean.withColumn("warning", F.when(F.col("mean_confidence") < low, said))
+
+
+def extract_optical(words: DataFrame, pages: DataFrame | None = None, low: float = LOW_CONFIDENCE, origin: str = "pdf-ocr", minimum: int = 1) -> dict[str, DataFrame]:
+    """extract_tables of words that were read optically, on pages(doc_id, page) only if given. Tables get the origin, warnings on doubtful figures and pages, and confidence of OPTICAL_AT_MOST, WARNED_AT_MOST where anything is doubtful."""
+    read = words if pages is None else words.join(pages.select(*PAGE).distinct(), PAGE, "left_semi")
+    confidence = materialize(page_confidence(read, low))
+    found = extract_tables(read, minimum)
+    per_cell = found["cells"].join(found["tables"].select("table_id", *PAGE), "table_id")
+    # A cell's confidence is that of its least certain word on the page.
+    by_word = read.select(*PAGE, trim_ws(F.col("text")).alias("word"), "conf").groupBy(*PAGE, "word").agg(F.min("conf").alias("conf"))
+    parts = per_cell.select("table_id", *PAGE, "row", "col", "text", F.explode(F.split("text", r"\s+")).alias("word")).join(by_word, [*PAGE, "word"], "left").groupBy("table_id", "row", "col", "text").agg(F.min("conf").alias("conf"))
+    doubts = refine_numeric(parts, low).where("warning is not null").groupBy("table_id").agg(F.array_sort(F.collect_set("warning")).alias("_doubts"))
+    none = F.array().cast("array<string>")
+    tables = found["tables"].join(doubts, "table_id", "left")
+    warnings = F.concat("warnings", F.coalesce("_doubts", none))
+    capped = F.least(F.when(F.size(warnings) > 0, F.least("confidence", F.lit(WARNED_AT_MOST))).otherwise(F.col("confidence")), F.lit(OPTICAL_AT_MOST))
+    tables = tables.withColumns({"confidence": capped, "warnings": F.concat(warnings, F.array(F.lit(VERIFY))), "origin": F.lit(origin)}).drop("_doubts")
+    told = found["pages"].join(confidence, PAGE, "left").withColumn("ocr_applied", F.lit(True))
+    return found | {"tables": tables, "pages": told}
+
+
 def merge_ocr(pages: DataFrame, ocr: DataFrame) -> DataFrame:
     """Pages of the text layer, each that needs it replaced by what optical reading gave for it."""
     wanted = pages.where("needs_ocr").select(*PAGE)

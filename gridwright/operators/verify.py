@@ -9,12 +9,14 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridwright.functions import numbers, text
-from gridwright.functions.core import text_of, trim_ws
+from gridwright.functions.core import let, text_of, trim_ws
+from gridwright.storage import spread
 
 from .headers import index_of, resolve
 from .result import ROW, OpResult, columns_of
@@ -40,18 +42,26 @@ def sum_cells(df: DataFrame, value: str, *keys: str) -> DataFrame:
 
 
 def foot(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """keys, count, sum, skipped (index, raw): here a nil is skipped like any text. index is the row's own."""
+    """keys, count, sum, n_skipped: here a nil is skipped like any text. What was skipped is foot_skipped's."""
+    p = _footed(df, value, *keys)
+    return p.groupBy(*keys).agg(F.count("v").alias("count"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("sum"), F.count_if(F.col("v").isNull()).alias("n_skipped"))
+
+
+def foot_skipped(df: DataFrame, value: str, *keys: str) -> DataFrame:
+    """keys, index (the row's own), raw: filled cells that are no figures."""
+    return _footed(df, value, *keys).where("v is null").select(*keys, F.col(ROW).alias("index"), "raw")
+
+
+def _footed(df: DataFrame, value: str, *keys: str) -> DataFrame:
     raw = trim_ws(text_of(F.col(value)))
-    p = df.select(*keys, F.col(ROW), raw.alias("raw"), numbers.parse_number(raw)["value"].alias("v")).where("raw != ''")
-    skipped = F.array_sort(F.collect_list(F.when(F.col("v").isNull(), F.struct(F.col(ROW).alias("index"), "raw"))))
-    return p.groupBy(*keys).agg(F.count("v").alias("count"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("sum"), skipped.alias("skipped"))
+    return df.select(*keys, F.col(ROW), raw.alias("raw"), numbers.parse_number(raw)["value"].alias("v")).where("raw != ''")
 
 
 def foot_lines(lines: DataFrame, expected: str | None = None, tolerance: float = 0.0) -> DataFrame:
     """lines(_row, value) -> metric, value: six rows."""
     want = numbers.parse_number(F.lit(expected))["value"]
     shown = lambda v: F.coalesce(numbers.number_text(v, 15), F.lit(""))
-    one = foot(lines, "value").select("count", F.size("skipped").alias("n_skipped"), "sum", want.alias("expected")).withColumn("c", compare_totals(F.col("sum"), F.col("expected"), tolerance))
+    one = foot(lines, "value").select("count", "n_skipped", "sum", want.alias("expected")).withColumn("c", compare_totals(F.col("sum"), F.col("expected"), tolerance))
     rows = [
         ("values counted", F.col("count").cast("string")), ("values skipped (not numeric)", F.col("n_skipped").cast("string")), ("computed sum", shown(F.col("sum"))),
         ("expected total", shown(F.col("expected"))), ("difference", shown(F.col("c.difference"))), ("status", F.col("c.status")),
@@ -85,12 +95,21 @@ def foot_grid(df: DataFrame, columns: str | None = None, expected: str | None =
     return agg.select("i", "column", F.col("n").alias("values_counted"), "sum", "want", c.alias("c"), source.alias("expected_source")).select("column", "values_counted", F.col("sum").alias("computed_sum"), F.col("want").alias("expected"), "c.difference", "c.status", "expected_source")
 
 
+def figures(cells: DataFrame) -> DataFrame:
+    """table_id, row, col, v, is_figure, is_big of filled cells beyond the label column. Figures are parsed here, once, by one scan."""
+    p = cells.where("col >= 1").select("table_id", "row", "col", trim_ws(text_of(F.col("text"))).alias("t")).where("t != ''").withColumn("p", numbers.parse_number(F.col("t")))
+    big = F.col("p.is_numeric") & ((F.abs("p.value") >= 1000) | F.col("t").contains("."))
+    return p.select("table_id", "row", "col", F.col("p.value").alias("v"), (F.col("p.is_numeric") | F.col("p.is_nil")).alias("is_figure"), big.alias("is_big"))
+
+
 def numeric_columns(cells: DataFrame) -> DataFrame:
     """table_id, col: beyond the label column, two filled cells or more, half of them figures, and one magnitude: 1000 or more, or with a point."""
-    p = cells.where("col >= 1").select("table_id", "col", trim_ws(text_of(F.col("text"))).alias("t")).where("t != ''").withColumn("p", numbers.parse_number(F.col("t")))
-    figure = F.col("p.is_numeric") | F.col("p.is_nil")
-    big = F.col("p.is_numeric") & ((F.abs("p.value") >= 1000) | F.col("t").contains("."))
-    return p.groupBy("table_id", "col").agg(F.count(F.lit(1)).alias("n"), F.count_if(figure).alias("f"), F.count_if(big).alias("m")).where("n >= 2 and f * 2 >= n and m >= 1").select("table_id", "col")
+    return _numeric(figures(cells))
+
+
+def _numeric(parsed: DataFrame) -> DataFrame:
+    figure, big = F.col("is_figure"), F.col("is_big")
+    return parsed.groupBy("table_id", "col").agg(F.count(F.lit(1)).alias("n"), F.count_if(figure).alias("f"), F.count_if(big).alias("m")).where("n >= 2 and f * 2 >= n and m >= 1").select("table_id", "col")
 
 
 def _labelled(cells: DataFrame, kind: str) -> DataFrame:
@@ -103,9 +122,15 @@ def check_totals(cells: DataFrame, labels: DataFrame) -> DataFrame:
     upto = W.partitionBy("table_id").orderBy("row").rowsBetween(W.unboundedPreceding, -1)
     groups = _labelled(cells, text.TOTAL_IN_TABLE).withColumn("grp", F.coalesce(F.sum(F.col("is_total").cast("int")).over(upto), F.lit(0)))
     totals = groups.where("is_total")
-    figures = cells.where("col >= 1").join(numeric_columns(cells), ["table_id", "col"], "left_semi").join(groups, ["table_id", "row"]).select("table_id", "row", "col", "grp", "is_total", numbers.parse_number(F.col("text"))["value"].alias("v"))
+    # Sums and what decides whether a column is numeric come from one pass: counts over the column are added up from those over its groups.
+    parsed = figures(cells).join(groups, ["table_id", "row"])
     total = numbers.significant(F.coalesce(F.sum(F.when(~F.col("is_total"), F.col("v"))), F.lit(0.0)), 12)
-    by = figures.groupBy("table_id", "grp", "col").agg(total.alias("sum"), F.count(F.when(~F.col("is_total"), F.col("v"))).alias("n"), F.max(F.when(F.col("is_total"), F.col("v"))).alias("printed"))
+    by = parsed.groupBy("table_id", "col", "grp").agg(
+        total.alias("sum"), F.count(F.when(~F.col("is_total"), F.col("v"))).alias("n"), F.max(F.when(F.col("is_total"), F.col("v"))).alias("printed"),
+        F.count(F.lit(1)).alias("_n"), F.count_if("is_figure").alias("_f"), F.count_if("is_big").alias("_m"),
+    )
+    column = W.partitionBy("table_id", "col")
+    by = by.withColumns({c: F.sum(c).over(column) for c in ("_n", "_f", "_m")}).where("_n >= 2 and _f * 2 >= _n and _m >= 1")
     said = by.where("printed is not null and n >= 2").join(labels, ["table_id", "col"], "left").withColumn("diff", numbers.significant(F.col("sum") - F.col("printed"), 12))
     label, show = F.coalesce("label", F.concat(F.lit("column_"), F.col("col"))), lambda c: numbers.number_text(F.col(c), 15)
     part = F.when(F.abs("diff") < 0.005, F.concat(label, F.lit(": ok"))).otherwise(F.concat(label, F.lit(": calc "), show("sum"), F.lit(" vs printed "), show("printed"), F.lit(" (diff "), show("diff"), F.lit(")")))
@@ -154,26 +179,23 @@ class Rule:
     enum: list[str] | None = None
 
 
+_TOKENS = re.compile(r"\\.?|[][(){},]|[^][\\(){},]+", re.S)
+_OPENS = {"]": "[", ")": "(", "}": "{"}
+
+
 def split_options(options: str) -> list[str]:
-    """Split at commas outside any brackets of a pattern; a backslash takes the next character with it."""
-    out, part, depth, inside, skip = [], "", {"{": 0, "(": 0}, 0, False
-    closes = {"}": "{", ")": "("}
-    for ch in options:
-        if skip or ch == "\\":
-            part, skip = part + ch, not skip
-            continue
-        if ch in "[]":
-            inside = inside + 1 if ch == "[" else max(0, inside - 1)
-        elif not inside and ch in depth:
-            depth[ch] += 1
-        elif not inside and ch in closes:
-            depth[closes[ch]] = max(0, depth[closes[ch]] - 1)
-        if ch == "," and not inside and not any(depth.values()):
-            out.append(part)
-            part = ""
+    """Split at commas outside any brackets of a pattern. Tokens are escaped characters, brackets, commas, and what lies between; within a character class other brackets are plain."""
+    depth = dict.fromkeys(_OPENS.values(), 0)
+    parts = [""]
+    for token in _TOKENS.findall(options):
+        bracket = _OPENS.get(token, token)
+        if bracket in depth and (bracket == "[" or not depth["["]):
+            depth[bracket] = max(0, depth[bracket] + (1 if token == bracket else -1))
+        if token == "," and not any(depth.values()):
+            parts.append("")
         else:
-            part += ch
-    return [x for x in (*out, part) if x.strip()]
+            parts[-1] += token
+    return [p for p in parts if p.strip()]
 
 
 def parse_rules(spec: str) -> tuple[list[Rule], list[str]]:
@@ -212,75 +234,122 @@ def _plain(x: float) -> str:
     return str(int(x)) if x == int(x) else str(x)
 
 
-def schema_check(df: DataFrame, rules: list[Rule]) -> OpResult:
-    """data: issues (row, column, message, value), row 1 being the header. A blank cell can only lack; text in a numeric rule ends that cell's checks. Audits: bad_rows, passing, stats; missing and extra columns are warnings."""
+_ISSUE = "struct<column:string,message:string,value:string>"
+
+
+def valid_pattern(spark, pattern: str) -> bool:
+    """Whether the engine that will match the pattern can read it."""
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+        return True
+    except AttributeError:  # Connect has no JVM at hand
+        try:
+            re.compile(pattern)
+            return True
+        except re.error:
+            return False
+    except Py4JJavaError:
+        return False
+
+
+def schema_check(df: DataFrame, rules: list[Rule], ordered: bool = False) -> OpResult:
+    """data: issues (row, column, message, value), row 1 being the header; ordered: by row and column. A blank cell can only lack; text in a numeric rule ends that cell's checks. Audits: bad_rows, passing, annotated, stats; missing and extra columns are warnings.
+
+    All rules are checked in one scan. A unique rule joins the first rows of values that repeat, which are found by partial aggregates, so a value that most rows share is no one task's business."""
     names = columns_of(df)
-    issues, warnings, bound = [], [], set()
+    spark = df.sparkSession
+    warnings, bound, invalid, checks = [], [], [], []
+    row = (F.col(ROW) + 2).cast("long")
+    base = df
     for rule in rules:
         i = index_of(names, rule.column)
         if i < 0:
             warnings.append(f"missing column {rule.column}")
             continue
-        bound.add(names[i])
-        regex = rule.pattern
-        if regex:
-            try:
-                re.compile(regex)
-            except re.error:
-                warnings.append(f'pattern "{regex}" is not a valid regular expression')
-                issues.append(df.sparkSession.range(1).select(F.lit(0).cast("long").alias("row"), F.lit(rule.column).alias("column"), F.lit(f'pattern "{regex}" is not a valid regular expression').alias("message"), F.lit("").alias("value")))
-                regex = None
-        issues.append(_rule_issues(df, names[i], rule, regex))
-    spark = df.sparkSession
-    found = issues[0] if issues else spark.createDataFrame([], "row long, column string, message string, value string")
-    for more in issues[1:]:
-        found = found.unionByName(more)
+        if names[i] not in bound:
+            bound.append(names[i])
+        pattern = rule.pattern
+        if pattern and not valid_pattern(spark, pattern):
+            warnings.append(f'pattern "{pattern}" is not a valid regular expression')
+            invalid.append((0, rule.column, f'pattern "{pattern}" is not a valid regular expression', ""))
+            pattern = None
+        first = None
+        if rule.unique:
+            first, base = f"__first{len(checks)}", _with_first_rows(base, names[i], rule, row, f"__first{len(checks)}")
+        checks.append(_rule_issues(names[i], rule, pattern, first))
+    found = spark.createDataFrame([], "row long, column string, message string, value string")
+    if checks:
+        # explode_outer, as explode would have the checks computed once more by an inferred filter.
+        found = base.select(row.alias("row"), F.explode_outer(F.flatten(F.array(*checks))).alias("x")).where("x is not null").select("row", "x.*")
+    if invalid:
+        found = found.unionByName(spark.createDataFrame(invalid, "row long, column string, message string, value string"))
     warnings += [f"extra column {c}" for c in names if c not in bound]
     bad = found.where("row > 0").select("row").distinct()
-    stats = df.agg(F.count(F.lit(1)).alias("rows_checked")).crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("issue_count"), F.countDistinct(F.when(F.col("row") > 0, F.col("row"))).alias("rows_with_issues")))).withColumn("rules_applied", F.lit(len(bound)))
+    counts = found.groupBy("row").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("issue_count"), F.count_if(F.col("row") > 0).alias("rows_with_issues"))
+    # Two single rows.
+    stats = df.agg(F.count(F.lit(1)).alias("rows_checked")).crossJoin(F.broadcast(counts)).withColumn("rules_applied", F.lit(len(bound)))
     passing = df.join(bad, F.col(ROW) + 2 == F.col("row"), "left_anti")
     noted = found.where("row > 0").groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("column", "message"))), lambda x: F.concat_ws(": ", x["column"], x["message"])), "; ").alias("issues"))
     annotated = df.join(noted, F.col(ROW) + 2 == F.col("row"), "left").drop("row").withColumn("issues", F.coalesce("issues", F.lit("")))
-    return OpResult(found, {"bad_rows": bad, "passing": passing, "annotated": annotated, "stats": stats}, warnings)
+    return OpResult(found.orderBy("row", "column") if ordered else found, {"bad_rows": bad, "passing": passing, "annotated": annotated, "stats": stats}, warnings)
 
 
-def _rule_issues(df: DataFrame, column: str, rule: Rule, regex: str | None) -> DataFrame:
-    raw, value, p = F.col("raw"), F.col("value"), F.col("p")
-    row = F.col(ROW) + 2
-    base = df.select(ROW, text_of(F.col(column)).alias("raw"), trim_ws(text_of(F.col(column))).alias("value"))
-    numeric = rule.type in ("number", "integer")
-    if numeric:
-        base = base.withColumn("p", numbers.parse_number(F.col("raw"))["value"])
+def _cell(column: str, rule: Rule) -> tuple[Column, Column, Column]:
+    """A cell as it is, without blanks around it, and whether a rule's checks go beyond its type."""
+    raw = text_of(F.col(f"`{column}`"))
+    value = trim_ws(raw)
     filled = value != ""
-    checked = filled & p.isNotNull() if numeric else filled
-    tests: list[tuple[Column, Column | str]] = []
-    if numeric:
-        tests.append((filled & p.isNull(), f"expected a {rule.type}, got text"))
-        if rule.type == "integer":
-            tests.append((checked & (p != F.floor(p)), "expected a whole number"))
-        if rule.min is not None:
-            tests.append((checked & (p < rule.min), f"below min={_plain(rule.min)}"))
-        if rule.max is not None:
-            tests.append((checked & (p > rule.max), f"above max={_plain(rule.max)}"))
-    if rule.type == "date":
-        tests.append((filled & ~text.looks_like_date(value), "not a recognisable date"))
-    if rule.type == "boolean":
-        tests.append((filled & ~value.rlike("(?i)^(true|false|yes|no|y|n|0|1)$"), "not a boolean"))
-    if rule.enum:
-        tests.append((checked & ~F.lower(value).isin(*[e.lower() for e in rule.enum]), f"not one of: {', '.join(rule.enum)}"))
-    if regex:
-        tests.append((checked & ~value.rlike(regex), f"does not match {rule.pattern}"))
-    if rule.maxlen is not None:
-        tests.append((checked & (F.length(value) > rule.maxlen), F.concat(F.lit(f"longer than maxlen={rule.maxlen} ("), F.length(value), F.lit(" chars)"))))
-    if rule.unique:
-        base = base.withColumn("_first", F.min(F.when(checked, row)).over(W.partitionBy(F.when(checked, F.lower(value)).otherwise(F.concat(F.lit("\u0000"), F.col(ROW).cast("string"))))))
-        tests.append((checked & (row > F.col("_first")), F.concat(F.lit("duplicate value, first seen at row "), F.col("_first"))))
-    made = [F.when(t, F.struct((F.lit(m) if isinstance(m, str) else m).alias("message"), raw.alias("value"))) for t, m in tests]
-    if rule.required:
-        made.append(F.when(~filled, F.struct(F.lit("required value is empty").alias("message"), F.lit("").alias("value"))))
-    if not made:
-        return df.sparkSession.createDataFrame([], "row long, column string, message string, value string")
-    return base.select(row.cast("long").alias("row"), F.explode_outer(F.array(*made)).alias("x")).where("x is not null").select("row", F.lit(rule.column).alias("column"), "x.message", "x.value")
+    return raw, value, filled & numbers.parse_number(raw)["value"].isNotNull() if rule.type in ("number", "integer") else filled
+
+
+def _with_first_rows(df: DataFrame, column: str, rule: Rule, row: Column, name: str) -> DataFrame:
+    """df with the first row that holds a cell's value, null where the value is in one row only."""
+    _, value, checked = _cell(column, rule)
+    v = F.lower(value)
+    key = lambda a, b: [F.when(checked, F.xxhash64(v)).alias(a), F.when(checked, F.xxhash64(F.lit(1), v)).alias(b)]
+    firsts = df.select(*key("__a", "__b"), row.alias("__row")).where("__a is not null").groupBy("__a", "__b").agg(F.min("__row").alias(name), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    c, d = key("__c", "__d")
+    return df.withColumns({"__c": c, "__d": d}).join(spread(firsts), F.expr("__c = __a and __d = __b"), "left").drop("__a", "__b", "__c", "__d")
+
+
+def _rule_issues(column: str, rule: Rule, pattern: str | None, first: str | None) -> Column:
+    """What a rule finds in its column: an array of structs, null where there is nothing to say."""
+    raw, value, _ = _cell(column, rule)
+    numeric = rule.type in ("number", "integer")
+
+    def of(cell: Column) -> Column:
+        raw, value, p = cell["raw"], cell["value"], cell["p"]
+        filled = value != ""
+        checked = filled & p.isNotNull() if numeric else filled
+        tests: list[tuple[Column, Column | str]] = []
+        if numeric:
+            tests.append((filled & p.isNull(), f"expected a {rule.type}, got text"))
+            if rule.type == "integer":
+                tests.append((checked & (p != F.floor(p)), "expected a whole number"))
+            if rule.min is not None:
+                tests.append((checked & (p < rule.min), f"below min={_plain(rule.min)}"))
+            if rule.max is not None:
+                tests.append((checked & (p > rule.max), f"above max={_plain(rule.max)}"))
+        if rule.type == "date":
+            tests.append((filled & ~text.looks_like_date(value), "not a recognisable date"))
+        if rule.type == "boolean":
+            tests.append((filled & ~value.rlike("(?i)^(true|false|yes|no|y|n|0|1)$"), "not a boolean"))
+        if rule.enum:
+            tests.append((checked & ~F.lower(value).isin(*[e.lower() for e in rule.enum]), f"not one of: {', '.join(rule.enum)}"))
+        if pattern:
+            tests.append((checked & ~value.rlike(pattern), f"does not match {rule.pattern}"))
+        if rule.maxlen is not None:
+            tests.append((checked & (F.length(value) > rule.maxlen), F.concat(F.lit(f"longer than maxlen={rule.maxlen} ("), F.length(value), F.lit(" chars)"))))
+        if first:
+            here = (F.col(ROW) + 2).cast("long")
+            tests.append((checked & (here > F.col(first)), F.concat(F.lit("duplicate value, first seen at row "), F.col(first))))
+        if rule.required:
+            tests.append((~filled, "required value is empty"))
+        said = lambda message: F.struct(F.lit(rule.column).alias("column"), (F.lit(message) if isinstance(message, str) else message).alias("message"), F.when(filled, raw).otherwise("").alias("value"))
+        return F.array(*[F.when(test, said(message)) for test, message in tests]).cast(f"array<{_ISSUE}>")
+
+    parsed = numbers.parse_number(raw)["value"] if numeric else F.lit(None).cast("double")
+    return let(F.struct(raw.alias("raw"), value.alias("value"), parsed.alias("p")), of)
 
 
 def validate_tables(cells: DataFrame, tables: DataFrame) -> DataFrame:

@@ -38,20 +38,14 @@ def parse_number(spark, d):
     return o.select("k", *[f"p.{c}" for c in ("value", "is_numeric", "is_negative", "is_percent", "had_parens", "is_nil", "currency", "footnote")])
 
 
-@query("clean_value", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 8 IN (1, 2) THEN '-' ELSE '' END || CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) AS clean FROM orders WHERE o_orderkey % 8 < 5")
-def clean_value(spark, d):
-    return orders_text(spark, d).where("way < 5").select("k", numbers.clean_value(F.col("raw")).alias("clean"))
-
-
 @query(
-    "clean_value_all",
+    "clean_value",
     """
 WITH o AS (SELECT o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS c, o_orderkey % 8 AS w FROM orders)
 SELECT k, CASE WHEN w IN (1, 2) THEN '-' || c WHEN w = 5 THEN CASE WHEN c % 100 = 0 THEN CAST(c // 100 AS VARCHAR) ELSE rtrim(c // 100 || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0'), '0') END
   WHEN w = 6 THEN '' WHEN w = 7 THEN c || '.5' ELSE CAST(c AS VARCHAR) END AS clean FROM o""",
 )
-def clean_value_all(spark, d):
-    """clean_value over all eight ways of printing."""
+def clean_value(spark, d):
     return orders_text(spark, d).select("k", numbers.clean_value(F.col("raw")).alias("clean"))
 
 
@@ -90,23 +84,12 @@ def unit_scale(spark, d):
 @query(
     "format_bytes",
     """
-WITH b AS (SELECT o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS n FROM orders)
-SELECT k, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN CASE WHEN n < 10240 THEN format('{:.1f}', n / 1024) ELSE CAST(CAST(floor(n / 1024 + 0.5) AS BIGINT) AS VARCHAR) END || ' KB'
-  ELSE CASE WHEN n < 10485760 THEN format('{:.1f}', n / 1048576) ELSE CAST(CAST(floor(n / 1048576 + 0.5) AS BIGINT) AS VARCHAR) END || ' MB' END AS size FROM b WHERE n % 512 <> 0""",
-)
-def format_bytes(spark, d):
-    return table(spark, d, "orders").where(f"{CENTS} % 512 != 0").select(F.col("o_orderkey").alias("k"), numbers.format_bytes(F.expr(CENTS)).alias("size"))
-
-
-@query(
-    "format_bytes_all",
-    """
 WITH b AS (SELECT o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS n FROM orders), u AS (SELECT k, n, CASE WHEN n < 1048576 THEN 1024 ELSE 1048576 END AS u FROM b),
 t AS (SELECT k, n, u, (n * 20 + u) // (u * 2) AS tenths FROM u)
 SELECT k, CASE WHEN n < 1024 THEN n || ' B' ELSE CASE WHEN n < u * 10 THEN tenths // 10 || '.' || tenths % 10 ELSE CAST((n * 2 + u) // (u * 2) AS VARCHAR) END || CASE WHEN u = 1024 THEN ' KB' ELSE ' MB' END END AS size FROM t""",
 )
-def format_bytes_all(spark, d):
-    """format_bytes over all amounts; the SQL rounds halves up in whole numbers."""
+def format_bytes(spark, d):
+    """The SQL rounds halves up in whole numbers."""
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), numbers.format_bytes(F.expr(CENTS)).alias("size"))
 
 

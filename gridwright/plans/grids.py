@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridwright.operators import annotate, clean, combine, edits, reshape
@@ -254,41 +255,116 @@ def map_headers_drop(spark, d):
     return annotate.map_headers(customers(spark, d), {"code": "account_code"}, drop_unmapped=True).data
 
 
-@query("suggest_mapping")
+_CANONICAL = ("economy brass", "promo steel plated", "small tin", "standard copper")
+
+
+@query(
+    "suggest_mapping",
+    f"""
+WITH n AS (SELECT unnest(range({len(_CANONICAL)})) AS i, unnest([{", ".join(repr(c) for c in _CANONICAL)}]) AS canonical),
+k AS (SELECT DISTINCT p_type AS header, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) AS a FROM part),
+t AS (SELECT header, canonical, i, a, canonical AS b, list_distinct(string_split(a, ' ')) AS ta, list_distinct(string_split(canonical, ' ')) AS tb FROM k, n),
+s AS (SELECT header, canonical, i, CASE WHEN a = b THEN 1::DOUBLE ELSE least(1::DOUBLE, len(list_intersect(ta, tb)) / (len(ta) + len(tb) - len(list_intersect(ta, tb)))::DOUBLE + CASE WHEN contains(a, b) OR contains(b, a) THEN 0.5 ELSE 0 END) END AS score FROM t)
+SELECT header, canonical, score FROM (SELECT *, row_number() OVER (PARTITION BY header ORDER BY score DESC, i) AS n FROM s) WHERE n = 1 AND score >= 0.45""",
+)
 def suggest_mapping(spark, d):
-    return annotate.suggest_mapping(table(spark, d, "part").select(F.col("p_type").alias("header")).distinct(), ["economy brass", "promo steel plated", "small tin", "standard copper"])
+    return annotate.suggest_mapping(table(spark, d, "part").select(F.col("p_type").alias("header")).distinct(), list(_CANONICAL))
+
 
+# Edits of one table for each nation: its customers by key, name and segment. Row 3 of each is edited.
 
-def nation_cells(spark, d):
-    c = F.explode(F.array(F.struct(F.lit(0).alias("col"), F.col("n_name").alias("text")), F.struct(F.lit(1).alias("col"), F.col("n_regionkey").cast("string").alias("text"))))
-    return table(spark, d, "nation").select(F.lit("n").alias("table_id"), F.col("n_nationkey").alias("row"), c.alias("c")).select("table_id", "row", "c.*")
 
+def customer_cells(spark, d):
+    c = table(spark, d, "customer").withColumn("row", (F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey")) - 1).cast("int"))
+    cells = F.explode(F.array(F.struct(F.lit(0).alias("col"), F.col("c_name").alias("text")), F.struct(F.lit(1).alias("col"), F.col("c_mktsegment").alias("text"))))
+    return c.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("table_id"), "row", cells.alias("c")).select("table_id", "row", "c.*")
 
-_CELLS = "WITH c AS (SELECT n_nationkey AS row, 0 AS col, n_name AS text FROM nation UNION ALL SELECT n_nationkey, 1, CAST(n_regionkey AS VARCHAR) FROM nation) "
 
+_CELLS = """
+WITH n AS (SELECT 'n' || c_nationkey AS table_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS row, c_name, c_mktsegment FROM customer),
+c AS (SELECT table_id, CAST(row AS INTEGER) AS row, 0 AS col, c_name AS text FROM n UNION ALL SELECT table_id, CAST(row AS INTEGER), 1, c_mktsegment FROM n)
+"""
 
-@query("edit_set_cells", _CELLS + "SELECT 'n' AS table_id, row, col, CASE WHEN row = 3 AND col = 1 THEN 'x' ELSE text END AS text FROM c")
+
+def _third(spark, d, *more):
+    """A row for each table: its third row, and what more says."""
+    return customer_cells(spark, d).select("table_id").distinct().select("table_id", F.lit(3).alias("row"), *more)
+
+
+@query("edit_set_cells", _CELLS + "SELECT table_id, row, col, CASE WHEN row = 3 AND col = 1 THEN 'x' ELSE text END AS text FROM c")
 def edit_set_cells(spark, d):
-    return edits.set_cells(nation_cells(spark, d), spark.createDataFrame([("n", 3, 1, "x"), ("n", 99, 0, "y")], "table_id string, row int, col int, text string"))
+    """The second edit lies outside the grid."""
+    edit = _third(spark, d, F.lit(1).alias("col"), F.lit("x").alias("text"))
+    return edits.set_cells(customer_cells(spark, d), edit.unionByName(edit.withColumn("row", F.lit(10**6))))
 
 
-@query("edit_delete_rows", _CELLS + "SELECT 'n' AS table_id, row - (row > 3)::INT AS row, col, text FROM c WHERE row <> 3")
+@query("edit_delete_rows", _CELLS + "SELECT table_id, row - (row > 3)::INT AS row, col, text FROM c WHERE row <> 3")
 def edit_delete_rows(spark, d):
-    return edits.delete_rows(nation_cells(spark, d), spark.createDataFrame([("n", 3)], "table_id string, row int"))
+    return edits.delete_rows(customer_cells(spark, d), _third(spark, d))
 
 
-@query("edit_delete_columns", _CELLS + "SELECT 'n' AS table_id, row, 0 AS col, text FROM c WHERE col = 1")
+@query("edit_delete_columns", _CELLS + "SELECT table_id, row, 0 AS col, text FROM c WHERE col = 1")
 def edit_delete_columns(spark, d):
-    return edits.delete_columns(nation_cells(spark, d), spark.createDataFrame([("n", 0)], "table_id string, col int"))
+    return edits.delete_columns(customer_cells(spark, d), _third(spark, d).select("table_id", F.lit(0).alias("col")))
 
 
-@query("edit_insert_rows", _CELLS + "SELECT 'n' AS table_id, row + (row > 3)::INT AS row, col, text FROM c UNION ALL SELECT 'n', 4, col, '' FROM c WHERE row = 3")
+@query("edit_insert_rows", _CELLS + "SELECT table_id, row + (row > 3)::INT AS row, col, text FROM c UNION ALL SELECT table_id, 4, col, '' FROM c WHERE row = 3")
 def edit_insert_rows(spark, d):
-    return edits.insert_rows_after(nation_cells(spark, d), spark.createDataFrame([("n", 3)], "table_id string, row int"))
+    return edits.insert_rows_after(customer_cells(spark, d), _third(spark, d))
 
 
-@query("edit_promote_row", _CELLS + "SELECT 'n' AS table_id, 0 AS row, col, text, true AS header FROM c WHERE row = 0 UNION ALL SELECT 'n', row - 1, col, text, false FROM c WHERE row > 0")
+@query("edit_promote_row", _CELLS + "SELECT table_id, 0 AS row, col, text, true AS header FROM c WHERE row = 3 UNION ALL SELECT table_id, row - (row > 3)::INT, col, text, false FROM c WHERE row <> 3")
 def edit_promote_row(spark, d):
-    c = nation_cells(spark, d)
-    body, head = edits.promote_rows(c, c.limit(0), spark.createDataFrame([("n", 0)], "table_id string, row int"))
+    c = customer_cells(spark, d)
+    body, head = edits.promote_rows(c, c.limit(0), _third(spark, d))
     return head.withColumn("header", F.lit(True)).unionByName(body.withColumn("header", F.lit(False)))
+
+
+@query("edit_demote_headers", _CELLS + "SELECT table_id, row, col, text FROM c")
+def edit_demote_headers(spark, d):
+    """Rows promoted and put back: the first row of each table as its header, and down again."""
+    c = customer_cells(spark, d)
+    body, head = edits.promote_rows(c, c.limit(0), _third(spark, d).withColumn("row", F.lit(0)))
+    return edits.demote_headers(body, head, c.select("table_id").distinct())[0]
+
+
+def _sessions(spark, d):
+    """(tables, pages): a table and a page for each customer, a document for each nation."""
+    c, key = table(spark, d, "customer"), F.col("c_custkey")
+    doc = F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("doc_id")
+    tables = c.select(F.concat(F.lit("t"), key.cast("string")).alias("table_id"), doc, (key % 3 != 0).alias("selected"), F.col("c_mktsegment").alias("title"), F.when(key % 5 == 0, F.array(F.lit("a"), F.lit("b"))).alias("warnings"))
+    return tables, c.select(doc, key.cast("int").alias("page"), (key % 4 == 0).alias("needs_ocr"), (key % 8 == 0).alias("ocr_applied"))
+
+
+@query(
+    "session_stats",
+    "SELECT (SELECT count(*) FROM nation) AS files, count(DISTINCT c_nationkey) AS docs, count(*) AS tables, count(*) FILTER (c_custkey % 3 <> 0) AS selected, count(*) AS pages, count(*) FILTER (c_custkey % 8 = 0) AS ocr_pages, count(*) FILTER (c_custkey % 8 = 4) AS needs_ocr, 2 * count(*) FILTER (c_custkey % 5 = 0) AS warnings FROM customer",
+)
+def session_stats(spark, d):
+    tables, pages = _sessions(spark, d)
+    return edits.session_stats(table(spark, d, "nation"), pages, tables)
+
+
+@query(
+    "edit_tables",
+    """SELECT 't' || c_custkey AS table_id, CASE WHEN c_nationkey % 2 = 0 THEN false WHEN c_custkey % 7 = 0 THEN true ELSE c_custkey % 3 <> 0 END AS selected, CASE WHEN c_custkey % 11 = 0 THEN 'new' ELSE c_mktsegment END AS title,
+ CASE WHEN c_custkey % 10 = 0 THEN 'a|b|c' WHEN c_custkey % 5 = 0 THEN 'a|b' WHEN c_custkey % 2 = 0 THEN 'b|c' ELSE '' END AS warnings FROM customer""",
+)
+def edit_tables(spark, d):
+    """Titles patched, tables and then whole documents selected or not, warnings added, each once."""
+    tables, _ = _sessions(spark, d)
+    key = F.expr("cast(substring(table_id, 2) as bigint)")
+    tables = edits.set_meta(tables, tables.where(key % 11 == 0).select("table_id", F.lit("new").alias("title")))
+    tables = edits.select_tables(tables, tables.where(key % 7 == 0).select("table_id", F.lit(True).alias("selected")))
+    tables = edits.select_documents(tables, tables.select("doc_id").distinct().where("cast(substring(doc_id, 2) as int) % 2 = 0").select("doc_id", F.lit(False).alias("selected")))
+    told = tables.where(key % 2 == 0).select("table_id", F.explode(F.array(F.lit("c"), F.lit("b"), F.lit("c"))).alias("warning"))
+    return edits.add_warnings(tables, told).select("table_id", "selected", "title", F.array_join("warnings", "|").alias("warnings"))
+
+
+@query("edit_columns", "SELECT 't' || c_custkey AS table_id, i AS col, CASE WHEN i = 1 AND c_custkey % 2 = 0 THEN 'Year' WHEN i = 1 THEN '2011' ELSE 'item' END AS label FROM customer, (SELECT unnest([0, 1]) AS i)")
+def edit_columns(spark, d):
+    """Declared names laid over detected ones; blank names change nothing."""
+    tables, _ = _sessions(spark, d)
+    labels = tables.select("table_id", F.posexplode(F.array(F.lit("item"), F.lit("2011"))).alias("col", "label"))
+    even = tables.where("cast(substring(table_id, 2) as bigint) % 2 = 0").select("table_id", F.posexplode(F.array(F.lit(" "), F.lit("Year"))).alias("col", "name"))
+    return edits.map_columns(labels, even)

@@ -20,3 +20,8 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def re2(pattern: str) -> str:
+    """A pattern as a literal of DuckDB's SQL, whose engine knows no u flag."""
+    return "'" + pattern.replace("(?iu)", "(?i)").replace("\\/", "/").replace("'", "''") + "'"

@@ -10,6 +10,7 @@ import io
 import json
 import re
 import zipfile
+from functools import reduce
 from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,7 @@ from gridwright.functions import text
 from gridwright.functions.core import text_of, trim_ws
 from gridwright.functions.numbers import parse_number
 from gridwright.operators.verify import check_totals
+from gridwright.storage import numbered
 
 MACHINE = ["source_file", "page", "table_id", "table_title", "note_ref", "section", "row_label", "column", "value", "unit"]
 NOTES = ["source_file", "page", "note_ref", "note_title", "table_id", "row_label", "column", "value", "raw", "unit"]
@@ -49,22 +51,22 @@ def _long(tables: DataFrame, cells: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def machine_rows(tables: DataFrame, cells: DataFrame, labels: DataFrame) -> DataFrame:
-    """Tidy rows: one for each filled cell beyond the label; figures plain, nil as ''."""
-    return _long(tables, cells, labels).select("source_file", "page", "table_id", F.col("_title").alias("table_title"), F.col("_note").alias("note_ref"), F.col("_section").alias("section"), F.coalesce("row_label", F.lit("")).alias("row_label"), "column", "value", "unit")
+def machine_rows(tables: DataFrame, cells: DataFrame, labels: DataFrame, keys: bool = False) -> DataFrame:
+    """Tidy rows: one for each filled cell beyond the label; figures plain, nil as ''. keys adds row and col."""
+    return _long(tables, cells, labels).select(*["row", "col"] * keys, "source_file", "page", "table_id", F.col("_title").alias("table_title"), F.col("_note").alias("note_ref"), F.col("_section").alias("section"), F.coalesce("row_label", F.lit("")).alias("row_label"), "column", "value", "unit")
 
 
 def note_order(note_ref: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.regexp_replace(text_of(note_ref), r"[^\d.]", ""), r"^(\d*\.?\d+)", 1).try_cast("double"), F.lit(float(2**53 - 1)))
 
 
-def notes_rows(tables: DataFrame, cells: DataFrame, labels: DataFrame, ordered: bool = True) -> DataFrame:
+def notes_rows(tables: DataFrame, cells: DataFrame, labels: DataFrame, ordered: bool = True, keys: bool = False) -> DataFrame:
     """The same of tables in the notes, with the raw text, by note number."""
     rows = _long(tables.where("section = 'notes'"), cells, labels)
     out = rows.withColumns({"note_ref": F.col("_note"), "note_title": F.col("_title"), "raw": F.col("text")})
-    if ordered:
+    if ordered and not keys:
         out = out.orderBy(note_order(F.col("note_ref")), "page", "table_id", "row", "col")
-    return out.select("source_file", "page", "note_ref", "note_title", "table_id", F.coalesce("row_label", F.lit("")).alias("row_label"), "column", "value", "raw", "unit")
+    return out.select(*["row", "col"] * keys, "source_file", "page", "note_ref", "note_title", "table_id", F.coalesce("row_label", F.lit("")).alias("row_label"), "column", "value", "raw", "unit")
 
 
 def analyst_rows(tables: DataFrame, cells: DataFrame, labels: DataFrame) -> DataFrame:
@@ -98,10 +100,51 @@ def manifest_totals(manifest: DataFrame) -> DataFrame:
 
 
 def unique_entry_names(entries: DataFrame, order: str) -> DataFrame:
-    """entries with entry: a name that repeats, case aside, gets _2, _3 before its extension."""
-    n = F.row_number().over(W.partitionBy(F.lower("name")).orderBy(order))
+    """entries with entry: a name that repeats, case aside, gets _2, _3 before its extension. One name may be all entries'."""
+    n = F.col("__nth")
     again = F.concat(F.regexp_replace("name", r"(\.[^.]*)?$", ""), F.lit("_"), n.cast("string"), F.regexp_extract("name", r"(\.[^.]*)$", 1))
-    return entries.withColumn("entry", F.when(n == 1, F.col("name")).otherwise(again))
+    return numbered(entries.withColumn("__low", F.lower("name")), "__low", order, "__nth").withColumn("entry", F.when(n == 1, F.col("name")).otherwise(again)).drop("__low", "__nth")
+
+
+# Bundles: all files of an export as lines, however many tables there are
+
+
+def bundle_lines(tables: DataFrame, cells: DataFrame, labels: DataFrame, index: bool = True) -> DataFrame:
+    """file, at, line: the CSV files of an export, for each source file its tidy rows ({base}_data.csv), its tables as printed ({base}_p{page}_t{n}_review.csv), its notes, if it has any, and its index. Tables that are not selected stay out; lines are in order of at, which begins with 0 for a header."""
+    if "selected" in tables.columns:
+        tables = tables.where(F.coalesce("selected", F.lit(True)))
+    base = text.filename_base(F.col("source_file"))
+    named = lambda suffix: F.concat(base, F.lit(suffix)).alias("file")
+    place = lambda *parts: F.struct(*[p.alias(f"p{i}") for i, p in enumerate([*parts, *[F.lit("")] * (4 - len(parts))])])
+    row = lambda df, file, at, columns: df.select(file, at.alias("at"), csv_line(columns).alias("line"))
+    digits = lambda c: F.lpad(F.coalesce(F.col(c), F.lit(0)).cast("string"), 12, "0")
+    first = place(F.lit("0"))
+    after = lambda *parts: place(F.lit("1"), *parts)
+    sources = tables.select("source_file").distinct()
+
+    def tidy(part: DataFrame, suffix: str, names: list[str], of) -> DataFrame:
+        """Rows by table, row and column, under a header for each source that has any table of the kind."""
+        rows = of(part, cells, labels, keys=True)
+        head = row(part.select("source_file").distinct(), named(suffix), first, [F.lit(n) for n in names])
+        return head.unionByName(row(rows, named(suffix), after(F.concat(*([F.lpad(F.format_string("%.4f", note_order(F.col("note_ref"))), 24, "0"), digits("page")] if suffix == "_notes.csv" else [F.lit("")])), F.col("table_id"), F.concat(digits("row"), digits("col"))), [F.col(n) for n in names]))
+
+    data = tidy(tables, "_data.csv", MACHINE, machine_rows)
+    notes = tidy(tables.where("section = 'notes'"), "_notes.csv", NOTES, notes_rows)
+    names = review_names(tables).withColumnRenamed("review_file", "file")
+    header = labels.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "label"))), lambda x: x["label"]).alias("labels"))
+    quoted = lambda values: F.array_join(F.transform(values, lambda c: F.concat(F.lit('"'), F.replace(text_of(c), F.lit('"'), F.lit('""')), F.lit('"'))), ",")
+    top = names.join(header, "table_id").select("file", first.alias("at"), quoted(F.concat(F.array(F.lit("source_file"), F.lit("page")), "labels", F.array(F.lit("check_total")))).alias("line"))
+    review = analyst_rows(tables, cells, labels).join(names, "table_id").select("file", after(digits("row")).alias("at"), quoted(F.concat(F.array("source_file", F.col("page").cast("string")), "cells", F.array("check_total"))).alias("line"))
+    out = [data, notes, top, review]
+    if index:
+        listed = index_rows(tables)
+        out += [row(sources, named("_index.csv"), first, [F.lit(n) for n in INDEX]), row(listed, named("_index.csv"), after(digits("page"), F.col("table_id")), [F.col(n) for n in INDEX])]
+    return reduce(DataFrame.unionByName, out)
+
+
+def write_bundle(lines: DataFrame, folder: str, mode: str = "errorifexists") -> None:
+    """bundle_lines as text, a folder for each file; its parts follow each other in order."""
+    lines.repartitionByRange(F.col("file"), F.col("at")).sortWithinPartitions("file", "at").select("file", "line").write.mode(mode).partitionBy("file").option("lineSep", "\r\n").text(folder)
 
 
 # Files made on the driver: bundles are deliverables of bounded size, not datasets.

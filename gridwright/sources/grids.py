@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from gridwright.functions.core import text_of, trim_ws
 from gridwright.operators.headers import unique_headers
 from gridwright.operators.result import ROW
+from gridwright.storage import materialize
 
 
 def with_rows(df: DataFrame) -> DataFrame:
-    """df with _row, contiguous from 0 in its order: rows are counted for each partition, and each partition starts where those before it end. No sort and no exchange; the counts are one row for each partition."""
-    marked = df.withColumn("_id", F.monotonically_increasing_id())
+    """df with _row, contiguous from 0 in its order: rows are counted for each partition, and each partition starts where those before it end. No sort and no exchange; the counts are one row for each partition. df is written to the shared folder with its partitions' numbers, as a second evaluation might deal its rows otherwise."""
+    marked = materialize(df.withColumn("_id", F.monotonically_increasing_id()))
     counts = marked.groupBy(F.shiftright("_id", 33).alias("_p")).agg(F.count(F.lit(1)).alias("n")).orderBy("_p").collect()
     starts, total = [], 0
     for r in counts:
@@ -26,9 +27,9 @@ def with_rows(df: DataFrame) -> DataFrame:
     return marked.withColumn("_p", F.shiftright("_id", 33)).join(F.broadcast(table), "_p").select((F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).alias(ROW), *df.columns)
 
 
-def read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Every cell a string and never null, blank rows left out, headers unique. Quotes are doubled inside quotes and cells may hold line ends."""
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False, enforceSchema=False, **options)
+def read_csv(spark: SparkSession, path: str, multiline: bool = True, **options) -> DataFrame:
+    """Every cell a string and never null, blank rows left out, headers unique. Quotes are doubled inside quotes. With multiline cells may hold line ends, and a file is read by one task; without it large files are split."""
+    raw = spark.read.csv(path, header=True, multiLine=multiline, quote='"', escape='"', inferSchema=False, enforceSchema=False, **options)
     names = unique_headers(raw.columns)
     df = raw.toDF(*names)
     filled = F.exists(F.array(*[text_of(F.col(f"`{c}`")) for c in names]), lambda x: trim_ws(x) != "")

@@ -43,3 +43,35 @@ def greyscale(rgb):
 
 def working_width(width: int) -> int:
     return min(max(width, 1600), 4000)
+
+
+# Where images stand on a page
+
+
+MIN_REGION = 20
+PAINT = ("paintImageXObject", "paintJpegXObject", "paintInlineImageXObject", "paintImageMaskXObject")
+
+
+def image_regions(operators: DataFrame) -> DataFrame:
+    """operators(doc_id, page, at, op, args array<double>, page_height), the drawing operators of pages in order (save, restore, transform, and those that paint images), to doc_id, page, region, x, y, w, h of images of some size, from the top. Transforms multiply up along the operators, so a page is a group."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        now, kept, out = np.eye(3), [], []
+        for op, args, height in zip(p.op, p.args, p.page_height, strict=True):
+            if op == "save":
+                kept.append(now)
+            elif op == "restore":
+                now = kept.pop() if kept else np.eye(3)
+            elif op == "transform":
+                a, b, c, d, e, f = args
+                now = now @ np.array([[a, c, e], [b, d, f], [0, 0, 1]])
+            elif op in PAINT:
+                w, h = abs(now[0, 0]) or abs(now[1, 0]), abs(now[1, 1]) or abs(now[0, 1])
+                if w > MIN_REGION and h > MIN_REGION:
+                    out.append((p.doc_id.iloc[0], p.page.iloc[0], len(out), now[0, 2], height - now[1, 2] - h, w, h))
+        return pd.DataFrame(out, columns=["doc_id", "page", "region", "x", "y", "w", "h"])
+
+    kind = dict(operators.dtypes)["doc_id"]
+    return operators.groupBy("doc_id", "page").applyInPandas(lambda p: run(p.sort_values("at", kind="stable")), f"doc_id {kind}, page int, region int, x double, y double, w double, h double")

@@ -55,18 +55,67 @@ def pick_all(name: str, mime: str = "") -> list[Extractor]:
     return [e for e in extractors() if _takes(e, name, mime)]
 
 
-def extract(name: str, mime: str = "", **options):
-    e = pick(name, mime)
-    if e is None or e.read is None:
-        raise ValueError(f"no extractor takes {name}")
-    return e.read(name, **options)
+def extract(spark, path: str, mime: str = "", **options):
+    """What the file's, or folder's, reader makes of it: for all kinds tables, headers and cells in long form. A path that no reader takes is an error, not an empty result."""
+    e = pick(path, mime)
+    if e is None:
+        raise ValueError(f"no extractor takes {path}")
+    if e.read is None:
+        raise ValueError(f"{e.id} has no reader: give one that tells words and where they stand (sources.optical)")
+    return e.read(spark, path, **options)
+
+
+def use_reader(id: str, read: Callable) -> None:
+    """Gives a registered extractor its reader, as for pdf-text and image, whose words come from outside."""
+    e = _found[id]
+    _found[id] = Extractor(e.id, e.extensions, e.mimes, e.priority, read)
+
+
+def _html(spark, path: str):
+    from .html import document_tables
+
+    pages = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.decode("content", F.lit("UTF-8")).alias("html"))
+    return document_tables(pages, "file")
+
+
+def _workbooks(spark, path: str):
+    from .workbooks import sheet_cells, sheet_tables, skipped_sheets
+
+    cells = sheet_cells(spark, path)
+    return sheet_tables(cells) | {"skipped": skipped_sheets(cells)}
+
+
+def _word(spark, path: str):
+    from .workbooks import word_tables
+
+    return word_tables(spark, path)
+
+
+def _words(read: Callable, origin: str) -> Callable:
+    """A reader of positioned words as an extractor's."""
+
+    def run(spark, path: str, **options):
+        from gridwright.operators.extract.pages import extract_optical, extract_tables
+
+        from .optical import read_words
+
+        files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("doc_id"), "content")
+        words = read_words(files, read)
+        return extract_tables(words, **options) if origin == "pdf-text" else extract_optical(words, origin=origin, **options)
+
+    return run
+
+
+def words_reader(read: Callable, origin: str = "pdf-text") -> Callable:
+    """read(name, content) -> (page, text, x, y, x1, y1, conf) tuples, as what use_reader takes. origin: pdf-text for a text layer, else optical."""
+    return _words(read, origin)
 
 
 BUILTIN = (
     Extractor("pdf-text", ("pdf",), ("application/pdf",), 50),
-    Extractor("xlsx", ("xlsx", "xlsm", "xls", "ods"), ("application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "application/vnd.ms-excel"), 40),
-    Extractor("docx", ("docx",), ("application/vnd.openxmlformats-officedocument.wordprocessingml.document",), 40),
-    Extractor("html", ("html", "htm", "xhtml"), ("text/html", "application/xhtml+xml"), 30),
+    Extractor("xlsx", ("xlsx", "xlsm", "xls", "ods"), ("application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "application/vnd.ms-excel"), 40, _workbooks),
+    Extractor("docx", ("docx",), ("application/vnd.openxmlformats-officedocument.wordprocessingml.document",), 40, _word),
+    Extractor("html", ("html", "htm", "xhtml"), ("text/html", "application/xhtml+xml"), 30, _html),
     Extractor("image", ("png", "jpg", "jpeg", "webp", "gif", "bmp", "tif", "tiff"), ("image/*",), 20),
 )
 for _e in BUILTIN:

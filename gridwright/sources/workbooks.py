@@ -12,14 +12,13 @@ import zipfile
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridwright.functions.core import text_of, trim_ws
-from gridwright.functions.numbers import is_period_label, parse_number
-from gridwright.operators.extract.grids import classify
+from gridwright.operators.extract.grids import classify, flagged, header_counts
+from gridwright.storage import materialize
 
 SHEET = ["file", "sheet", "sheet_no"]
 ISLAND = [*SHEET, "island"]
@@ -109,6 +108,15 @@ def data_sheets(cells: DataFrame) -> DataFrame:
     return cells.where(~F.col("sheet").rlike(METADATA_NAME)).join(meta, SHEET, "left_anti")
 
 
+def skipped_sheets(cells: DataFrame) -> DataFrame:
+    """file, sheet, warning: sheets that describe others, or hold no region large enough to be a table."""
+    every = cells.select(*SHEET).distinct()
+    data = data_sheets(cells)
+    meta = every.join(data.select(*SHEET).distinct(), SHEET, "left_anti").withColumn("warning", F.lit("skipped: a sheet of metadata"))
+    small = data.select(*SHEET).distinct().join(islands(data).select(*SHEET).distinct(), SHEET, "left_anti").withColumn("warning", F.lit("skipped: no region large enough to be a table"))
+    return meta.unionByName(small).select("file", "sheet", "warning")
+
+
 def used_range(cells: DataFrame) -> DataFrame:
     f = cells.where(trim_ws(F.col("text")) != "")
     return f.groupBy(*SHEET).agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
@@ -143,16 +151,16 @@ def island_grids(found: DataFrame) -> DataFrame:
 def header_rows(grid: DataFrame) -> DataFrame:
     """island keys, n_headers: rows before the first of which half the filled cells are magnitudes; four at most, and a body row is left."""
     t = F.col("text")
-    big = parse_number(t)["is_numeric"] & ~is_period_label(t)
-    rows = grid.groupBy(*ISLAND, "row").agg(F.count_if(t != "").alias("n"), F.count_if((t != "") & big).alias("m"))
+    big = F.col("is_numeric") & ~F.col("is_period")
+    rows = flagged(grid).groupBy(*ISLAND, "row").agg(F.count_if(t != "").alias("n"), F.count_if((t != "") & big).alias("m"))
     data = F.min(F.when((F.col("n") > 0) & (F.col("m") * 2 >= F.col("n")), F.col("row")))
     return rows.groupBy(*ISLAND).agg(F.greatest(F.least(F.coalesce(data, F.max("row")), F.lit(MAX_HEADERS), F.max("row")), F.lit(0)).alias("n_headers"))
 
 
 def sheet_tables(cells: DataFrame) -> dict[str, DataFrame]:
     """tables, cells and headers of sheet_cells: confidence is at least LEAST_CONFIDENCE, as a sheet is a grid already."""
-    # Several branches read the grid; kept parts that are lost are computed again.
-    grid = island_grids(islands(data_sheets(cells))).persist(StorageLevel.MEMORY_AND_DISK)
+    # Several branches read the grid, so it is written once, with its figures told apart.
+    grid = materialize(flagged(island_grids(islands(data_sheets(cells)))))
     verdict = classify(grid, keys=ISLAND)
     ident = F.concat_ws("-", "file", F.concat(F.lit("s"), "sheet_no"), F.concat(F.lit("t"), "island"))
     tables = verdict.join(header_rows(grid), ISLAND).withColumns({"table_id": ident, "confidence": F.greatest("confidence", F.lit(LEAST_CONFIDENCE)), "title": F.col("sheet"), "section": F.lit("other"), "origin": F.lit("xlsx"), "page": F.col("sheet_no")})
@@ -195,3 +203,16 @@ def docx_tables(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["file", "table_no", "row", "col", "text"])
 
     return files.mapInPandas(run, "file string, table_no int, row int, col int, text string")
+
+
+def word_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """docx_tables as every source gives them: tables, headers and cells. Header rows are found as on a printed page."""
+    own = ["file", "table_no"]
+    grid = materialize(flagged(docx_tables(spark, path)))
+    size = grid.groupBy(*own).agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width")).where("width >= 2")
+    heads = size.join(header_counts(grid, keys=own), own, "left").na.fill(0, ["n_headers"]).where("n_headers < height").withColumn("table_id", F.concat_ws("-", "file", F.concat(F.lit("t"), "table_no")))
+    heads = materialize(heads)
+    rows = grid.join(heads.select(*own, "table_id", "n_headers"), own)
+    body = materialize(rows.where("row >= n_headers").withColumn("row", F.col("row") - F.col("n_headers")).drop("n_headers"))
+    verdict = classify(body, keys=own).select(*own, "column_count", "row_count", "confidence", "warnings")
+    return {"tables": heads.drop("height", "width").join(verdict, own).withColumn("origin", F.lit("docx")), "headers": rows.where("row < n_headers").select("table_id", "row", "col", "text"), "cells": body.select("table_id", "row", "col", "text")}

@@ -1,4 +1,4 @@
-"""Queries over whole tables against their SQL; those of the same names without _all leave rows out."""
+"""Queries over whole tables against their SQL, with a row for each order or customer."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["clean_value_all", "format_bytes_all", "line_texts_all", "line_cells_all", "page_metrics_all", "page_verdicts_all"])
+@pytest.mark.parametrize("name", ["clean_value", "format_bytes", "line_texts", "line_cells", "page_metrics", "page_verdicts"])
 def test_all_rows(spark, name):
     got = entry.queries()[name](spark, DATA)
     con = duckdb.connect()
