@@ -50,7 +50,7 @@ from .components import components
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 HASHES, STEP, TOLERANCE = BANDS * ROWS, 25, 1e-5
-BLOCK, BLOCK_SHINGLES, BUCKET_BLOCK, BLOCKS, TILE = 64, 200_000, 512, 24, 512
+BLOCK, BLOCK_SHINGLES, BUCKET_BLOCK, BLOCKS, TILE = 64, 200_000, 256, 24, 512
 MOST, MOST_SHINGLES = 40_000, 16_000_000
 U = np.uint64
 
@@ -298,7 +298,14 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     block = F.when(F.col("rest"), _block(F.col("n_rest"))).otherwise(F.col("n_rest") + _block(F.greatest(F.col("n_done"), F.lit(1))))
     other = F.explode(F.sequence(F.lit(0), F.col("n_rest") + F.when(F.col("rest"), F.col("n_done")).otherwise(0) - 1))
     rows = rows.withColumn("block", block).withColumn("__o", other).withColumns({"lo": F.least("block", "__o"), "hi": F.greatest("block", "__o")}).drop("__o", "rest", "n_rest", "n_done")
-    return rows.repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "node")
+    pair = F.expr("shiftright(cast(hi as bigint) * (hi + 1), 1) + lo")
+    return _dealt(rows, pair).sortWithinPartitions("grp", "lo", "hi", "node")
+
+
+def _dealt(rows: DataFrame, unit: Column) -> DataFrame:
+    """rows by group and unit of work: a group's units go to consecutive partitions, where hashes of (group, unit) would put several into one."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionById(n, (F.pmod(F.xxhash64("grp"), F.lit(n)) + F.pmod(unit, F.lit(n))).cast("int"))
 
 
 LINKS = "node bigint, root bigint, links bigint"
@@ -320,8 +327,8 @@ def spanning(rows: DataFrame, sized: DataFrame) -> DataFrame:
         return out
     large = rows.join(again_shuffled(sized.where("blocks > 1").select("grp", "pivot", "blocks")), "grp")
     block = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_block(F.col("blocks"))))
-    dealt = large.withColumn("block", F.explode(block)).drop("blocks").repartition("grp", "block").sortWithinPartitions("grp", "block", "node")
-    linked_with = materialize(dealt.mapInArrow(_by_pivot, "grp bigint, node bigint, root bigint"))
+    dealt = large.withColumn("block", F.explode(block)).drop("blocks")
+    linked_with = materialize(_dealt(dealt, F.col("block")).sortWithinPartitions("grp", "block", "node").mapInArrow(_by_pivot, "grp bigint, node bigint, root bigint"))
     is_done = large.select("grp", "node", "pivot").alias("l").join(again_shuffled(linked_with).alias("w"), F.expr("l.grp = w.grp and l.node = w.node"), "left").select("l.grp", "l.node", (F.col("w.node").isNull() & (F.col("l.node") != F.col("pivot"))).alias("rest"))
     is_done = materialize(is_done)
     left = is_done.groupBy("grp").agg(F.count_if("rest").alias("r"), F.count_if(~F.col("rest")).alias("d")).where("r > 0").join(sized, "grp")
