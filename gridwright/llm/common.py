@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridwright.storage import materialize, shared_dir, spread
+
+__all__ = ["BLANKS", "WORD", "again_shuffled", "ascii_lower", "keyed", "let", "materialize", "shared_dir", "table", "word_count", "words"]
+
 #: A word, as every operator here counts it: a run of characters other than the six ASCII blanks.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,36 +42,5 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, F.xxhash64(*first).alias("k1"), F.xxhash64(F.lit(1), *reversed(first)).alias("k2"))
 
 
-def again_shuffled(df: DataFrame) -> DataFrame:
-    """df behind a round-robin exchange. What an aggregation by the join key returns is already in place, so the join adds no exchange for it and adaptive execution cannot split the other side's hot keys; behind this one the join adds its own for both. For small sides."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path below the folder that the cluster names in spark.checkpoint.dir; where that is unset, as in tests, below one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="gridwright-"))
-    path = f"{base.rstrip('/')}/gridwright-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        sc = spark.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the JVM may have gone at exit
-        pass
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read again: it cuts the lineage, survives lost executors, and gives later joins a measured size. Files go when the driver ends."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: For small sides of joins whose other side may have hot keys.
+again_shuffled = spread

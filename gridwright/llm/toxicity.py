@@ -7,15 +7,18 @@ with the logistic loss l: the class prior corrects for the toxic documents among
 and the bracket, an estimate of the risk on clean documents, is not let below zero (where it falls
 below, a step goes the other way, as in the published method).
 
-The model is fitted in numpy on a bounded sample: at most POSITIVES and UNLABELLED documents, those
-with the smallest hash of doc_id, so reruns agree; MAX_FEATURES words that best tell the two sets
-apart. Both bounds are parameters. The class prior comes from all training labels. Every text is
-scored whole, in one pass without any exchange, by at most MAX_FEATURES weights.
+The model is fitted in numpy on a bounded sample: at most POSITIVES labelled and UNLABELLED other
+documents, those with the smallest hash of doc_id, so reruns agree. Its features are the MAX_FEATURES
+words that best tell the two sets apart, among those in MIN_TEXTS texts of the sample or more whose
+shares in the two differ by MIN_Z standard errors: rarer words would be learnt by heart. All five
+are parameters of the fit, stated with their effect in the README. The class prior comes from all
+training labels. Every text is scored whole, in one pass without any exchange.
 
 No label of a held-out document (crc32 of doc_id as text, mod 4, is 2) is ever read, and scores see
 the text alone. Defined cases: null and empty texts get the score of a text without words; a null
 doc_id is held out from nothing and never sampled; without any positive label every score is the
-prior, or 0; rows that repeat get equal scores; other columns are ignored.
+prior, or 0; rows that repeat get equal scores; of texts that share a sampled doc_id the one with the
+least key is learnt from; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from . import textbytes as tb
 from .common import table
 
 POSITIVES, UNLABELLED, MAX_FEATURES = 6000, 12000, 1000
+MIN_TEXTS, MIN_Z = 5, 4.0
 THRESHOLD = 0.3
 EPOCHS, RATE, DECAY = 300, 0.1, 1e-4
 
@@ -54,7 +58,8 @@ def sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlab
     yes = labels.where(free & (F.col("toxic") == 1)).select("doc_id").distinct().orderBy(order, "doc_id").limit(positives)
     drawn = docs.where(free).select("doc_id").distinct().orderBy(order, "doc_id").limit(unlabelled)
     ids = yes.select("doc_id", F.lit(True).alias("positive")).unionByName(drawn.select("doc_id", F.lit(False).alias("positive")))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id", "positive"]).select("positive", "text")
+    key = F.struct(F.xxhash64(F.coalesce("text", F.lit(""))), F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))))
+    rows = docs.select("doc_id", "text", key.alias("key")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "positive").agg(F.min_by("text", "key").alias("text")).select("positive", "text")
     return rows.mapInArrow(_features, "positive boolean, words array<bigint>")
 
 
@@ -63,7 +68,7 @@ def class_prior(labels: DataFrame) -> float:
     return float(r["p"] or 0.0)
 
 
-def fit(positive: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, prior: float, max_features: int = MAX_FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(positive: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, prior: float, max_features: int = MAX_FEATURES, min_texts: int = MIN_TEXTS, min_z: float = MIN_Z) -> tuple[np.ndarray, np.ndarray, float]:
     """(word hashes in order, their weights, bias) from each document's distinct words."""
     none = np.empty(0, np.uint64), np.empty(0), 0.0
     n_p, n_u = int(positive.sum()), int((~positive).sum())
@@ -75,9 +80,9 @@ def fit(positive: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, prior: floa
     df_u = np.bincount(word, minlength=len(vocabulary)) - df_p
     p, u = (df_p + 0.5) / (n_p + 1), (df_u + 0.5) / (n_u + 1)
     z = np.abs(p - u) / np.sqrt(u * (1 - u) / n_p + u * (1 - u) / n_u)
-    z[df_p + df_u < 5] = 0
+    z[df_p + df_u < min_texts] = 0
     best = np.sort(np.argsort(-z, kind="stable")[:max_features])
-    best = best[z[best] > 4]
+    best = best[z[best] > min_z]
     column = np.full(len(vocabulary), -1)
     column[best] = np.arange(len(best))
     keep = column[word] >= 0

@@ -386,6 +386,69 @@ def test_held_out_accuracy(spark):
     assert recall > 0.9 and wrong < 0.05
 
 
+def plain_fit(texts, positive, prior, epochs=300):
+    """The risk estimator word by word, following the docstring: full features, Adam, steps turned round where the estimate of the clean risk is negative."""
+    words = [set(plain_tokens(t)) for t in texts]
+    n_p, n_u = sum(positive), len(texts) - sum(positive)
+    seen = sorted({w for s in words for w in s})
+    chosen = []
+    for w in seen:
+        a = sum(w in s for s, y in zip(words, positive, strict=True) if y)
+        b = sum(w in s for s, y in zip(words, positive, strict=True) if not y)
+        p, u = (a + 0.5) / (n_p + 1), (b + 0.5) / (n_u + 1)
+        if a + b >= 5 and abs(p - u) / math.sqrt(u * (1 - u) / n_p + u * (1 - u) / n_u) > 4:
+            chosen.append(w)
+    w, bias = dict.fromkeys(chosen, 0.0), math.log(prior / (1 - prior))
+    m, v = Counter(), Counter()
+    soft = lambda x: math.log1p(math.exp(-x)) if x > -30 else -x
+    for t in range(1, epochs + 1):
+        x = [bias + sum(w[q] for q in s if q in w) for s in words]
+        clean = sum(soft(-z) for z, y in zip(x, positive, strict=True) if not y) / n_u - prior * sum(soft(-z) for z, y in zip(x, positive, strict=True) if y) / n_p
+        g = []
+        for z, y in zip(x, positive, strict=True):
+            s = 1 / (1 + math.exp(-z))
+            of_clean = -prior * s / n_p if y else s / n_u
+            g.append(of_clean + (-prior * (1 - s) / n_p if y else 0) if clean >= 0 else -of_clean)
+        grad = {q: sum(gi for gi, s in zip(g, words, strict=True) if q in s) + 1e-4 * w[q] for q in chosen} | {None: sum(g)}
+        for q, value in grad.items():
+            m[q], v[q] = 0.9 * m[q] + 0.1 * value, 0.999 * v[q] + 0.001 * value**2
+            step = 0.1 * (m[q] / (1 - 0.9**t)) / (math.sqrt(v[q] / (1 - 0.999**t)) + 1e-8)
+            if q is None:
+                bias -= step
+            else:
+                w[q] -= step
+    return w, bias
+
+
+def test_fit_against_plain():
+    rng = random.Random(11)
+    texts, positive = [], []
+    for i in range(220):
+        y = i < 60
+        w = [f"w{int(rng.paretovariate(1)) % 60}" for _ in range(25)] + ["vile"] * (y or rng.random() < 0.1) + ["awful"] * (y and rng.random() < 0.7)
+        rng.shuffle(w)
+        texts.append(" ".join(w))
+        positive.append(y)
+    parts = [textbytes.words(x, textbytes.ALNUM) for x in textbytes.chunks(pa.array(texts))]
+    lists = [np.unique(h) for w in parts for h in np.split(w.hashes, np.cumsum(w.counts)[:-1])]
+    words, weights, bias = toxicity.fit(np.array(positive), np.array([len(x) for x in lists]), np.concatenate(lists), 0.15)
+    want, b = plain_fit(texts, positive, 0.15)
+    (texts_of,) = textbytes.chunks(pa.array(sorted(want)))
+    by_hash = dict(zip(textbytes.words(texts_of, textbytes.ALNUM).hashes.tolist(), sorted(want), strict=True))
+    assert {by_hash[h] for h in words.tolist()} == set(want) and "vile" in want
+    assert math.isclose(bias, b, abs_tol=1e-6) and all(math.isclose(x, want[by_hash[h]], abs_tol=1e-6) for h, x in zip(words.tolist(), weights, strict=True))
+
+
+def test_sample_takes_one_text_of_an_id(spark):
+    rows = [(i % 40, f"text {i} {'x' * (i % 7)}") for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, 1) for i in range(0, 40, 3)], "doc_id long, quality int, toxic int")
+    runs = []
+    for n in (2, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        runs.append(sorted((r.positive, tuple(r.words)) for r in toxicity.sample(docs, labels).collect()))
+    assert runs[0] == runs[1] and len(runs[0]) > 30
+
+
 # Language model
 
 
