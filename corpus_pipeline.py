@@ -4,6 +4,14 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 again as the next stage's docs. All but the last return the columns of documents; where a stage
 changes a text, n_chars follows. The last returns a row for each document left, with the words that
 the mix takes of it.
+
+Defined cases, of every stage: an empty table gives an empty result; other columns than those of
+documents are carried through (mixing drops them), whatever their names; null sources are a source
+of their own. Null, empty and blank texts fail the quality rules; the later stages leave them as
+they are, but for the join, to which null and empty texts are copies of each other, and the mix, which
+takes nothing of them. Of rows equal in doc_id and text line_dedup keeps one and empties the others,
+and the join keeps one. A null doc_id comes first in line_dedup; the join keeps the least id of a
+class that has any. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -56,7 +64,7 @@ STAGES = [
     ("mixing", mixing),
 ]
 
-#: SQL can express neither the join's classes nor the tiling. The stages' operators are tested one by one in tests/llm; a plain version of run() is still to be written.
+#: SQL can express neither the join's classes nor the tiling. Every stage and run() are held against plain versions in tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
