@@ -145,7 +145,7 @@ def proxy_url(base: str, target: Column, params: dict[str, str] | None = None) -
         raise ValueError("the proxy must be a valid absolute http(s) address")
     more = "".join(f"&{quote(k, safe=_PLAIN)}={quote(str(v), safe=_PLAIN)}" for k, v in (params or {}).items() if v not in (None, ""))
     encoded = F.url_encode(target)
-    for code, plain in (("+", "%20"), *[(quote(c, safe="").upper() if c != "*" else "*", c) for c in "!'()~"]):
+    for code, plain in (("+", "%20"), *[(f"%{ord(c):02X}", c) for c in _PLAIN]):
         encoded = F.replace(encoded, F.lit(code), F.lit(plain))
     return F.concat(F.lit(base + ("&" if "?" in base else "?") + "url="), encoded, F.lit(more))
 

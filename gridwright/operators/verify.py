@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -248,7 +248,7 @@ def valid_pattern(spark, pattern: str) -> bool:
             return True
         except re.error:
             return False
-    except Py4JJavaError:
+    except IllegalArgumentException:
         return False
 
 

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from gridwright.functions.core import text_of, trim_ws
 from gridwright.operators.headers import unique_headers
 from gridwright.operators.result import ROW
-from gridwright.storage import materialize
+from gridwright.storage import pinned
 
 
 def with_rows(df: DataFrame) -> DataFrame:
-    """df with _row, contiguous from 0 in its order: rows are counted for each partition, and each partition starts where those before it end. No sort and no exchange; the counts are one row for each partition. df is written to the shared folder with its partitions' numbers, as a second evaluation might deal its rows otherwise."""
-    marked = materialize(df.withColumn("_id", F.monotonically_increasing_id()))
+    """df with _row, contiguous from 0 in its order: rows are counted for each partition, and each partition starts where those before it end. No sort and no exchange; the counts are one row for each partition. df is checkpointed, as a second evaluation might deal its rows otherwise."""
+    marked = pinned(df.withColumn("_id", F.monotonically_increasing_id()))
     counts = marked.groupBy(F.shiftright("_id", 33).alias("_p")).agg(F.count(F.lit(1)).alias("n")).orderBy("_p").collect()
     starts, total = [], 0
     for r in counts:
@@ -29,11 +29,15 @@ def with_rows(df: DataFrame) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, multiline: bool = True, **options) -> DataFrame:
     """Every cell a string and never null, blank rows left out, headers unique. Quotes are doubled inside quotes. With multiline cells may hold line ends, and a file is read by one task; without it large files are split."""
-    raw = spark.read.csv(path, header=True, multiLine=multiline, quote='"', escape='"', inferSchema=False, enforceSchema=False, **options)
-    names = unique_headers(raw.columns)
+    how = dict(multiLine=multiline, quote='"', escape='"', **options)
+    told = [c or "" for c in spark.read.csv(path, header=False, **how).first() or [""]]
+    names = unique_headers(told)
+    # Files' headers are held against the first one's, unless that had to be changed.
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in names)
+    raw = spark.read.csv(path, schema=schema, header=True, enforceSchema=names != told, **how)
     df = raw.toDF(*names)
-    filled = F.exists(F.array(*[text_of(F.col(f"`{c}`")) for c in names]), lambda x: trim_ws(x) != "")
-    return with_rows(df.where(filled).select(*[text_of(F.col(f"`{c}`")).alias(c) for c in names]))
+    filled = F.exists(F.array(*[text_of(F.col("`" + c.replace("`", "``") + "`")) for c in names]), lambda x: trim_ws(x) != "")
+    return with_rows(df.where(filled).select(*[text_of(F.col("`" + c.replace("`", "``") + "`")).alias(c) for c in names]))
 
 
 def parse_csv(files: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def use_reader(id: str, read: Callable) -> None:
 def _html(spark, path: str):
     from .html import document_tables
 
-    pages = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.decode("content", F.lit("UTF-8")).alias("html"))
+    pages = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.decode("content", "UTF-8").alias("html"))
     return document_tables(pages, "file")
 
 

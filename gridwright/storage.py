@@ -42,6 +42,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """df checkpointed to the shared folder: its rows stay in their partitions and in order, however often it is read."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df, a small side of a join by keys it is grouped by, behind a round-robin exchange: the join then adds plain exchanges to both sides, and adaptive execution can split keys that are hot on the other one."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

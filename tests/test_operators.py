@@ -177,7 +177,7 @@ def test_tools():
         registry.register(registry.Tool("number-clean", "clean", 1, None))
     assert extractors.pick("a.PDF").id == "pdf-text" and extractors.pick("x", "image/png").id == "image" and extractors.pick("a.bin") is None
     with pytest.raises(ValueError):
-        extractors.extract("a.bin")
+        extractors.extract(None, "a.bin")
 
 
 def test_csv_round_trip(spark, tmp_path):
