@@ -36,22 +36,6 @@ def reusable(body):
     return apply
 
 
-def prefix_sums(values: Column) -> Column:
-    """Of an array of n integers, the sum of those before each; one more at the end. Summed in blocks of the square root of n, since arrays grow by copying."""
-
-    def grown(block: Column, start: Column) -> Column:
-        return F.aggregate(block, F.array(start), lambda acc, v: F.array_append(acc, F.element_at(acc, -1) + v))
-
-    def of(a: Column) -> Column:
-        side = F.ceil(F.sqrt(F.size(a))).cast("int")
-        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / side).cast("int") - 1), lambda b: F.slice(a, b * side + 1, side))
-        starts = lambda bs: grown(F.transform(bs, lambda b: F.aggregate(b, F.lit(0), lambda n, v: n + v)), F.lit(0))
-        joined = lambda bs: let(starts(bs), lambda st: F.concat(F.flatten(F.zip_with(bs, F.slice(st, F.lit(1), F.size(bs)), lambda b, s: F.slice(grown(b, s), F.lit(1), F.size(b)))), F.slice(st, F.lit(-1), F.lit(1))))
-        return F.when(F.size(a) == 0, F.array(F.lit(0))).otherwise(let(blocks, joined))
-
-    return let(values, of)
-
-
 def text_of(value: Column) -> Column:
     """Cells are strings and never null."""
     return F.coalesce(value.cast("string"), F.lit(""))

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridwright.functions.arrow import numbers, whole_groups
-from gridwright.functions.core import prefix_sums, text_of, trim_ws
+from gridwright.functions.core import text_of, trim_ws
 from gridwright.functions.numbers import parse_number
 
 PAGE = ["doc_id", "page"]
@@ -28,17 +28,18 @@ def words_from_items(items: DataFrame) -> DataFrame:
     """items(doc_id, page, item_idx, str, x, baseline, width, height, page_height) of a text layer to words: each takes its share of the item's width, y runs from the top."""
     t = text_of(F.col("str"))
     pieces, gaps = F.regexp_extract_all(t, F.lit(r"\S+"), F.lit(0)), F.split(t, r"\S+", -1)
-    lengths = lambda of: F.transform(of, lambda s: F.length(s))
-    # A word begins after all gaps up to its own and all words before it.
-    starts = F.zip_with(F.slice(prefix_sums(lengths(pieces)), F.lit(1), F.size(pieces)), F.slice(prefix_sums(lengths(gaps)), F.lit(2), F.size(pieces)), lambda a, b: a + b)
-    words = F.zip_with(pieces, starts, lambda s, at: F.struct(s.alias("text"), at.alias("at")))
     per = F.col("width") / F.greatest(F.length(t), F.lit(1))
     top = F.col("page_height") - F.col("baseline") - 0.8 * F.col("height")
-    cut = items.select(*PAGE, "item_idx", "x", "height", per.alias("per"), top.alias("y"), F.posexplode(words).alias("k", "s"))
-    x = F.col("x") + F.col("s.at") * F.col("per")
-    return cut.select(
-        *PAGE, F.row_number().over(W.partitionBy(*PAGE).orderBy("item_idx", "k")).cast("long").alias("word_idx"), F.col("s.text").alias("text"), x.alias("x"), "y",
-        (x + F.length("s.text") * F.col("per")).alias("x1"), (F.col("y") + F.col("height")).alias("y1"), (F.length("s.text") * F.col("per")).alias("w"), F.col("height").alias("h"), F.lit(None).cast("double").alias("conf"),
+    # There is a gap more than words; posexplode_outer, as posexplode would have both lists made once more by an inferred filter.
+    cut = items.select(*PAGE, "item_idx", "x", "height", per.alias("per"), top.alias("y"), F.posexplode_outer(F.arrays_zip(gaps.alias("gap"), pieces.alias("text"))).alias("k", "s")).where("s.text is not null")
+    size = F.length("s.text")
+    # A word begins after all gaps and words before it; the same sort serves to number the page's words.
+    item = W.partitionBy(*PAGE, "item_idx").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    at = F.sum(F.length("s.gap") + size).over(item) - size
+    placed = cut.withColumns({"size": size, "at": at, "word_idx": F.row_number().over(W.partitionBy(*PAGE).orderBy("item_idx", "k")).cast("long")})
+    x = F.col("x") + F.col("at") * F.col("per")
+    return placed.select(
+        *PAGE, "word_idx", F.col("s.text").alias("text"), x.alias("x"), "y", (x + F.col("size") * F.col("per")).alias("x1"), (F.col("y") + F.col("height")).alias("y1"), (F.col("size") * F.col("per")).alias("w"), F.col("height").alias("h"), F.lit(None).cast("double").alias("conf"),
     )
 
 
@@ -90,7 +91,8 @@ def assign_lines(words: DataFrame) -> DataFrame:
                 line[lo:hi], mean[lo:hi] = _line_numbers(center[lo:hi], max(1.0, usual * LINE_TOLERANCE))
             yield from table.append_column("line", pa.array(line)).append_column("line_center", pa.array(mean)).to_batches()
 
-    return words.select(*names).repartition(*PAGE).sortWithinPartitions(*PAGE, "y", "x", "word_idx").mapInArrow(run, schema)
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return words.select(*names).repartition(n, *PAGE).sortWithinPartitions(*PAGE, "y", "x", "word_idx").mapInArrow(run, schema)
 
 
 def lines(words: DataFrame) -> DataFrame:

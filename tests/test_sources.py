@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridwright import sinks, storage
-from gridwright.functions import core, text, web
+from gridwright.functions import text, web
 from gridwright.operators import edits, reshape, verify
 from gridwright.operators.extract import grids as g
 from gridwright.operators.extract import lines as li
@@ -142,19 +142,76 @@ def test_lines_of_pages_that_span_batches(spark):
     assert len(got) == words.count() and all(r.line == r.word_idx // 5 and r.line_center == r.line * 14 + 5 for r in got)
 
 
-class Cell:
-    def __init__(self, x, x1, is_figure):
-        self.x, self.x1, self.is_figure = x, x1, is_figure
+def columns_of(cells):
+    x, x1, figure = (np.array(v) for v in zip(*cells, strict=True))
+    found = g.infer_columns(x.astype(float), x1.astype(float), figure, 10, 3)
+    return list(zip(found.left.tolist(), found.right.tolist(), strict=True))
 
 
 def test_two_columns_of_figures_in_one_span():
     """Right edges that gather at two places are two columns, unless a cell lies across or the gap is small."""
-    figures = [Cell(300 - 30 * (i % 2), 330, True) for i in range(4)] + [Cell(339.9, 350.5, True) for i in range(4)]
-    assert [(c.left, c.right) for c in g.infer_columns(figures, 10, 3)] == [(270, 330), (339.9, 350.5)]
-    assert len(g.infer_columns([*figures, Cell(280, 380, False)], 10, 3)) == 1
-    assert len(g.infer_columns([Cell(300, 330, True)] * 4 + [Cell(305, 345, True)] * 4, 10, 3)) == 1
-    assert len(g.infer_columns([Cell(300, 330, True)] * 2 + [Cell(305, 390, True)], 10, 3)) == 1
-    assert [(c.left, c.right) for c in g.infer_columns([Cell(50, 90, False), Cell(60, 130, False), Cell(145, 160, True)], 10, 3)] == [(50, 130), (145, 160)]
+    figures = [(300 - 30 * (i % 2), 330, True) for i in range(4)] + [(339.9, 350.5, True) for i in range(4)]
+    assert columns_of(figures) == [(270, 330), (339.9, 350.5)]
+    assert len(columns_of([*figures, (280, 380, False)])) == 1
+    assert len(columns_of([(300, 330, True)] * 4 + [(305, 345, True)] * 4)) == 1
+    assert len(columns_of([(300, 330, True)] * 2 + [(305, 390, True)])) == 1
+    assert columns_of([(50, 90, False), (60, 130, False), (145, 160, True)]) == [(50, 130), (145, 160)]
+
+
+def plain_columns(cells, height, space):
+    """Columns by a walk over sorted cells and lists of members."""
+    gutter = max(height, 3 * space, 2)
+    spans = []
+    for x, x1, _ in sorted(cells):
+        if spans and x - spans[-1][1] < gutter:
+            spans[-1][1] = max(spans[-1][1], x1)
+        else:
+            spans.append([x, x1])
+    found = []
+    for left, right in spans:
+        inside = [c for c in cells if c[0] >= left - 0.5 and c[1] <= right + 0.5]
+        edges = sorted(c[1] for c in inside if c[2])
+        sets = []
+        for e in edges:
+            if sets and e - sets[-1][-1] <= 0.6 * height:
+                sets[-1].append(e)
+            else:
+                sets.append([e])
+        sets = [s for s in sets if len(s) > 1] if len(edges) >= 4 else []
+        start = left
+        for a, b in zip(sets, sets[1:], strict=False):
+            cut = (a[-1] + b[0]) / 2
+            if b[0] - a[-1] >= 2 * height and not any(x < cut - 0.5 and x1 > cut + 0.5 for x, x1, _ in inside):
+                found.append([start, cut, start])
+                start = cut
+        found.append([start, right, start])
+    for _ in range(2):
+        own = [[] for _ in found]
+        for x, x1, f in cells:
+            overlap = [min(x1, r) - max(x, left) for left, r, _ in found]
+            best = overlap.index(max(overlap))
+            if overlap[best] <= 0:
+                far = [abs(a - (x1 if f else x)) for *_, a in found]
+                best = far.index(min(far))
+            own[best].append((x, x1, f))
+        for column, members in zip(found, own, strict=True):
+            if members:
+                right = sum(f for *_, f in members) / len(members) >= 0.5
+                column[:] = [min(c[0] for c in members), max(c[1] for c in members), sum(c[1] if right else c[0] for c in members) / len(members)]
+    return [(a, b) for a, b, _ in found]
+
+
+def test_columns_against_plain():
+    rng = random.Random(14)
+    for _ in range(300):
+        edges = sorted(rng.sample(range(100, 600, 10), rng.randrange(1, 6)))
+        cells = []
+        for _ in range(rng.randrange(1, 30)):
+            f = rng.random() < 0.6
+            w = rng.randrange(5, 60)
+            x1 = rng.choice(edges) + rng.choice([0, 0, 0, 1.5]) if f else rng.randrange(100, 600)
+            cells.append((float(x1 - w), float(x1), f))
+        assert columns_of(cells) == plain_columns(cells, 10, 3)
 
 
 def plain_groups(text_):
@@ -290,11 +347,7 @@ def test_csv_large_and_small(spark, tmp_path):
 
 
 def test_scale_helpers(spark):
-    """Prefix sums, numbering within hot groups, and limits on what becomes columns."""
-    sizes = [list(range(n)) for n in (0, 1, 2, 5, 100, 1001)]
-    df = spark.createDataFrame([(x,) for x in sizes], "a array<int>")
-    for r in df.withColumn("s", core.prefix_sums(F.col("a"))).collect():
-        assert r.s == [sum(r.a[:i]) for i in range(len(r.a) + 1)]
+    """Numbering within hot groups, and limits on what becomes columns."""
     rows = spark.range(5000).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 7)).alias("g"), F.col("id"))
     got = storage.numbered(rows, "g", "id", "n").collect()
     want = {}
