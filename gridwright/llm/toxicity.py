@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .common import table
 
-POSITIVES, UNLABELLED, MAX_FEATURES = 6000, 12000, 1000
+POSITIVES, UNLABELLED, MAX_FEATURES = 6000, 12000, 300
 MIN_TEXTS, MIN_Z = 5, 4.0
 THRESHOLD = 0.3
 EPOCHS, RATE, DECAY = 300, 0.1, 1e-4
