@@ -195,3 +195,71 @@ def number_clean_lines(spark, d):
     from gridwright.operators.clean import number_clean_lines as op
 
     return op(table(spark, d, "orders").selectExpr("o_orderkey as _row", f"concat(' ', format_number({CENTS}, 0), ' ') as value"), 1000)
+
+
+#: Thousands set apart by blanks and marks of all kinds.
+_SOFT = ("\u00a0", "\u202f", "\u2009", "\u2007", "'", "\u2019", "\u02bc", " ")
+_DASHES = ("-", "–", "—", "−", " — ", "--")
+_PRICES = (("US$ ", "USD"), ("£", "GBP"), ("€", "EUR"), ("GH₵", "GHS"), ("NGN ", "NGN"), ("GHS ", "GHS"))
+
+
+@query(
+    "number_forms",
+    f"""
+WITH o AS (SELECT o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS c, o_orderkey % 26 AS w FROM orders), g AS (SELECT *, format('{{:,}}', c) AS g, CAST(c AS VARCHAR) AS t FROM o)
+SELECT k, CASE WHEN w < 8 THEN c WHEN w < 14 THEN NULL WHEN w < 20 THEN c WHEN w = 20 THEN c / 100.0::DOUBLE WHEN w = 21 THEN c WHEN w = 22 THEN CASE WHEN length(g) - length(t) > 1 THEN c WHEN length(g) = length(t) THEN c ELSE c / 1000.0::DOUBLE END WHEN w = 23 THEN c + 0.25::DOUBLE WHEN w = 24 THEN c + 0.5::DOUBLE ELSE c END AS value,
+  w BETWEEN 8 AND 13 AS is_nil, CASE w {" ".join(f"WHEN {14 + i} THEN '{c}'" for i, (_, c) in enumerate(_PRICES))} END AS currency,
+  CASE WHEN w = 20 THEN 1 WHEN w = 21 AND NOT regexp_matches(substr(t, 1, 1) || ',' || substr(t, 2), '^[0-9],([0-9]{{3}}|[0-9]{{1,2}})$') THEN 1 WHEN w = 21 AND length(t) IN (2, 3) THEN 1 WHEN w = 24 AND NOT regexp_matches(replace(g, ',', '.') || ',5', '^[0-9]{{1,3}}([.][0-9]{{3}})+,[0-9]+$') THEN 1 ELSE 0 END AS n_warnings FROM g""",
+)
+def number_forms(spark, d):
+    """Soft separators, dashes, currencies, and every way that commas and points can stand."""
+    o = table(spark, d, "orders").selectExpr("o_orderkey as k", f"{CENTS} as cents", f"format_number({CENTS}, 0) as grouped", "o_orderkey % 26 as way")
+    grouped, plain, raw = F.col("grouped"), F.col("cents").cast("string"), F.lit(None).cast("string")
+    shapes = [F.replace(grouped, F.lit(","), F.lit(s)) for s in _SOFT] + [F.lit(x) for x in _DASHES] + [F.concat(F.lit(p), grouped) for p, _ in _PRICES]
+    cents = F.concat(F.floor(F.col("cents") / 100).cast("string"), F.lit(","), F.lpad((F.col("cents") % 100).cast("string"), 2, "0"))
+    points = F.replace(grouped, F.lit(","), F.lit("."))
+    shapes += [cents, F.concat(F.substring(plain, 1, 1), F.lit(","), F.substring(plain, 2, 20)), points, F.concat(grouped, F.lit(".25")), F.concat(points, F.lit(",5")), F.concat(F.lit("+"), grouped)]
+    for way, shape in enumerate(shapes):
+        raw = F.when(F.col("way") == way, shape).otherwise(raw)
+    return o.withColumn("p", numbers.parse_number(raw)).select("k", "p.value", "p.is_nil", "p.currency", F.size("p.warnings").alias("n_warnings"))
+
+
+@query("scaled_values", "SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 1e3 WHEN 1 THEN 1e6 ELSE 1 END * CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS DOUBLE) AS scaled, CAST(format('{:.14e}', CAST(round(o_totalprice * 100) AS BIGINT) / 7.0::DOUBLE) AS DOUBLE) AS footed FROM orders")
+def scaled_values(spark, d):
+    w, v = F.col("o_orderkey") % 3, F.expr(CENTS).cast("double")
+    unit = F.when(w == 0, "GH¢'000").when(w == 1, "US$ millions").otherwise("GHS")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), numbers.scale_value(v, unit).alias("scaled"), numbers.round_foot(v / 7).alias("footed"))
+
+
+@query("markup_text", r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', ' ', 'g'), ' ') AS said FROM pages")
+def markup_text(spark, d):
+    return table(spark, d, "pages").select("page_id", text.markup_text(F.col("html")).alias("said"))
+
+
+_FILES = (("a.PDF", "pdf", "PDF"), ("b.xls", "xlsx", "Workbook"), ("c.doc", "docx", "Word"), ("d.csv", "csv", "CSV"), ("e.TIFF", "image", "Image"), ("f.ods", "unknown", "Unsupported"), ("noext", "unknown", "Unsupported"))
+
+
+@query("file_kinds", f"SELECT p_partkey AS k, [{', '.join(repr(x[1]) for x in _FILES)}][p_partkey % 7 + 1] AS kind, [{', '.join(repr(x[2]) for x in _FILES)}][p_partkey % 7 + 1] AS label FROM part")
+def file_kinds(spark, d):
+    from gridwright.sources.registry import classify_file
+
+    name = F.concat(F.col("p_name"), F.element_at(F.array(*[F.lit(x[0]) for x in _FILES]), (F.col("p_partkey") % 7 + 1).cast("int")))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), classify_file(name).alias("c")).select("k", "c.kind", "c.label")
+
+
+def _ragged(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("_row"), F.slice(F.array("o_orderstatus", F.lit(None).cast("string"), "o_orderpriority", F.lit("x")), F.lit(1), (F.col("o_orderkey") % 5).cast("int")).alias("cells"))
+
+
+@query("rectangular", "SELECT o_orderkey AS _row, CASE WHEN o_orderkey % 5 >= 1 THEN o_orderstatus ELSE '' END AS column_1, '' AS column_2, CASE WHEN o_orderkey % 5 >= 3 THEN o_orderpriority ELSE '' END AS column_3, CASE WHEN o_orderkey % 5 >= 4 THEN 'x' ELSE '' END AS column_4 FROM orders")
+def rectangular(spark, d):
+    from gridwright.operators.clean import rectangular as op
+
+    return op(_ragged(spark, d), "cells", 4)
+
+
+@query("grid_dims", "SELECT count(*) AS n_rows, CAST(max(o_orderkey % 5) AS INTEGER) AS n_columns FROM orders")
+def grid_dims(spark, d):
+    from gridwright.operators.clean import grid_dims as op
+
+    return op(_ragged(spark, d), "cells")
