@@ -170,6 +170,13 @@ def response_info(url: Column, content_type: Column, content_length: Column, con
     return F.struct(text_of(content_type).alias("content_type"), size.try_cast("long").alias("bytes"), kind["kind"].alias("kind"), kind["basis"].alias("basis"))
 
 
+def response_error(ok: Column, proxied: Column, status: Column, target_status: Column) -> Column:
+    """Why a response that came through a proxy is none: a code, or null if it is one. What doesn't bear the proxy's mark did not come from it."""
+    n = F.coalesce(target_status, status)
+    by_status = F.when(n == 404, "TARGET_NOT_FOUND").when(n.isin(401, 403), "TARGET_FORBIDDEN").when(n == 413, "TOO_LARGE").when(n >= 500, "TARGET_ERROR").otherwise("PROXY_ERROR")
+    return F.when(~ok, F.when(~proxied & (status >= 400), "NOT_A_PROXY").otherwise(by_status))
+
+
 SUFFIXES = (("pdf", "pdf"), ("spreadsheet", "xlsx"), ("csv", "csv"), ("document", "docx"), ("image", "png"), ("html", "html"))
 
 

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .headers import tool_headers
+from .result import ROW, columns_of
+
 KEY = ["table_id", "row", "col"]
 
 
@@ -89,6 +92,27 @@ def session_stats(files: DataFrame, pages: DataFrame, tables: DataFrame) -> Data
     return files.agg(F.count(F.lit(1)).alias("files")).crossJoin(p).crossJoin(t).select("files", "docs", "tables", "selected", "pages", "ocr_pages", "needs_ocr", "warnings")
 
 
+def to_grid(cells: DataFrame, headers: DataFrame, table_id: str) -> DataFrame:
+    """One table of a session as a tool's grid: _row, and its columns under the stacked headers, each distinct text once. The header is metadata; a table has as many columns as it has."""
+    own = F.col("table_id") == table_id
+    width = (cells.where(own).agg(F.max("col")).first()[0] or 0) + 1
+    stack: dict[int, dict[int, str]] = {}
+    for r in headers.where(own & (F.col("col") < width)).select("row", "col", "text").collect():
+        stack.setdefault(r["row"], {})[r["col"]] = r["text"]
+    if stack:
+        names = tool_headers([[stack[r].get(c, "") for c in range(width)] for r in sorted(stack)], width)
+    else:
+        names = ["row_label", *[f"column_{c}" for c in range(1, width)]]
+    at = lambda c: F.coalesce(F.max(F.when(F.col("col") == c, F.col("text"))), F.lit(""))
+    return cells.where(own).groupBy(F.col("row").cast("long").alias(ROW)).agg(*[at(c).alias(n) for c, n in enumerate(names)])
+
+
+def preview(df: DataFrame, rows: int = 80, columns: int = 40) -> tuple[DataFrame, int, int]:
+    """The first rows and columns of a grid, and how many of each are left out: a look at it, not the data."""
+    names = columns_of(df)
+    return df.orderBy(ROW).select(ROW, *[F.col(f"`{c}`") for c in names[:columns]]).limit(rows), max(0, df.count() - rows), max(0, len(names) - columns)
+
+
 def with_defaults(tables: DataFrame) -> DataFrame:
     """Tables as they arrive, with what may be lacking filled in."""
     d = {"title": "", "note_ref": "", "section": "other", "units": "", "origin": "unknown", "source_file": ""}

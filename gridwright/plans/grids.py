@@ -368,3 +368,10 @@ def edit_columns(spark, d):
     labels = tables.select("table_id", F.posexplode(F.array(F.lit("item"), F.lit("2011"))).alias("col", "label"))
     even = tables.where("cast(substring(table_id, 2) as bigint) % 2 = 0").select("table_id", F.posexplode(F.array(F.lit(" "), F.lit("Year"))).alias("col", "name"))
     return edits.map_columns(labels, even)
+
+
+@query("session_grid", "SELECT CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS BIGINT) AS _row, c_name AS \"Customer name\", c_mktsegment AS column_2 FROM customer WHERE c_nationkey = 7")
+def session_grid(spark, d):
+    """One nation's table as a tool takes it, under stacked headers."""
+    headers = spark.createDataFrame([("n7", 0, 0, "Customer"), ("n7", 1, 0, "name"), ("n7", 2, 0, "Customer"), ("n8", 0, 1, "other")], "table_id string, row int, col int, text string")
+    return edits.to_grid(customer_cells(spark, d), headers, "n7")

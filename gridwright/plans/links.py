@@ -104,6 +104,15 @@ def proxy_urls(spark, d):
     return table(spark, d, "pages").select("page_id", web.proxy_url("https://p.example.com/?k=1", F.col("url"), {"range": "bytes=0-0", "none": ""}).alias("asked"))
 
 
+_ANSWERS = ((200, None, True, None), (404, 404, True, "TARGET_NOT_FOUND"), (200, 403, True, "TARGET_FORBIDDEN"), (413, None, True, "TOO_LARGE"), (502, 503, True, "TARGET_ERROR"), (429, None, True, "PROXY_ERROR"), (404, None, False, "NOT_A_PROXY"), (302, None, False, "PROXY_ERROR"))
+
+
+@query("response_errors", f"SELECT page_id, [{', '.join(repr(c) if c else 'NULL' for *_, c in _ANSWERS)}][page_id % {len(_ANSWERS)} + 1] AS code FROM pages")
+def response_errors(spark, d):
+    told = F.element_at(F.array(*[F.struct(F.lit(i > 0).alias("bad"), F.lit(s).alias("s"), F.lit(t).cast("int").alias("t"), F.lit(p).alias("p")) for i, (s, t, p, _) in enumerate(_ANSWERS)]), (F.col("page_id") % len(_ANSWERS) + 1).cast("int"))
+    return table(spark, d, "pages").withColumn("x", told).select("page_id", web.response_error(~F.col("x.bad"), F.col("x.p"), F.col("x.s"), F.col("x.t")).alias("code"))
+
+
 @query("download_names", rf"SELECT page_id, CASE WHEN regexp_matches(n, '(?i)\.[a-z0-9]{{2,5}}$') THEN n ELSE n || ['.pdf', '.xlsx', '.html', ''][page_id % 4 + 1] END AS name FROM (SELECT page_id, {_FILE} AS n FROM pages)")
 def download_names(spark, d):
     mime = F.element_at(F.array(*[F.lit(m) for m in ("application/pdf", "application/vnd.ms-excel", "text/html; charset=utf-8", "application/octet-stream")]), (F.col("page_id") % 4 + 1).cast("int"))

@@ -390,6 +390,16 @@ def test_defaults_of_tables(spark):
     assert (r.title, r.section, r.units, r.origin, r.confidence, r.selected) == ("", "other", "", "unknown", 1.0, True)
 
 
+def test_looks_at_grids(spark):
+    grid = spark.range(100).select(F.col("id").alias(ROW), *[F.lit("x").alias(f"c{i}") for i in range(50)]).repartition(5)
+    shown, rows, columns = edits.preview(grid)
+    assert (rows, columns) == (20, 10) and len(shown.columns) == 41 and [r[0] for r in shown.collect()] == list(range(80))
+    cells = spark.createDataFrame([("t", 0, 0, "a"), ("t", 1, 2, "b")], "table_id string, row int, col int, text string")
+    none = spark.createDataFrame([], "table_id string, row int, col int, text string")
+    got = edits.to_grid(cells, none, "t").orderBy(ROW)
+    assert got.columns == [ROW, "row_label", "column_1", "column_2"] and [tuple(r) for r in got.collect()] == [(0, "a", "", ""), (1, "", "", "b")]
+
+
 def test_labels_and_markup(spark):
     ask = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert ask(text.markup_text(F.lit("<p>a <b>b</b>\n</p>c"))) == "a b c"
