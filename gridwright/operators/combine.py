@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridwright.functions.core import collapse_ws, text_of, trim_ws
 from gridwright.functions.text import normalise_key as key_of
+from gridwright.storage import spread
 
 from .headers import normalise_key, resolve, unique_headers
 from .result import ROW, OpResult, columns_of
@@ -63,8 +64,8 @@ def join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how:
         total(F.when(F.col("nr") > 1, F.col("nl") * (F.col("nr") - 1)).otherwise(0), "fanout"), total(F.when(F.col("nr") > 1, 1).otherwise(0), "dup_keys_right"),
         total(out + (alone_l if how != "inner" else F.lit(0)) + (alone_r if how == "full" else F.lit(0)), "out"),
     )
-    left_only = l.join(r.select("_j").distinct(), F.col("_k") == F.col("_j"), "left_anti").select((F.col("_l") + 1).alias("row"), F.col(lk).alias("key"))
-    right_only = r.join(l.select("_k").distinct(), F.col("_k") == F.col("_j"), "left_anti").select((F.col("_r") + 1).alias("row"), F.col("_rk").alias("key"))
+    left_only = l.join(spread(r.select("_j").distinct()), F.col("_k") == F.col("_j"), "left_anti").select((F.col("_l") + 1).alias("row"), F.col(lk).alias("key"))
+    right_only = r.join(spread(l.select("_k").distinct()), F.col("_k") == F.col("_j"), "left_anti").select((F.col("_r") + 1).alias("row"), F.col("_rk").alias("key"))
     return OpResult(data, {"stats": stats, "left_only": left_only, "right_only": right_only})
 
 
