@@ -35,11 +35,20 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read again, so that later joins also have its measured size. Files go when the driver ends."""
+    """df, written to the shared folder and read again, so that later joins also have its measured size. Files go by release(), or when the driver ends."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes the files of tables that materialize gave, once all that was made of them is written itself."""
+    for df in tables:
+        if path := getattr(df, "_written", None):
+            remove(df.sparkSession, path)
 
 
 def pinned(df: DataFrame) -> DataFrame:
