@@ -9,29 +9,30 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def _changes(table: pa.Table, keys: list[str]) -> np.ndarray:
+def _changes(batch: pa.RecordBatch, keys: list[str]) -> list[int]:
     """The rows whose keys differ from the row's before; nulls are alike."""
-    new = np.zeros(table.num_rows, bool)
+    new = np.zeros(batch.num_rows, bool)
     for k in keys:
-        column = table.column(k).combine_chunks()
-        codes = pc.fill_null(pc.dictionary_encode(column).indices, -1).to_numpy(zero_copy_only=False)
+        codes = pc.fill_null(pc.dictionary_encode(batch.column(k)).indices, -1).to_numpy(zero_copy_only=False)
         new[1:] |= codes[1:] != codes[:-1]
-    return np.flatnonzero(new)
+    return np.flatnonzero(new).tolist()
 
 
 def whole_groups(batches, keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """(rows, bounds) with rows[bounds[i]:bounds[i + 1]] a group, from batches sorted by keys. Groups may span batches; only the last one is held back."""
     held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
+        key = lambda i: tuple(batch.column(k)[i].as_py() for k in keys)  # noqa: B023, E731
+        cuts = ([0] if held and key(0) != last else []) + _changes(batch, keys)
+        last = key(batch.num_rows - 1)
+        if cuts:
+            before = sum(b.num_rows for b in held)
+            yield pa.Table.from_batches([*held, batch.slice(0, cuts[-1])]), np.array([0, *(before + c for c in cuts)])
+            held, batch = [], batch.slice(cuts[-1])
         held.append(batch)
-        table = pa.Table.from_batches(held)
-        cuts = _changes(table, keys)
-        if len(cuts):
-            done = table.slice(0, int(cuts[-1]))
-            yield done, np.concatenate([[0], cuts])
-            held = table.slice(int(cuts[-1])).to_batches()
     if held:
         table = pa.Table.from_batches(held)
         yield table, np.array([0, table.num_rows])

@@ -132,6 +132,25 @@ def test_lines_against_plain():
         assert got.tolist() == plain_lines(centers, 4.5)
 
 
+def test_whole_groups_of_batches():
+    import pyarrow as pa
+
+    from gridwright.functions.arrow import whole_groups
+
+    rng = random.Random(3)
+    for _ in range(100):
+        sizes = [rng.choice([1, 1, 2, 5, 17]) for _ in range(rng.randrange(1, 12))]
+        rows = [(None if g_ % 3 == 0 else "ab"[g_ % 2], g_, i) for g_, n in enumerate(sizes) for i in range(n)]
+        at, batches = 0, []
+        while at < len(rows):
+            n = rng.randrange(0, 6)
+            part = rows[at : at + n]
+            batches.append(pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32()))], ["a", "b", "c"]))
+            at += n
+        got = [table.slice(lo, hi - lo).to_pylist() for table, bounds in whole_groups(batches, ["a", "b"]) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        assert [len(x) for x in got] == sizes and [tuple(r.values()) for x in got for r in x] == rows
+
+
 def test_lines_of_pages_that_span_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
