@@ -259,8 +259,8 @@ def classify_grids(spark, d):
 
 @query("header_counts", "SELECT 'c' || o_custkey AS table_id, 1 AS n_headers FROM orders GROUP BY o_custkey")
 def header_counts(spark, d):
-    """Every statement's labels and figures, below a heading of its own."""
-    body = statement_cells(spark, d).where("col < 2")
-    heading = F.explode(F.array(*[F.struct(F.lit(0).alias("row"), F.lit(i).alias("col"), F.lit(t).alias("text")) for i, t in enumerate(("Note", "2011"))]))
+    """Every statement below a heading of its own."""
+    body = statement_cells(spark, d)
+    heading = F.explode(F.array(*[F.struct(F.lit(0).alias("row"), F.lit(i).alias("col"), F.lit(t).alias("text")) for i, t in enumerate(("Note", "2011", "Group"))]))
     head = body.select("table_id").distinct().withColumn("x", heading).select("table_id", "x.*")
     return grids.header_counts(head.unionByName(body.withColumn("row", F.col("row") + 1)), keys=["table_id"])
