@@ -97,8 +97,8 @@ def clean_documents(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SH
     """docs without the documents that the rules reject, and without the frequent lines of those kept. All columns stay."""
     k1, k2 = _keys()
     gone = again_shuffled(frequent_lines(docs, min_docs, share, max_docs).select(F.col("k1").alias("__a"), F.col("k2").alias("__b"), F.col("n_gone").alias("__n"), F.col("bad").alias("__bad")))
-    # One expression, so that the filter holds the measures once: as a column they would be copied into it for each field.
-    sound = let(base_measures(F.col("text")), lambda m: (m["n_words"] >= MIN_WORDS) & (100 * m["n_repeat_words"] <= MAX_REPEAT * m["n_words"]))
+    # One expression, so that the filter splits a text once; of the measures the rules need only these two.
+    sound = let(words(F.col("text")), lambda w: (F.size(w) >= MIN_WORDS) & (100 * repeated_words(w) <= MAX_REPEAT * F.size(w)))
     good = docs.where(sound).withColumns({"__k1": k1, "__k2": k2})
     held = F.col("__n").isNull() | (100 * F.col("__n") <= max_loss * word_count(F.col("text")))
     both = good.join(gone, F.expr("__k1 = __a and __k2 = __b"), "left").where(held)
