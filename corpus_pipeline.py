@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwright.llm.bayes_join import keep_one
-from gridwright.llm.common import materialize, table
+from gridwright.llm.common import materialize, release, table
 from gridwright.llm.fair_mix import fair_mix
 from gridwright.llm.line_frequency import clean_documents
 from gridwright.llm.line_windows import dedup_lines
@@ -71,5 +71,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        done = materialize(stage(spark, docs, sf_dir))
+        release(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)

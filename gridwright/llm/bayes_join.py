@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import again_shuffled, materialize, table
+from .common import again_shuffled, materialize, release, table
 from .components import components
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -354,13 +354,16 @@ def near_duplicate_classes(docs: DataFrame, count: bool = True) -> DataFrame:
     members = in_bucket.join(again_shuffled(kept.select("grp")), "grp")
     compared = materialize(again_shuffled(members).join(nodes.select("node", "signature"), "node"))
     likely = materialize(components(spanning(compared, kept).select(F.col("node").alias("u"), F.col("root").alias("v"))).select("node", F.col("root").alias("grp")))
+    release(compared, kept)
 
     known = likely.join(nodes, "node")
     sized = known.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("n_shingles"), F.min("node").alias("pivot"))
     placed = known.select("k1", "k2", "node", "grp", "signature", "first_doc")
     whole = rows.alias("r").join(again_shuffled(placed).alias("p"), F.expr("r.k1 = p.k1 and r.k2 = p.k2 and r.doc_id <=> p.first_doc")).select("p.node", "grp", "signature", "text").dropDuplicates(["node"])
     own = whole.mapInArrow(_shingled, "grp bigint, node bigint, signature binary, shingles binary")
-    links = materialize(all_links(own, sized) if count else spanning(materialize(own), sized))
+    own = own if count else materialize(own)
+    links = materialize(all_links(own, sized) if count else spanning(own, sized))
+    release(own)
 
     roots = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
     with_root = nodes.drop("signature").join(again_shuffled(roots), "node", "left").withColumns({"is_linked": F.col("root").isNotNull(), "root": F.coalesce("root", "node")})
@@ -368,6 +371,7 @@ def near_duplicate_classes(docs: DataFrame, count: bool = True) -> DataFrame:
         counted = links.groupBy("node").agg(F.sum("links").alias("n_links"))
         with_root = with_root.join(again_shuffled(counted), "node", "left").na.fill(0, ["n_links"])
     with_root = materialize(with_root)
+    release(nodes, likely, links)
     classes = with_root.where("is_linked").groupBy("root").agg(F.min("first_doc").alias("class_doc"), F.min(F.struct("k1", "k2")).alias("key"))
     key = F.when(F.col("is_linked"), F.col("key")).otherwise(F.struct("k1", "k2"))
     return with_root.join(again_shuffled(classes), "root", "left").select(

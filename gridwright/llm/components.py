@@ -3,7 +3,7 @@
 Each step replaces a node's edges by edges to its smallest neighbour. Minima are pre-aggregated,
 then joined back with plain exchanges on either side, so a node with very many neighbours is split.
 Steps are written to the shared folder, which cuts the lineage; about log of the longest path's
-length of them are needed, and stars, which the callers mostly give, need two.
+length of them are needed, and stars, which the callers mostly give, need one.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import again_shuffled, materialize
+from .common import again_shuffled, materialize, release
 
 MAX_STEPS = 60
 
@@ -30,11 +30,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """edges(u, v), any integers -> node, root: for every node with an edge to another one, the least node it is connected to."""
-    edges = materialize(edges.select("u", "v").where("u != v").distinct())
-    before = None
+    state_of = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % (1 << 31)).alias("h")).first()
+    edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
+    before = state_of(edges)
     for _ in range(MAX_STEPS):
-        edges = materialize(_star(_star(edges, True), False))
-        state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % (1 << 31)).alias("h")).first()
+        after = materialize(_star(_star(edges, True), False))
+        state = state_of(after)
+        release(edges)
+        edges = after
         if state == before:
             break
         before = state

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import again_shuffled, materialize, table, word_count
+from .common import again_shuffled, materialize, release, table, word_count
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, "mix-1"
 ROWS = 500_000
@@ -81,6 +81,7 @@ def fair_mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     ranged = in_ranges(ranked, n, shuffled)
     summed = ranged.withColumn("inside", running_sum(["rank"], shuffled)).join(again_shuffled(before_ranges(ranged, ["rank"])), ["rank", "part"])
     placed = materialize(summed.withColumn("upto", F.col("before") + F.col("inside")).drop("before", "inside", "n", "part"))
+    release(sized, ranged)
 
     # A copy's words so far, and what orders the queue; written alike for a column and for the cut.
     so_far = lambda k: F.col("upto") + (k - 1) * F.col("source_size")
@@ -103,10 +104,12 @@ def _cut(queue: DataFrame, n: int, order: list[str], budget):
     """The first copy, by finish time, that would take the mix beyond its budget; None if none does. Two single rows come to the driver."""
     ranged = in_ranges(queue, n, order)
     at = before_ranges(ranged, []).where(F.col("before") + F.col("n") > F.lit(budget)).orderBy("part").first()
-    if at is None:
-        return None
-    inside = ranged.where(F.col("part") == at["part"]).withColumn("upto", F.lit(at["before"]) + running_sum([], order))
-    return inside.where(F.col("upto") > F.lit(budget)).orderBy(*order).select(*order).first()
+    first = None
+    if at is not None:
+        inside = ranged.where(F.col("part") == at["part"]).withColumn("upto", F.lit(at["before"]) + running_sum([], order))
+        first = inside.where(F.col("upto") > F.lit(budget)).orderBy(*order).select(*order).first()
+    release(ranged)
+    return first
 
 
 def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
