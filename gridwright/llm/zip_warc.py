@@ -5,7 +5,8 @@ line of JSON for each record, so a record's bytes lie in the ZIP file as they ar
 the end-of-central-directory record (and its ZIP64 form) from the file's tail, reads the directory,
 each member's local header and the indexes, and turns them into runs of neighbouring records of
 about RUN bytes. Runs are the unit of parallel work: each is one range read, whatever the archive's
-size.
+size. They go to as many tasks as there are shuffle partitions, or to fewer if the manifest's sizes
+call for fewer.
 
 Any stored member below archive/ that is named *.warc or *.warc.gz is read, and any index below
 indexes/ (CDXJ lines, CDX lines with a header that names their fields, either gzipped or not),
@@ -14,7 +15,8 @@ are found by walking it from its start: gzip members by their ends, plain record
 
 Files are reached through pyarrow's file systems, so any store it knows by URI will do. Each task
 attempt writes files of its own; only those that a finished task has named in the manifest are
-read, so lost executors and repeated tasks leave no doubled records.
+read, so lost executors and repeated tasks leave no doubled records. The manifest is one file that
+one task writes: tasks run again name other files, which several writers might see half of.
 
 Equal payloads of MIN_REVISIT bytes or more are written once: the record with the largest page_id
 is the response and the others are revisits that refer to it. Only digests and ids are grouped, by
@@ -256,7 +258,8 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], ["path", "n_bytes", "n_records"])
 
-    return materialize(decide(pages, min_revisit).mapInArrow(run, "path string, n_bytes bigint, n_records bigint"))
+    # One file for the manifest, a row for each archive: on local disks each file that Spark writes costs an executor three process starts.
+    return materialize(decide(pages, min_revisit).mapInArrow(run, "path string, n_bytes bigint, n_records bigint").repartition(1))
 
 
 # Reading
@@ -384,8 +387,11 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                 names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=False)], names[: len(out[0])])
 
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = manifest.select("path").repartition(n).mapInArrow(index, "path string, start bigint, lengths array<bigint>").repartition(n)
+    n = parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if "n_bytes" in manifest.columns:  # a task for each RUN bytes, four a core at least
+        n_bytes = manifest.agg(F.sum("n_bytes")).first()[0] or 0
+        parts = min(n, max(4 * manifest.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // RUN)))
+    runs = manifest.select("path").repartition(n).mapInArrow(index, "path string, start bigint, lengths array<bigint>").repartition(parts)
     return runs.mapInArrow(records, "page_id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string" + ", payload binary" * payloads)
 
 
