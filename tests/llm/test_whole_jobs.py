@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 import zlib
 
+import numpy as np
+import pyarrow as pa
+
 from gridwright.llm import bayes_join, context_tree, line_frequency, zip_warc
 from gridwright.storage import shared_dir
 
@@ -68,3 +72,24 @@ def test_small_archives_take_few_files_and_tasks(spark):
     finally:
         for k, v in asked.items():
             spark.conf.set(k, v)
+
+
+def test_a_part_holds_its_distinct_strings(spark, monkeypatch):
+    """What a part holds follows its distinct strings and not what all units ask of it, and every unit gets its scores."""
+    monkeypatch.setattr(context_tree, "FLUSH", 1 << 14)
+    text = " ".join(f"w{i * i}" for i in range(2000))
+    one = context_tree._asked(pa.table({"text": [text], "held_out": [False], "unit": pa.array([0], pa.int32())}), 1)
+    units = 300
+    table = pa.concat_tables([one.set_column(0, "unit", pa.array([i], pa.int32())) for i in range(units)])
+    n = len(context_tree._keys(one.column("keys")[0].as_py()))
+    assert n > 4000
+    tracemalloc.start()
+    key, _, _, total = context_tree._part(table)[1].lowest
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total[key & 255 == 1].sum() == units * (len(text) + 1)  # each context's first node counts all its bytes
+    assert peak < 8 * units * n  # less than the strings unpacked at once
+    asked = spark.createDataFrame(table.to_pandas(), context_tree.ASKED)
+    got = context_tree.answers(asked, context_tree.train(asked)).collect()
+    assert sorted(r.unit for r in got) == list(range(units)) and len({(bytes(r.keys), bytes(r.scores)) for r in got}) == 1
+    assert len(got[0].scores) == 4 * n and np.all(np.frombuffer(got[0].scores, np.float32) < 0)
