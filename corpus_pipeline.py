@@ -20,35 +20,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwright.llm.bayes_join import keep_one
-from gridwright.llm.common import materialize, release, table
+from gridwright.llm.common import files_for, materialize, release, table
 from gridwright.llm.fair_mix import fair_mix
 from gridwright.llm.line_frequency import clean_documents
 from gridwright.llm.line_windows import dedup_lines
 from gridwright.llm.string_tiling import without_leaks
 
 
+def _packed(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """df, made of docs, in partitions that are worth a file."""
+    return df.coalesce(files_for(docs))
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that fail the base rules or are depleted; takes frequent lines out of the rest."""
-    return _counted(clean_documents(docs))
+    return _counted(_packed(clean_documents(docs), docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes later occurrences of repeated three-line windows out; a document that is nothing else keeps an empty text."""
-    return _counted(dedup_lines(docs).drop("line_spans"))
+    return _counted(_packed(dedup_lines(docs), docs).drop("line_spans"))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near duplicates."""
-    return keep_one(docs)
+    return _packed(keep_one(docs), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents into which a benchmark item leaked."""
-    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return _packed(without_leaks(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

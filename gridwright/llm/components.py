@@ -28,13 +28,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u != v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges(u, v), any integers -> node, root: for every node with an edge to another one, the least node it is connected to."""
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
+    """edges(u, v), any integers -> node, root: for every node with an edge to another one, the least node it is connected to. files: as materialize has it, for each step."""
     state_of = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % (1 << 31)).alias("h")).first()
-    edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
+    edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), files)
     before = state_of(edges)
     for _ in range(MAX_STEPS):
-        after = materialize(_star(_star(edges, True), False))
+        after = materialize(_star(_star(edges, True), False), files)
         state = state_of(after)
         release(edges)
         edges = after

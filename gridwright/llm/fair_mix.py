@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import again_shuffled, materialize, release, table, word_count
+from .common import again_shuffled, files_for, materialize, release, table, word_count
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, "mix-1"
 ROWS = 500_000
@@ -53,9 +53,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
     return shared.select("source", "rank", "source_size", target.alias("target"), "budget", *[c for c in sizes.columns if c not in ("source", "source_size")])
 
 
-def in_ranges(df: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """df, sorted globally into n ranges: part is a row's range."""
-    return materialize(df.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
+def in_ranges(df: DataFrame, n: int, order: list[str], files: int) -> DataFrame:
+    """df, sorted globally into n ranges: part is a row's range, of which a file may hold several."""
+    return materialize(df.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), files)
 
 
 def before_ranges(ranged: DataFrame, groups: list[str]) -> DataFrame:
@@ -71,16 +71,16 @@ def running_sum(groups: list[str], order: list[str]) -> Column:
 
 def fair_mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     """docs(doc_id, text, source) -> doc_id, size, source_size, target, taken, copies: one row for each document."""
-    spark = docs.sparkSession
+    spark, files = docs.sparkSession, files_for(docs)
     t = F.xxhash64(F.coalesce("text", F.lit("")))
     sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_key(F.col("doc_id")).alias("h"), t.alias("t")).withColumn("rid", F.monotonically_increasing_id()))
     targets = materialize(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), weights, cap))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(targets.agg(F.sum("rows")).first()[0] or 0) // ROWS))
     ranked = sized.alias("s").join(again_shuffled(targets).alias("t"), F.expr("s.source <=> t.source")).select("s.doc_id", "size", "h", "t", "rid", "rank", "source_size", "target")
     shuffled = ["rank", "h", "doc_id", "size", "t", "rid"]
-    ranged = in_ranges(ranked, n, shuffled)
+    ranged = in_ranges(ranked, n, shuffled, files)
     summed = ranged.withColumn("inside", running_sum(["rank"], shuffled)).join(again_shuffled(before_ranges(ranged, ["rank"])), ["rank", "part"])
-    placed = materialize(summed.withColumn("upto", F.col("before") + F.col("inside")).drop("before", "inside", "n", "part"))
+    placed = materialize(summed.withColumn("upto", F.col("before") + F.col("inside")).drop("before", "inside", "n", "part"), files)
     release(sized, ranged)
 
     # A copy's words so far, and what orders the queue; written alike for a column and for the cut.
@@ -88,7 +88,7 @@ def fair_mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     within_target = lambda k: (F.col("size") > 0) & (so_far(k) - F.col("size") < F.col("target"))
     order = ["finish", "rank", "copy", "h", "doc_id", "size", "t", "rid"]
     queue = placed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(cap)))).where(within_target(F.col("copy"))).select((so_far(F.col("copy")) / F.col("target")).alias("finish"), *order[1:])
-    cut = _cut(queue, n, order, targets.agg(F.max("budget")).first()[0])
+    cut = _cut(queue, n, order, targets.agg(F.max("budget")).first()[0], files)
     n_copies = F.lit(0)
     for k in range(1, cap + 1):
         taken = within_target(F.lit(k))
@@ -100,9 +100,9 @@ def fair_mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     return placed.withColumn("copies", n_copies).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
 
 
-def _cut(queue: DataFrame, n: int, order: list[str], budget):
+def _cut(queue: DataFrame, n: int, order: list[str], budget, files: int):
     """The first copy, by finish time, that would take the mix beyond its budget; None if none does. Two single rows come to the driver."""
-    ranged = in_ranges(queue, n, order)
+    ranged = in_ranges(queue, n, order, files)
     at = before_ranges(ranged, []).where(F.col("before") + F.col("n") > F.lit(budget)).orderBy("part").first()
     first = None
     if at is not None:

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from gridwright.llm import line_frequency, string_tiling
+from gridwright.llm import bayes_join, components, fair_mix, line_frequency, string_tiling
 
 from .test_defined_cases import plain_dedup, plain_mix
 from .test_methods import plain_classes, plain_tiles, plain_tokens, plain_words
@@ -133,6 +133,35 @@ def test_stages_and_run_against_plain(spark, corpus, tmp_path):
     assert mixed(corpus_pipeline.run(spark, sf)) == want
 
 
+def test_small_tables_take_few_files(spark, corpus, tmp_path, monkeypatch):
+    """Of however many partitions a small table is made, it is written into few files, each of which starts processes on the executors: what the join and the mix write between, and what stages return."""
+    sf = f"file://{tmp_path}"
+    rows, items = corpus
+    frames(spark, corpus, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    most, written = 2 * spark.sparkContext.defaultParallelism, []
+    for module in (bayes_join, components, fair_mix):
+        monkeypatch.setattr(module, "materialize", lambda *a, f=module.materialize, of=module.__name__, **b: written.append((of, f(*a, **b))) or written[-1][1])
+    monkeypatch.setattr(bayes_join, "release", lambda *_: None)
+    monkeypatch.setattr(components, "release", lambda *_: None)
+    monkeypatch.setattr(fair_mix, "release", lambda *_: None)
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "20"}
+    asked = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, docs, sf).rdd.getNumPartitions() <= most, name
+        assert Counter(r.doc_id for r in corpus_pipeline.jaccard_join(spark, docs, sf).collect()) == Counter(d for d, _, _ in plain_keep(rows))
+        mixed = corpus_pipeline.mixing(spark, docs, sf)
+        assert sorted([(r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in mixed.collect()], key=str) == plain_mix([(d, s, len(plain_words(t or ""))) for d, t, s in rows])
+        assert {of.rsplit(".")[-1] for of, _ in written} == {"bayes_join", "components", "fair_mix"}
+        assert [(of, len(df.inputFiles())) for of, df in written if len(df.inputFiles()) > most] == []
+    finally:
+        for k, v in asked.items():
+            spark.conf.set(k, v)
+
+
 def test_stages_on_odd_rows(spark, tmp_path):
     """Nulls in any column, empty and long texts, repeated rows, ids on several texts, further columns, and no rows at all."""
     good = "\n".join(" ".join(f"w{i}x{j}" for j in range(12)) for i in range(8))
